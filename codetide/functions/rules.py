@@ -118,8 +118,10 @@ BADGES = ((70, "🔴"), (40, "🟡"))
 # ---------------------------------------------------------------------------
 
 
-def rule_pack(name: str = "default"):
-    """The rules of pack `default` or `extended`, in reporting order."""
+def rule_pack(name="default"):
+    """The rules of pack `default` or `extended`, in reporting order; own packs pass through."""
+    if not isinstance(name, str):
+        return name
     if name == "default":
         return DEFAULT_RULES
     if name != "extended":
