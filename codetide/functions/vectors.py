@@ -1,11 +1,16 @@
 """Vector expressions and the block kernel of the similarity search."""
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The kernels travel with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: keeps zero vectors finite.
 EPSILON = 1e-8
 # Scores are compared at this many decimals, so their order does not depend on summation order.

@@ -4,13 +4,18 @@ A hook is a function from DataFrame to DataFrame. The defaults need no model; ba
 of any model plug in through Arrow batches.
 """
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# The batch functions travel with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIMENSIONS = 768
 
 

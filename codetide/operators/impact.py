@@ -43,8 +43,12 @@ def symbol_rows(sources: DataFrame) -> DataFrame:
         as_entry("import", "imports"), from_entries, as_entry("function", "functions"),
         as_entry("class", "classes"), as_entry("call", "calls"),
     )
-    return wide.select(*FILE, "language", F.explode(entries).alias("s")).select(
-        *FILE, "language", "s.kind", "s.module", "s.name", "s.pos")
+    # Outer: a plain explode would add a filter on the array, evaluating the extraction twice.
+    return (
+        wide.select(*FILE, "language", F.explode_outer(entries).alias("s"))
+        .where(F.col("s").isNotNull())
+        .select(*FILE, "language", "s.kind", "s.module", "s.name", "s.pos")
+    )
 
 
 def pr_symbols(pr_files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -60,7 +64,8 @@ def pr_symbols(pr_files: DataFrame, sources: DataFrame) -> DataFrame:
     )).alias("defined"))
     return (
         pr_files.select(*PR, "file_path").join(per_file, FILE)
-        .select(*PR, F.explode("defined").alias("s"))
+        .select(*PR, F.explode_outer("defined").alias("s"))
+        .where(F.col("s").isNotNull())
         .select(*PR, "s.kind", "s.name")
         .distinct()
     )
@@ -90,7 +95,7 @@ def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
     names = wanted.select("repo", F.col("name").alias("symbol")).distinct()
     tokens = (
         repo_files.where(paths.extension(F.col("file_path")) == "py")
-        .select(*FILE, F.explode(F.regexp_extract_all("content", F.lit(symbols.ID), F.lit(0))).alias("symbol"))
+        .select(*FILE, F.explode_outer(F.regexp_extract_all("content", F.lit(symbols.ID), F.lit(0))).alias("symbol"))
         .join(names, ["repo", "symbol"], "left_semi")
     )
     counted = tokens.groupBy("repo", "symbol", "file_path").agg(F.count(F.lit(1)).alias("mentions"))

@@ -54,7 +54,8 @@ def changed_keys(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
 def chunk_files(files: DataFrame) -> DataFrame:
     """Chunks of each file: a structure summary if parseable, then the whole text or 50-line blocks.
 
-    `seq` counts the chunks of a file from 0. Narrow: one row in, its chunks out.
+    `seq` counts the chunks of a file from 0. Narrow: one row in, its chunks out. The outer explode
+    only avoids an inferred filter that would chunk twice; every readable file has a chunk.
     """
     path, content = F.col("file_path"), F.col("content")
     summary = F.when(
@@ -66,9 +67,9 @@ def chunk_files(files: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit("full_file").alias("chunk_type"), path.alias("name"), content.alias("content")))
     body = F.when(F.length(content) < text.WHOLE_FILE_CHARS, whole).otherwise(text.line_blocks(F.col("_lines"), path))
     return (
-        symbols.with_symbols(files)
+        symbols.with_symbols(files.where(content.isNotNull()))
         .withColumn("_lines", text.lines(content))
-        .select(*FILE, F.posexplode(F.concat(F.array_compact(F.array(summary)), body)).alias("seq", "chunk"))
+        .select(*FILE, F.posexplode_outer(F.concat(F.array_compact(F.array(summary)), body)).alias("seq", "chunk"))
         .select(*FILE, F.col("seq").cast("bigint").alias("seq"), "chunk.chunk_type", "chunk.name", "chunk.content")
     )
 
