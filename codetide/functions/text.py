@@ -21,10 +21,6 @@ def added_code(patch: Column) -> Column:
     return F.array_join(F.filter(lines(patch), lambda line: F.startswith(line, F.lit("+"))), "\n")
 
 
-def is_ascii(text: Column) -> Column:
-    return F.length(text) == F.octet_length(text)
-
-
 def line_blocks(lines_col: Column, path: Column) -> Column:
     """Blocks of 50 lines as (chunk_type, name, content) structs; linear in the file's size.
 

@@ -17,18 +17,18 @@ def changed_sources(pr_files: DataFrame, repo_files: DataFrame) -> DataFrame:
     return repo_files.select(*FILE, "content").join(keys, FILE, "left_semi")
 
 
-def file_structures(sources: DataFrame) -> DataFrame:
-    """Structure summary per parseable file."""
-    return (
-        symbols.with_symbols(sources)
-        .where(F.col("language").isNotNull())
-        .select(*FILE, symbols.structure_summary().alias("structure"))
-    )
+def symbol_table(sources: DataFrame) -> DataFrame:
+    """Symbol lists per file, without the text: the small input of everything below."""
+    return symbols.with_symbols(sources.select(*FILE, "content")).drop("content")
+
+
+def file_structures(wide: DataFrame) -> DataFrame:
+    """Structure summary per parseable file of a symbol table."""
+    return wide.where(F.col("language").isNotNull()).select(*FILE, symbols.structure_summary().alias("structure"))
 
 
-def symbol_rows(sources: DataFrame) -> DataFrame:
+def symbol_rows(wide: DataFrame) -> DataFrame:
     """Long form: one row per symbol occurrence, `pos` counting from 0 inside (file, kind)."""
-    wide = symbols.with_symbols(sources)
     as_entry = lambda kind, col: F.transform(
         F.col(col),
         lambda name, i: F.struct(
@@ -51,9 +51,8 @@ def symbol_rows(sources: DataFrame) -> DataFrame:
     )
 
 
-def pr_symbols(pr_files: DataFrame, sources: DataFrame) -> DataFrame:
+def pr_symbols(pr_files: DataFrame, wide: DataFrame) -> DataFrame:
     """Distinct functions, classes and imports (with from-modules) per change, one row each."""
-    wide = symbols.with_symbols(sources)
     entry = lambda kind, names: F.transform(
         names, lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
     per_file = wide.select(*FILE, F.array_distinct(F.concat(

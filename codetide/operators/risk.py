@@ -23,9 +23,10 @@ _SPACE = r"[\s\x1c-\x1f]"
 def _pattern_hit(pattern: str, needle: str) -> Column:
     """Regex search guarded by a plain substring test, exact for any text.
 
-    Case folding beyond ASCII could hide the substring, so non-ASCII text always runs the regex.
+    Texts with a letter that folds to an ASCII one (long s, Kelvin, dotted and dotless i) could hide
+    the substring from the test, so they always run the regex.
     """
-    possible = ~F.col("_ascii") | F.contains(F.col("_lower"), F.lit(needle))
+    possible = F.col("_folds") | F.contains(F.col("_lower"), F.lit(needle))
     return possible & F.col("added_code").rlike(_REGEX_FLAGS + pattern.replace(r"\s", _SPACE))
 
 
@@ -64,7 +65,7 @@ def scan_files(pr_files: DataFrame, pack="default") -> tuple[DataFrame, list[tup
     scanned = (
         pr_files.withColumn("added_code", text.added_code(F.col("patch")))
         .withColumn("_lower", F.lower(F.col("added_code")))
-        .withColumn("_ascii", text.is_ascii(F.col("added_code")))
+        .withColumn("_folds", F.col("added_code").rlike("[\u017f\u212a\u0130\u0131]"))
         .withColumns({f"_hit{i}": F.coalesce(hit, F.lit(False)) for i, (_, _, hit, _) in enumerate(checks)})
     )
     return scanned, [(kind, pts, F.col(f"_hit{i}"), txt) for i, (kind, pts, _, txt) in enumerate(checks)]

@@ -31,23 +31,25 @@ def plan_run(
 
 def run_index(
     spark: SparkSession, index_path: str, files: DataFrame, embed: Callable[[DataFrame], DataFrame], full: bool = True,
+    buckets: int = index_store.BUCKETS,
 ) -> DataFrame:
     """Index changed files into the store and return counts per repository."""
     _, ledger = index_store.load_index(spark, index_path)
     new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=materialise)
     new_hashes = materialise(new_hashes, "hashes")
     outcome = materialise(labelled, "outcome")
-    index_store.update_index(spark, index_path, new_chunks, new_hashes)
+    index_store.update_index(spark, index_path, new_chunks, new_hashes, buckets)
     return indexing.run_stats(outcome)
 
 
 def apply_changes(
     spark: SparkSession, index_path: str, changes: DataFrame, embed: Callable[[DataFrame], DataFrame],
+    buckets: int = index_store.BUCKETS,
 ) -> DataFrame:
     """Incremental update from changed files (REPO_FILES columns and `status`).
 
     Files with status `removed` leave the index; all others are re-indexed if their hash changed.
     """
     removed = F.coalesce("status", F.lit("")) == "removed"
-    index_store.remove_files(spark, index_path, changes.where(removed))
-    return run_index(spark, index_path, changes.where(~removed).drop("status"), embed, full=False)
+    index_store.remove_files(spark, index_path, changes.where(removed), buckets)
+    return run_index(spark, index_path, changes.where(~removed).drop("status"), embed, False, buckets)

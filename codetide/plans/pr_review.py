@@ -8,17 +8,19 @@ PR = ["repo", "pr_id"]
 
 
 def assemble(
-    pr_files: DataFrame, repo_files: DataFrame, chunks: DataFrame, pr_vectors: DataFrame, pack="default", written=None,
+    pr_files: DataFrame, repo_files: DataFrame, chunks: DataFrame, pr_vectors: DataFrame,
+    pack="default", written=None, keep=lambda df, _: df,
 ) -> dict[str, DataFrame]:
     """All tables of a review, by name. Every branch is aggregated per change before it is joined.
 
     `repo_files` holds current sources, `chunks` the index, `pr_vectors` (repo, pr_id, embedding)
-    the query vector of each change, `written` optional model summaries.
+    the query vector of each change, `written` optional model summaries. `keep(df, name)` may
+    materialise the two stages that feed several tables.
     """
-    sources = impact.changed_sources(pr_files, repo_files)
-    symbols = impact.pr_symbols(pr_files, sources)
-    summaries = review.file_summaries(pr_files, impact.file_structures(sources), written)
-    impacted = impact.impact_analysis(pr_files, repo_files, symbols)
+    wide = keep(impact.symbol_table(impact.changed_sources(pr_files, repo_files)), "symbols")
+    symbols = impact.pr_symbols(pr_files, wide)
+    summaries = review.file_summaries(pr_files, impact.file_structures(wide), written)
+    impacted = keep(impact.impact_analysis(pr_files, repo_files, symbols), "impact")
     context = retrieval.retrieve_context(chunks, pr_vectors, pr_files)
     scored = risk.gate(risk.pr_risk(pr_files, impacted, pack))
     issues = risk.issue_lists(pr_files, pack)

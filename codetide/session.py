@@ -33,3 +33,14 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:
+    """Deal a small table over all cores.
+
+    A file with a single row group is read by one task however it is split. Tables larger than
+    `bytes_per_core` for every core have splits enough and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df

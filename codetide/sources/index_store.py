@@ -12,6 +12,7 @@ from codetide import schemas
 from codetide.operators import indexing
 from codetide.sources.readers import read_table
 
+# Path buckets per repository; an index keeps the number it was written with.
 BUCKETS = 32
 _PARTITION = T.StructType([T.StructField("bucket", T.LongType())])
 
@@ -36,10 +37,12 @@ def load_index(spark: SparkSession, path: str, skip_corrupt: bool = False) -> tu
     )
 
 
-def _rewrite(spark: SparkSession, path: str, schema: T.StructType, dropped: DataFrame, added: DataFrame | None) -> None:
+def _rewrite(
+    spark: SparkSession, path: str, schema: T.StructType, dropped: DataFrame, added: DataFrame | None, buckets: int,
+) -> None:
     """Replace the rows of the `dropped` files by `added` in the partitions concerned."""
     names = schema.fieldNames()
-    keys = dropped.select("repo", "file_path").distinct().withColumn("bucket", bucket_of(F.col("file_path")))
+    keys = dropped.select("repo", "file_path").distinct().withColumn("bucket", bucket_of(F.col("file_path"), buckets))
     partitions = keys.select("repo", "bucket").distinct()
     kept = (
         _load(spark, path, schema).where(F.col("file_path").isNotNull())
@@ -48,7 +51,7 @@ def _rewrite(spark: SparkSession, path: str, schema: T.StructType, dropped: Data
         .select(*names, "bucket")
     )
     if added is not None:
-        kept = kept.unionByName(added.select(*names).withColumn("bucket", bucket_of(F.col("file_path"))))
+        kept = kept.unionByName(added.select(*names).withColumn("bucket", bucket_of(F.col("file_path"), buckets)))
     # A row without a path keeps an emptied partition in the write, or its old files would stay.
     markers = partitions.select(
         *[F.col(n) if n == "repo" else F.lit(None).cast(schema[n].dataType).alias(n) for n in names], "bucket")
@@ -58,22 +61,24 @@ def _rewrite(spark: SparkSession, path: str, schema: T.StructType, dropped: Data
     )
 
 
-def update_index(spark: SparkSession, path: str, new_chunks: DataFrame, new_hashes: DataFrame) -> None:
+def update_index(
+    spark: SparkSession, path: str, new_chunks: DataFrame, new_hashes: DataFrame, buckets: int = BUCKETS,
+) -> None:
     """Store re-indexed files: chunks and hashes of the files in `new_hashes` are replaced."""
-    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, new_hashes, new_chunks)
-    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, new_hashes, new_hashes)
+    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, new_hashes, new_chunks, buckets)
+    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, new_hashes, new_hashes, buckets)
 
 
-def remove_files(spark: SparkSession, path: str, removed: DataFrame) -> None:
+def remove_files(spark: SparkSession, path: str, removed: DataFrame, buckets: int = BUCKETS) -> None:
     """Drop files from the index."""
-    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, removed, None)
-    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, removed, None)
+    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, removed, None, buckets)
+    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, removed, None, buckets)
 
 
-def save_index(path: str, chunks: DataFrame, ledger: DataFrame) -> None:
+def save_index(path: str, chunks: DataFrame, ledger: DataFrame, buckets: int = BUCKETS) -> None:
     """Write a whole index, replacing whatever is at `path`."""
     for name, schema, df in (("chunks", schemas.CHUNKS, chunks), ("file_hashes", schemas.FILE_HASHES, ledger)):
-        rows = df.select(*schema.fieldNames()).withColumn("bucket", bucket_of(F.col("file_path")))
+        rows = df.select(*schema.fieldNames()).withColumn("bucket", bucket_of(F.col("file_path"), buckets))
         rows.hint("rebalance", F.col("repo"), F.col("bucket")).write.mode("overwrite").option(
             "partitionOverwriteMode", "static").partitionBy("repo", "bucket").parquet(f"{path}/{name}")
 

@@ -7,10 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codetide.plans.index_run import apply_changes
 from codetide.session import materialise
+from codetide.sources import index_store
 
 
 def start_index(
-    changes: DataFrame, index_path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger,
+    changes: DataFrame, index_path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str,
+    buckets: int = index_store.BUCKETS, **trigger,
 ) -> StreamingQuery:
     """Apply a stream of changed files (REPO_FILES columns, status, seq) to an index.
 
@@ -21,7 +23,7 @@ def start_index(
     def apply(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("repo", "file_path").agg({"seq": "max"}).withColumnRenamed("max(seq)", "seq")
         kept = materialise(batch.join(last, ["repo", "file_path", "seq"]).drop("seq"), "batch")
-        apply_changes(batch.sparkSession, index_path, kept, embed).collect()
+        apply_changes(batch.sparkSession, index_path, kept, embed, buckets).write.format("noop").mode("overwrite").save()
 
     return (
         changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

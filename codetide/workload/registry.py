@@ -9,7 +9,7 @@ from codetide import hooks, schemas
 from codetide.functions import paths, text
 from codetide.operators import events, impact, indexing, retrieval, review, risk, similarity
 from codetide.plans import index_run, pr_review
-from codetide.session import shared_folder
+from codetide.session import materialise, shared_folder
 from codetide.sources import index_store, readers
 from codetide.streaming import events as event_streams
 from codetide.workload.views import Tables
@@ -82,7 +82,8 @@ def _given_vectors(t):
 
 
 def _index_run(t):
-    return index_run.plan_run(t.repo_files.select(*FILE, "size_bytes", "content"), t.hash_ledger, _given_vectors(t))
+    files = t.repo_files.select(*FILE, "size_bytes", "content")
+    return index_run.plan_run(files, t.hash_ledger, _given_vectors(t), keep=materialise)
 
 
 def _old_chunks(t):
@@ -96,7 +97,8 @@ def _old_chunks(t):
 @_query
 def valid_chunks(t):
     files = t.repo_files.where(F.col("content").isNotNull()).select(*FILE, "content")
-    numbered = indexing.number_valid_chunks(_given_vectors(t)(indexing.chunk_files(files)))
+    embedded = materialise(_given_vectors(t)(indexing.chunk_files(files)), "embedded")
+    numbered = indexing.number_valid_chunks(embedded)
     return indexing.to_index_rows(numbered).select(*FILE, "chunk_index", "chunk_type", "name")
 
 
@@ -111,7 +113,7 @@ def upsert_hashes(t):
     files = t.repo_files.select(*FILE, "size_bytes", "content")
     hashed = indexing.hashed_keys(files)
     changed = indexing.changed_keys(hashed, t.hash_ledger)
-    new_chunks, _, _ = index_run.plan_run(files, t.hash_ledger, _given_vectors(t), full=False)
+    new_chunks, _, _ = index_run.plan_run(files, t.hash_ledger, _given_vectors(t), full=False, keep=materialise)
     return indexing.replace_hashes(t.hash_ledger, changed, new_chunks)
 
 
@@ -141,7 +143,7 @@ def index_load(t):
     path = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
     chunks = t.code_chunks.select(*schemas.CHUNKS.fieldNames())
     ledger = t.code_files.select(*FILE, text.content_hash(F.col("content")).alias("content_hash"))
-    index_store.save_index(path, chunks, ledger)
+    index_store.save_index(path, chunks, ledger, buckets=2)
     return index_store.stats(t.spark, path)
 
 
@@ -344,38 +346,38 @@ def similar_one_query(t):
 # ---- symbols, impact, retrieval ----------------------------------------------
 
 
-def _sources(t):
-    return t.code_files.select(*FILE, "content")
+def _symbols(t):
+    return impact.symbol_table(t.code_files)
+
+
+def _changed_symbols(t):
+    return impact.symbol_table(impact.changed_sources(t.code_prs, t.code_files))
 
 
 @_query
 def symbol_extract(t):
-    return impact.symbol_rows(_sources(t)).withColumn("pos", F.col("pos").cast("bigint"))
+    return impact.symbol_rows(_symbols(t)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @_query
 def symbol_counts(t):
-    return impact.symbol_rows(_sources(t)).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return impact.symbol_rows(_symbols(t)).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def structure_summary(t):
-    return impact.file_structures(_sources(t))
+    return impact.file_structures(_symbols(t))
 
 
 @_query
 def pr_symbols(t):
-    return impact.pr_symbols(t.code_prs, impact.changed_sources(t.code_prs, t.code_files))
-
-
-def _impact(t):
-    sources = impact.changed_sources(t.code_prs, t.code_files)
-    return impact.impact_analysis(t.code_prs, t.code_files, impact.pr_symbols(t.code_prs, sources))
+    return impact.pr_symbols(t.code_prs, _changed_symbols(t))
 
 
 @_query
 def impact_analysis(t):
-    return _impact(t).withColumn("impact_ord", F.col("impact_ord").cast("bigint"))
+    found = impact.impact_analysis(t.code_prs, t.code_files, impact.pr_symbols(t.code_prs, _changed_symbols(t)))
+    return found.withColumn("impact_ord", F.col("impact_ord").cast("bigint"))
 
 
 @_query
@@ -391,9 +393,9 @@ def retrieval_status(t):
 
 @_query
 def retrieval_query_text(t):
-    sources = impact.changed_sources(t.code_prs, t.code_files)
-    summaries = review.file_summaries(t.code_prs, impact.file_structures(sources))
-    return pr_review.query_texts(t.code_prs, impact.pr_symbols(t.code_prs, sources), summaries)
+    wide = materialise(_changed_symbols(t), "symbols")
+    summaries = review.file_summaries(t.code_prs, impact.file_structures(wide))
+    return pr_review.query_texts(t.code_prs, impact.pr_symbols(t.code_prs, wide), summaries)
 
 
 # ---- review ----------------------------------------------------------------
@@ -405,7 +407,7 @@ def change_size_class(t):
 
 
 def _structures(t):
-    return impact.file_structures(impact.changed_sources(t.code_prs, t.code_files))
+    return impact.file_structures(_changed_symbols(t))
 
 
 @_query
@@ -420,7 +422,7 @@ def summary_requests(t):
 
 @_query
 def pr_report(t):
-    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries)
+    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
     return tables["report"]
 
 
@@ -433,7 +435,7 @@ def pr_report_patches(t):
 
 @_query
 def pr_overview(t):
-    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries)
+    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
     return pr_review.overview(tables)
 
 

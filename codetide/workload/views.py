@@ -7,6 +7,8 @@ for Spark and for the SQL engine that checks the results, up to three function n
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codetide.session import spread
+
 BASE_TABLES = ("documents", "embeddings", "events")
 
 _PATH = """concat(CASE doc_id % 7 WHEN 0 THEN 'src' WHEN 1 THEN 'app' WHEN 2 THEN 'node_modules/lib' WHEN 3 THEN 'tests'
@@ -203,7 +205,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._views: dict[str, DataFrame] = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE_TABLES}
+        self._views: dict[str, DataFrame] = {
+            name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) for name in BASE_TABLES}
 
     def __getattr__(self, name: str) -> DataFrame:
         views = self.__dict__["_views"]
