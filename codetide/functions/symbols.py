@@ -2,7 +2,7 @@
 
 Comments and string literals are blanked first, so names in prose are not taken for code.
 The patterns avoid look-around and back-references, so any RE2-style engine gives the same
-matches; possessive groups (`)*+`) only keep the matcher's stack flat on long inputs.
+matches; possessive groups (`)*+`, `)++`) only keep the matcher's stack flat on long inputs.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import paths
 
 ID = r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*"
-DOTTED = rf"{ID}(?:\.{ID})*"
+DOTTED = rf"{ID}(?:\.{ID})*+"
 WS = r"[ \t]"
 GAP = r"[ \t\r\n]*"
 PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*+\)"
@@ -78,7 +78,7 @@ PATTERNS = {
         rf"|{_METHOD}"
     ),
     "script_class": rf"\babstract{WS}+class{WS}+{ID}|[=(,:]{WS}*class\b|\bclass{WS}+({ID})",
-    "java_import": rf"(?m)^{WS}*import{WS}+(?:static{WS}+)?({ID}(?:\.{ID})+){WS}*(?:\.\*)?{WS}*;",
+    "java_import": rf"(?m)^{WS}*import{WS}+(?:static{WS}+)?({ID}(?:\.{ID})++){WS}*(?:\.\*)?{WS}*;",
     "java_method": rf"(?m)^{WS}*(?:@{ID}{WS}+)*([\p{{L}}_][\p{{L}}\p{{N}}_.<>\[\],?& \t]*[ \t>\]])({ID}){WS}*{PARENS}[^;{{}}()=\n]*[{{;]",
     "java_class": rf"@interface{WS}+{ID}|\b(?:class|interface){WS}+({ID})",
     "c_include": rf'(?m)^{WS}*#{WS}*include{WS}*[<"]([^>"\n]+)[>"]',
@@ -88,7 +88,7 @@ PATTERNS = {
     "go_import": r'"([^"\n]+)"',
     "go_function": rf"(?m)^func{WS}+(?:\([^)]*\){WS}*)?({ID})",
     "go_type": rf"(?m)^{WS}*type{WS}+({ID})(?:\[[^\]\n]*\])?{WS}+[^= \t\n]",
-    "rust_use": rf"(?m)^{WS}*(?:pub(?:\([^)]*\))?{WS}+)?use{WS}+({ID}(?:::{ID})*){WS}*;",
+    "rust_use": rf"(?m)^{WS}*(?:pub(?:\([^)]*\))?{WS}+)?use{WS}+({ID}(?:::{ID})*+){WS}*;",
     "rust_fn": rf"\bfn{WS}+({ID}){GENERICS}{WS}*{PARENS}[^{{;]*[{{;]",
     "rust_type": (
         rf"(?m)\bstruct{WS}+({ID})"
@@ -98,13 +98,13 @@ PATTERNS = {
     # An optional word before the callee tells declarations ("def f(", "int main(") from calls.
     "call": (
         rf"(?m)(?:\bfunc{WS}*\([^()\n]*\){WS}*(?:{ID}{WS}*)?\("
-        rf"|(?:{ID}[*&>\]]*{WS}+[*&]*)?(?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*{WS}*\()"
+        rf"|(?:{ID}[*&>\]]*{WS}+[*&]*)?(?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*+{WS}*\()"
     ),
     "braced_call": (
         rf"(?m)(?:{_METHOD.replace(f'({ID})', ID).replace(PARENS, FLAT_PARENS)}"
-        rf"|(?:{ID}[*&>\]]*{WS}+[*&]*)?(?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*{WS}*\()"
+        rf"|(?:{ID}[*&>\]]*{WS}+[*&]*)?(?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*+{WS}*\()"
     ),
-    "callee_split": rf"^(?:({ID})[*&>\]]*{WS}+[*&]*)?((?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*){WS}*\($",
+    "callee_split": rf"^(?:({ID})[*&>\]]*{WS}+[*&]*)?((?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*+){WS}*\($",
 }
 
 

@@ -90,11 +90,16 @@ def number_valid_chunks(embedded: DataFrame) -> DataFrame:
     )
 
 
+def cut_texts(embedded: DataFrame) -> DataFrame:
+    """Only the head of a chunk's text is stored; the vector was made from all of it."""
+    return embedded.withColumn("content", F.substring("content", 1, STORED_CHARS))
+
+
 def to_index_rows(numbered: DataFrame) -> DataFrame:
-    return numbered.select(
+    return cut_texts(numbered).select(
         *FILE, F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.coalesce("chunk_type", F.lit("code")).alias("chunk_type"), F.coalesce("name", F.lit("")).alias("name"),
-        F.substring("content", 1, STORED_CHARS).alias("content"), F.col("embedding").cast("array<double>").alias("embedding"),
+        "content", F.col("embedding").cast("array<double>").alias("embedding"),
     )
 
 

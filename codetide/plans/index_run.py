@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codetide.operators import indexing
-from codetide.session import materialise
+from codetide.session import Stages, materialise
 from codetide.sources import index_store
 
 FILE = indexing.FILE
@@ -23,7 +23,8 @@ def plan_run(
     candidates = indexing.eligible_files(files) if full else files
     hashed = keep(indexing.hashed_keys(candidates), "hashed")
     changed = keep(indexing.changed_keys(hashed, ledger), "changed")
-    embedded = keep(embed(indexing.chunk_files(indexing.contents_of(candidates, changed))), "embedded")
+    embedded = embed(indexing.chunk_files(indexing.contents_of(candidates, changed)))
+    embedded = keep(indexing.cut_texts(embedded), "embedded")
     new_chunks = indexing.to_index_rows(indexing.number_valid_chunks(embedded))
     new_hashes = changed.join(new_chunks.select(*FILE).distinct(), FILE, "left_semi")
     return new_chunks, new_hashes, indexing.label_run(files, hashed, new_chunks, full)
@@ -34,12 +35,15 @@ def run_index(
     buckets: int = index_store.BUCKETS,
 ) -> DataFrame:
     """Index changed files into the store and return counts per repository."""
+    stages = Stages(spark)
     _, ledger = index_store.load_index(spark, index_path)
-    new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=materialise)
-    new_hashes = materialise(new_hashes, "hashes")
-    outcome = materialise(labelled, "outcome")
+    new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=stages.keep)
+    # Counted before the store changes; hashes are kept because the rewrite reads them several times.
+    counts = materialise(indexing.run_stats(labelled), "counts")
+    new_hashes = stages.keep(new_hashes, "hashes")
     index_store.update_index(spark, index_path, new_chunks, new_hashes, buckets)
-    return indexing.run_stats(outcome)
+    stages.clear()
+    return counts
 
 
 def apply_changes(

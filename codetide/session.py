@@ -24,15 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table to the shared folder once and read it back.
+class Stages:
+    """Expensive results that feed several branches, written once to the shared folder.
 
-    Used where an expensive result feeds several branches: the copy survives lost executors,
-    keeps column pruning and cuts lineage.
+    The copies survive lost executors, keep column pruning and cut lineage. `keep` fits the `keep`
+    argument of the plans; `clear` deletes the copies once the results have been consumed.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """One stage of its own, kept for as long as the caller needs it."""
+    return Stages(df.sparkSession).keep(df, name)
 
 
 def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:

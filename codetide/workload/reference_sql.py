@@ -15,9 +15,13 @@ def _list(values) -> str:
     return "(" + ", ".join(_str(v) for v in values) + ")"
 
 
+def _plain(pattern: str) -> str:
+    """Pattern without possessive marks, which this engine does not need."""
+    return pattern.replace(")*+", ")*").replace(")++", ")+")
+
+
 def _rx(key: str) -> str:
-    """Symbol pattern without possessive marks, which this engine does not need."""
-    return _str(symbols.PATTERNS[key].replace(")*+", ")*"))
+    return _str(_plain(symbols.PATTERNS[key]))
 
 
 # ---- paths -------------------------------------------------------------------
@@ -51,7 +55,7 @@ def _per_language(make) -> str:
 
 def _strip(replacement: str) -> str:
     return _per_language(lambda fam: "regexp_replace(content, {}, {}, 'g')".format(
-        _str(symbols.strip_patterns(fam).replace(")*+", ")*")), _str(replacement)))
+        _str(_plain(symbols.strip_patterns(fam))), _str(replacement)))
 
 
 def _found(text: str, key: str, group: int = 1) -> str:
@@ -71,7 +75,7 @@ def _listed(text: str) -> str:
     cleaned = f"translate({text}, concat('()\\', chr(13), chr(10)), '     ')"
     return (
         f"list_filter(list_transform(string_split({cleaned}, ','), lambda p: trim(p)),"
-        f" lambda p: regexp_matches(p, {_str('^' + symbols.DOTTED + '$')}))")
+        f" lambda p: regexp_matches(p, {_str('^' + _plain(symbols.DOTTED) + '$')}))")
 
 
 def _without_control(names: str) -> str:
