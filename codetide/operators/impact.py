@@ -1,6 +1,6 @@
 """Symbols of changes and the files that mention them."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codetide.functions import paths, symbols
 
@@ -9,6 +9,8 @@ FILE = ["repo", "file_path"]
 
 # How much of a change is searched for.
 TOP_FUNCTIONS, TOP_CLASSES, HITS_PER_SYMBOL = 3, 2, 5
+# Up to this many searched symbols (some 100 MB) are broadcast.
+BROADCAST_SYMBOLS = 1_000_000
 
 
 def changed_sources(pr_files: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -84,30 +86,52 @@ def first_symbols(symbols_per_pr: DataFrame, functions: int, classes: int) -> Da
     )
 
 
+def token_counts(text_col: str) -> Column:
+    """Distinct identifiers of a text as (symbol, mentions) structs, counted inside the row.
+
+    Equal tokens become neighbours by sorting; a back-reference then takes each run of lines whole.
+    """
+    tokens = F.regexp_extract_all(text_col, F.lit(symbols.ID), F.lit(0))
+    sorted_lines = F.concat(F.array_join(F.array_sort(tokens), "\n"), F.lit("\n"))
+    runs = F.regexp_extract_all(sorted_lines, F.lit(r"([^\n]++)\n(?:\1\n)*+"), F.lit(0))
+
+    def entry(run: Column) -> Column:
+        token = F.substring_index(run, "\n", 1)
+        count = (F.length(run) / (F.length(token) + 1)).cast("bigint")
+        return F.struct(token.alias("symbol"), count.alias("mentions"))
+
+    return F.transform(runs, entry)
+
+
 def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per (repo, symbol), the Python files that mention it most, at most HITS_PER_SYMBOL.
 
-    Independent of the asking changes, so each symbol is searched once. Tokens are counted under
-    (repo, symbol, file), which spreads popular symbols; the limit then prunes inside every task
-    before the last shuffle.
+    Independent of the asking changes, so each symbol is searched once. Tokens are counted inside
+    their file's row and the limit prunes inside every task, so the one shuffle carries a few rows
+    per task and symbol however popular a symbol is. A short list of wanted symbols, after its
+    size is checked, is broadcast to drop all other tokens first; a long one is applied at the end.
     """
-    names = wanted.select("repo", F.col("name").alias("symbol")).distinct()
-    tokens = (
+    mentions = (
         repo_files.where(paths.extension(F.col("file_path")) == "py")
-        .select(*FILE, F.explode_outer(F.regexp_extract_all("content", F.lit(symbols.ID), F.lit(0))).alias("symbol"))
-        .join(names, ["repo", "symbol"], "left_semi")
+        .select(*FILE, F.explode_outer(token_counts("content")).alias("t"))
+        .select(*FILE, "t.symbol", "t.mentions")
     )
-    counted = tokens.groupBy("repo", "symbol", "file_path").agg(F.count(F.lit(1)).alias("mentions"))
+    names = wanted.select("repo", F.col("name").alias("symbol")).distinct()
+    if names.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS:
+        mentions = mentions.join(F.broadcast(names), ["repo", "symbol"], "left_semi")
     order = Window.partitionBy("repo", "symbol").orderBy(F.col("mentions").desc(), "file_path")
-    return counted.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= HITS_PER_SYMBOL)
+    return mentions.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= HITS_PER_SYMBOL)
 
 
-def impact_analysis(pr_files: DataFrame, repo_files: DataFrame, symbols_per_pr: DataFrame) -> DataFrame:
+def impact_analysis(
+    pr_files: DataFrame, repo_files: DataFrame, symbols_per_pr: DataFrame, keep=lambda df, _: df,
+) -> DataFrame:
     """Files outside each change that mention its first symbols; one row per (change, file).
 
-    `impact_ord` keeps the order of discovery: symbol by symbol, best hit first.
+    `impact_ord` keeps the order of discovery: symbol by symbol, best hit first. `keep(df, name)`
+    may materialise the searched symbols, which are counted before they are used.
     """
-    searched = first_symbols(symbols_per_pr, TOP_FUNCTIONS, TOP_CLASSES)
+    searched = keep(first_symbols(symbols_per_pr, TOP_FUNCTIONS, TOP_CLASSES), "searched")
     hits = mentioning_files(repo_files, searched)
     found = searched.withColumnRenamed("name", "symbol").join(hits, ["repo", "symbol"])
     outside = found.join(pr_files.select(*PR, "file_path"), [*PR, "file_path"], "left_anti")

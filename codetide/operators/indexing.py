@@ -36,15 +36,16 @@ def eligible_files(files: DataFrame) -> DataFrame:
 
 
 def hashed_keys(files: DataFrame) -> DataFrame:
-    """Keys with content hash; the hash is NULL where the content could not be decoded."""
-    return files.select(*FILE, text.content_hash(F.col("content")).alias("content_hash"))
+    """Keys with content hash, and whether the content could be decoded."""
+    return files.select(
+        *FILE, F.col("content").isNotNull().alias("decodable"), text.content_hash(F.col("content")).alias("content_hash"))
 
 
 def changed_keys(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
     """Decodable files whose hash is absent from the ledger or differs, with the new hash."""
     stored = ledger.select(*FILE, F.col("content_hash").alias("_stored"))
     return (
-        hashed.where(F.col("content_hash").isNotNull())
+        hashed.where("decodable")
         .join(stored, FILE, "left")
         .where(~F.col("content_hash").eqNullSafe(F.col("_stored")))
         .select(*FILE, "content_hash")
@@ -148,7 +149,7 @@ def label_run(files: DataFrame, hashed: DataFrame, new_chunks: DataFrame, full:
         .select(
             *FILE,
             F.when(F.col("outcome") != "eligible", "skipped")
-            .when(F.col("content_hash").isNull(), "errors")
+            .when(~F.coalesce("decodable", F.lit(False)), "errors")
             .when(F.col("_stored"), "indexed")
             .otherwise("skipped").alias("outcome"))
     )

@@ -15,12 +15,12 @@ def assemble(
 
     `repo_files` holds current sources, `chunks` the index, `pr_vectors` (repo, pr_id, embedding)
     the query vector of each change, `written` optional model summaries. `keep(df, name)` may
-    materialise the two stages that feed several tables.
+    materialise the stages that feed several tables.
     """
     wide = keep(impact.symbol_table(impact.changed_sources(pr_files, repo_files)), "symbols")
     symbols = impact.pr_symbols(pr_files, wide)
     summaries = review.file_summaries(pr_files, impact.file_structures(wide), written)
-    impacted = keep(impact.impact_analysis(pr_files, repo_files, symbols), "impact")
+    impacted = keep(impact.impact_analysis(pr_files, repo_files, symbols, keep), "impact")
     context = retrieval.retrieve_context(chunks, pr_vectors, pr_files)
     scored = risk.gate(risk.pr_risk(pr_files, impacted, pack))
     issues = risk.issue_lists(pr_files, pack)

@@ -376,7 +376,7 @@ def pr_symbols(t):
 
 @_query
 def impact_analysis(t):
-    found = impact.impact_analysis(t.code_prs, t.code_files, impact.pr_symbols(t.code_prs, _changed_symbols(t)))
+    found = impact.impact_analysis(t.code_prs, t.code_files, impact.pr_symbols(t.code_prs, _changed_symbols(t)), materialise)
     return found.withColumn("impact_ord", F.col("impact_ord").cast("bigint"))
 
 
