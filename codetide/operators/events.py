@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 from codetide import schemas
 from codetide.functions import signing
 
-# Length of a status text.
+# Fixed value: length of a status text.
 STATUS_CHARS = 140
-STATUS_CONTEXT = "AI PR Reviewer"
+# Label under which a host lists the statuses.
+STATUS_CONTEXT = "code-review"
 
 
 def parse_payload(events: DataFrame) -> DataFrame:

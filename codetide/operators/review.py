@@ -87,6 +87,15 @@ def fix_candidates(pr_files: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
+def fix_requests(candidates: DataFrame, issue_lists: DataFrame) -> DataFrame:
+    """Data part of the request for a fix: code of the first files and the issues, per part."""
+    code = candidates.groupBy(*PR).agg(F.array_sort(F.collect_list(F.struct("file_ord", "snippet"))).alias("_s"))
+    snippets = F.array_join(F.transform("_s", lambda s: s["snippet"]), "\n")
+    bullets = F.array_join(F.transform("security_issues", lambda i: F.concat(F.lit("- "), i)), "\n")
+    return issue_lists.join(code, PR).select(
+        *PART, F.concat(F.lit("## Files Changed\n"), snippets, F.lit("\n\n## Security Issues\n"), bullets).alias("request"))
+
+
 def retrieval_query_text(first_symbols: DataFrame, summaries: DataFrame) -> DataFrame:
     """Search text per change: up to five function and class names and three summary heads."""
     names = first_symbols.groupBy(*PR).agg(
@@ -176,10 +185,13 @@ def spread_over_parts(per_change: DataFrame) -> DataFrame:
 def report(
     risk: DataFrame, summaries: DataFrame, issue_lists: DataFrame,
     impact: DataFrame | None = None, context: DataFrame | None = None, unindexed: DataFrame | None = None,
+    reviews: DataFrame | None = None, fixes: DataFrame | None = None,
 ) -> DataFrame:
     """Report sections and review body of every part of every change.
 
     `unindexed` lists repositories (repo) without any chunk, for the hint in the context section.
+    `reviews` and `fixes` may hold model texts (repo, pr_id, text), one per change: a review text
+    takes the place of the file listing, a fix is appended to the last part.
     """
     changes = risk.select(*PR, "changed_files_count", "missing_tests", "score", "level", "issue_count")
     for extra, name in ((impact_texts(impact) if impact is not None else None, "impact_text"),
@@ -190,6 +202,11 @@ def report(
     else:
         flag = unindexed.select("repo").distinct().withColumn("_unindexed", F.lit(True))
         changes = changes.join(flag, "repo", "left").withColumn("_unindexed", F.coalesce("_unindexed", F.lit(False)))
+    for texts, name in ((reviews, "_review"), (fixes, "_fix")):
+        if texts is None:
+            changes = changes.withColumn(name, F.lit(None).cast("string"))
+        else:
+            changes = changes.join(texts.select(*PR, F.col("text").alias(name)), PR, "left")
     rows = (
         spread_over_parts(changes)
         .join(summary_parts(summaries), PART, "left")
@@ -206,6 +223,9 @@ def report(
             "\n⚠️ **Warning**: No tests were modified. Consider adding tests for the new code.",
         ).otherwise(""),
     )
+    body = F.when(F.col("_review").isNull(), review).when(first, F.col("_review")).otherwise("")
+    wanted = last & F.col("_fix").isNotNull() & ~F.contains(F.lower("_fix"), F.lit("no fixes needed"))
+    suggestion = F.when(wanted, F.concat(F.lit("\n\n---\n\n## 🔧 Suggested Fix\n\n"), F.col("_fix"))).otherwise("")
     no_context = F.when(
         F.col("_unindexed"), "⚠️ Codebase not indexed yet. Run indexing for better context.",
     ).otherwise("No additional context found.")
@@ -217,5 +237,5 @@ def report(
         .otherwise("✅ No security issues detected.").alias("issues_text"),
         F.coalesce("impact_text", F.lit("No cross-file impacts detected.")).alias("impact_text"),
         F.coalesce("context_text", no_context).alias("context_text"),
-        F.when(first, F.concat(header, F.lit("\n\n---\n\n"), review)).otherwise(review).alias("body"),
+        F.concat(F.when(first, F.concat(header, F.lit("\n\n---\n\n"))).otherwise(""), body, suggestion).alias("body"),
     )

@@ -447,12 +447,17 @@ def statements() -> dict[str, str]:
         "risk_badge": f"{_PR_RISK} SELECT repo, pr_id, {_BADGE} AS badge FROM risk",
         "status_rows": (
             f"{_PR_RISK}, req AS (SELECT repo, pr_id, concat('c', pr_id) AS sha, pr_id % 11 = 5 AS failed, state, description FROM gated WHERE pr_id % 7 <> 3)"
-            " SELECT repo, pr_id, sha, CAST(0 AS BIGINT) AS seq, 'pending' AS state, 'AI review in progress...' AS description, 'AI PR Reviewer' AS context FROM req"
+            " SELECT repo, pr_id, sha, CAST(0 AS BIGINT) AS seq, 'pending' AS state, 'AI review in progress...' AS description, 'code-review' AS context FROM req"
             " UNION ALL SELECT repo, pr_id, sha, 1, CASE WHEN failed THEN 'error' ELSE state END,"
-            " CASE WHEN failed THEN 'Failed: Missing context data' ELSE description END, 'AI PR Reviewer' FROM req"),
+            " CASE WHEN failed THEN 'Failed: Missing context data' ELSE description END, 'code-review' FROM req"),
         "fix_candidates": (
             f"{_PR_RISK} SELECT repo, pr_id, file_ord, concat('### ', file_path, chr(10), '```diff', chr(10), substring(patch, 1, 1000), chr(10), '```') AS snippet"
             " FROM pr_files p WHERE file_ord < 3 AND patch <> '' AND EXISTS (SELECT 1 FROM issues i WHERE i.repo = p.repo AND i.pr_id = p.pr_id)"),
+        "fix_requests": (
+            f"{_PR_RISK}, code AS (SELECT repo, pr_id, string_agg(concat('### ', file_path, chr(10), '```diff', chr(10), substring(patch, 1, 1000), chr(10), '```'), chr(10) ORDER BY file_ord) AS snippets"
+            " FROM pr_files WHERE file_ord < 3 AND patch <> '' GROUP BY ALL)"
+            " SELECT repo, pr_id, CAST(0 AS BIGINT) AS part, concat('## Files Changed', chr(10), snippets, chr(10), chr(10), '## Security Issues', chr(10), bullets) AS request"
+            " FROM code JOIN (SELECT repo, pr_id, string_agg(concat('- ', text), chr(10) ORDER BY file_ord, issue_ord) AS bullets FROM issues GROUP BY ALL) USING (repo, pr_id)"),
         "similar_chunks": f"{_VECTORS},\n{_top5('units', 'units', 'ord')} SELECT repo, query_id, id, rank, round(similarity, 6) AS similarity FROM hits",
         "similar_filtered": (
             f"{_VECTORS},\n{_top5('units', 'units', 'ord', condition=_str('code_chunk') + ' = c.chunk_type')}"
@@ -484,7 +489,7 @@ def statements() -> dict[str, str]:
             " chr(10), chr(10), 'Diff:', chr(10), '```', chr(10), patch, chr(10), '```') AS request FROM summaries WHERE size_class = 'large'"),
         "pr_report": f"{_REVIEW}\n{_report('code_prs', True)}",
         "pr_report_patches": f"{_PR_RISK},\n{_summaries_cte('pr_files', False)}\n{_report('pr_files', False)}",
-        "pr_overview": (
+        "pr_review": (
             f"{_REVIEW} SELECT g.repo, g.pr_id, changed_files_count, total_additions, total_deletions, tests_modified, missing_tests, impacted_files, issue_count,"
             " coalesce(c.n, 0) AS context_chunks, score, level, state, description FROM gated g"
             " LEFT JOIN (SELECT repo, pr_id, count(*) AS n FROM context GROUP BY ALL) c USING (repo, pr_id)"),

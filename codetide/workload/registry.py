@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codetide import hooks, schemas
 from codetide.functions import paths, text
 from codetide.operators import events, impact, indexing, retrieval, review, risk, similarity
-from codetide.plans import index_run, pr_review
+from codetide.plans import index_run, pr_review as review_plan
 from codetide.session import materialise, shared_folder
 from codetide.sources import index_store, readers
 from codetide.streaming import events as event_streams
@@ -395,7 +395,7 @@ def retrieval_status(t):
 def retrieval_query_text(t):
     wide = materialise(_changed_symbols(t), "symbols")
     summaries = review.file_summaries(t.code_prs, impact.file_structures(wide))
-    return pr_review.query_texts(t.code_prs, impact.pr_symbols(t.code_prs, wide), summaries)
+    return review_plan.query_texts(t.code_prs, impact.pr_symbols(t.code_prs, wide), summaries)
 
 
 # ---- review ----------------------------------------------------------------
@@ -420,9 +420,15 @@ def summary_requests(t):
     return review.summary_requests(t.code_prs, _structures(t)).select(*PR, "file_ord", "request")
 
 
+@_query
+def fix_requests(t):
+    return review.fix_requests(
+        review.fix_candidates(t.pr_files, risk.security_issues(t.pr_files)), risk.issue_lists(t.pr_files))
+
+
 @_query
 def pr_report(t):
-    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
+    tables = review_plan.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
     return tables["report"]
 
 
@@ -434,9 +440,9 @@ def pr_report_patches(t):
 
 
 @_query
-def pr_overview(t):
-    tables = pr_review.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
-    return pr_review.overview(tables)
+def pr_review(t):
+    tables = review_plan.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)
+    return review_plan.overview(tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

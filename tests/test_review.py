@@ -71,6 +71,40 @@ def test_report_of_a_large_change_comes_in_parts(spark):
     assert rows[0].issues_text == "" and rows[1].issues_text.endswith("Command Injection in `f110.py`")
 
 
+def test_model_review_and_fix(spark):
+    files = files_df(spark, [("o/r", i, 0, "a.py", "m", "+eval(x)", 1, 0) for i in (1, 2)])
+    texts = "repo string, pr_id bigint, text string"
+    reviews = spark.createDataFrame([("o/r", 1, "Looks fine.")], texts)
+    fixes = spark.createDataFrame([("o/r", 1, "Use ast."), ("o/r", 2, "No fixes needed.")], texts)
+    rows = {r.pr_id: r.body for r in review.report(
+        risk.pr_risk(files), review.file_summaries(files), risk.issue_lists(files), reviews=reviews, fixes=fixes).collect()}
+    assert rows[1] == (
+        "## 🔴 Risk Score: 75/100 (Critical)\n⚠️ **1 security issue(s) detected**\n\n---\n\nLooks fine."
+        "\n\n---\n\n## 🔧 Suggested Fix\n\nUse ast.")
+    assert "Fallback" in rows[2] and "Suggested Fix" not in rows[2]
+
+
+def test_repeated_tokens_are_counted_in_place(spark):
+    text = "alpha " * 100_000 + "alphabet beta beta _x $y 9z é1 é1"
+    df = spark.createDataFrame([(text,)], "content string")
+    got = {e.symbol: e.mentions for e in df.select(impact.token_counts("content").alias("t")).first().t}
+    assert got == {"alpha": 100_000, "alphabet": 1, "beta": 2, "_x": 1, "$y": 1, "z": 1, "é1": 2}
+
+
+def test_popular_symbol_search_without_broadcast(spark, monkeypatch):
+    sources = [("o/r", f"u{i:04d}.py", "self " * (i % 7 + 1)) for i in range(500)]
+    repo_files = spark.createDataFrame(sources, "repo string, file_path string, content string")
+    wanted = spark.createDataFrame([("o/r", "self")], "repo string, name string")
+
+    def found():
+        return [(r.file_path, r.mentions) for r in impact.mentioning_files(repo_files, wanted).where("symbol = 'self'").orderBy("hit_ord").collect()]
+
+    want = [(p, 7) for p in ("u0006.py", "u0013.py", "u0020.py", "u0027.py", "u0034.py")]
+    assert found() == want
+    monkeypatch.setattr(impact, "BROADCAST_SYMBOLS", 0)
+    assert found() == want
+
+
 def test_badge_colours(spark):
     df = spark.createDataFrame([(39, 0), (40, 0), (70, 2)], "score bigint, n bigint")
     got = [r[0] for r in df.orderBy("score").select(review.badge(F.col("score"), F.lit("X"), F.col("n"))).collect()]
