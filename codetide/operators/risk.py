@@ -40,55 +40,62 @@ def _package_hits() -> list[tuple[str, Column]]:
     ]
 
 
-def _checks(pack) -> list[tuple[str, int, Column, Column]]:
-    """(kind, points, hit, issue text) in reporting order within a file.
+def _checks(pack) -> list[tuple[str, int, Column]]:
+    """(kind, points, issue text) in reporting order within a file; the position is the bit in `hits`.
 
     `pack` names a rule pack or is one, in the form of rules.DEFAULT_RULES.
     """
     ticked = F.concat(F.lit("`"), F.col("file_path"), F.lit("`"))
-    checks = [
-        ("sensitive_file", rules.SENSITIVE_POINTS, paths.is_sensitive(F.col("file_path")),
-         F.concat(F.lit("🔴 Sensitive file modified: "), ticked))
-    ]
-    for category, points, label, patterns in rules.rule_pack(pack):
-        hit = reduce(lambda a, b: a | b, (_pattern_hit(p, needle) for p, needle in patterns))
-        checks.append((category, points, hit, F.concat(F.lit(f"{label} in "), ticked)))
-    for name, hit in _package_hits():
-        checks.append(("vulnerable_package", rules.PACKAGE_POINTS, hit,
-                       F.lit(f"📦 Potentially vulnerable package: `{name}`")))
+    checks = [("sensitive_file", rules.SENSITIVE_POINTS, F.concat(F.lit("🔴 Sensitive file modified: "), ticked))]
+    for category, points, label, _ in rules.rule_pack(pack):
+        checks.append((category, points, F.concat(F.lit(f"{label} in "), ticked)))
+    for name in (*rules.VULNERABLE_PYTHON, *rules.VULNERABLE_JAVASCRIPT):
+        checks.append(("vulnerable_package", rules.PACKAGE_POINTS, F.lit(f"📦 Potentially vulnerable package: `{name}`")))
+    if len(checks) > 62:
+        raise ValueError("a rule pack holds at most 55 categories")
     return checks
 
 
-def scan_files(pr_files: DataFrame, pack="default") -> tuple[DataFrame, list[tuple[str, int, Column, Column]]]:
-    """Per-file boolean hit columns, with the checks that refer to them."""
-    checks = _checks(pack)
-    scanned = (
+def scan_files(pr_files: DataFrame, pack="default") -> DataFrame:
+    """The scan: one narrow pass over the patches that leaves a bit mask `hits` per file."""
+    path = F.col("file_path")
+    conditions = [paths.is_sensitive(path)]
+    for _, _, _, patterns in rules.rule_pack(pack):
+        conditions.append(reduce(lambda a, b: a | b, (_pattern_hit(p, needle) for p, needle in patterns)))
+    conditions += [hit for _, hit in _package_hits()]
+    bits = reduce(add, (F.when(hit, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, hit in enumerate(conditions)))
+    return (
         pr_files.withColumn("added_code", text.added_code(F.col("patch")))
-        .withColumn("_lower", F.lower(F.col("added_code")))
-        .withColumn("_folds", F.col("added_code").rlike("[\u017f\u212a\u0130\u0131]"))
-        .withColumns({f"_hit{i}": F.coalesce(hit, F.lit(False)) for i, (_, _, hit, _) in enumerate(checks)})
+        .withColumns({"_lower": F.lower("added_code"), "_folds": F.col("added_code").rlike("[\u017f\u212a\u0130\u0131]")})
+        .select(*PR, "file_ord", "file_path", "additions", "deletions", bits.alias("hits"))
     )
-    return scanned, [(kind, pts, F.col(f"_hit{i}"), txt) for i, (kind, pts, _, txt) in enumerate(checks)]
 
 
-def security_issues(pr_files: DataFrame, pack="default") -> DataFrame:
-    """One row per issue, ordered by (file_ord, issue_ord) inside a change."""
-    scanned, checks = scan_files(pr_files, pack)
+def _scanned(files: DataFrame, pack) -> DataFrame:
+    return files if "hits" in files.columns else scan_files(files, pack)
+
+
+def _bit(i: int) -> Column:
+    return F.col("hits").bitwiseAND(F.lit(1 << i)) != 0
+
+
+def security_issues(files: DataFrame, pack="default") -> DataFrame:
+    """One row per issue of changed files (scanned or not), ordered by (file_ord, issue_ord) inside a change."""
     candidates = F.array(*[
-        F.when(hit, F.struct(F.lit(i).alias("issue_ord"), F.lit(kind).alias("kind"),
-                             F.lit(points).alias("points"), txt.alias("text")))
-        for i, (kind, points, hit, txt) in enumerate(checks)
+        F.when(_bit(i), F.struct(
+            F.lit(i).alias("issue_ord"), F.lit(kind).alias("kind"), F.lit(points).alias("points"), txt.alias("text")))
+        for i, (kind, points, txt) in enumerate(_checks(pack))
     ])
     return (
-        scanned.select(*PR, "file_ord", "file_path", F.explode(candidates).alias("issue"))
+        _scanned(files, pack).select(*PR, "file_ord", "file_path", F.explode(candidates).alias("issue"))
         .where(F.col("issue").isNotNull())
         .select(*PR, "file_ord", "file_path", "issue.issue_ord", "issue.kind", "issue.points", "issue.text")
     )
 
 
-def pattern_findings(pr_files: DataFrame, pack="default") -> DataFrame:
+def pattern_findings(files: DataFrame, pack="default") -> DataFrame:
     """Rule findings only: at most one row per (file, category)."""
-    return security_issues(pr_files, pack).where(~F.col("kind").isin("sensitive_file", "vulnerable_package"))
+    return security_issues(files, pack).where(~F.col("kind").isin("sensitive_file", "vulnerable_package"))
 
 
 def pr_totals(pr_files: DataFrame) -> DataFrame:
@@ -108,15 +115,13 @@ def test_impact(pr_files: DataFrame) -> DataFrame:
     )
 
 
-def pr_metrics(pr_files: DataFrame, pack="default") -> DataFrame:
-    """All per-change counts in one aggregation: totals, tests, security points and issues."""
-    scanned, checks = scan_files(pr_files, pack)
+def pr_metrics(files: DataFrame, pack="default") -> DataFrame:
+    """All per-change counts of changed files (scanned or not) in one aggregation."""
     is_test = paths.is_test(F.col("file_path"))
-    points = reduce(add, (F.when(hit, F.lit(pts)).otherwise(F.lit(0)) for _, pts, hit, _ in checks))
-    issues = reduce(add, (hit.cast("int") for _, _, hit, _ in checks))
-    per_file = scanned.select(
+    points = reduce(add, (F.when(_bit(i), F.lit(pts)).otherwise(F.lit(0)) for i, (_, pts, _) in enumerate(_checks(pack))))
+    per_file = _scanned(files, pack).select(
         *PR, F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"),
-        is_test.alias("_test"), points.alias("_points"), issues.alias("_issues"),
+        is_test.alias("_test"), points.alias("_points"), F.bit_count("hits").alias("_issues"),
     )
     return (
         per_file.groupBy(*PR)
@@ -181,9 +186,9 @@ def score_risk(metrics: DataFrame) -> DataFrame:
     )
 
 
-def pr_risk(pr_files: DataFrame, impact: DataFrame | None = None, pack="default") -> DataFrame:
-    """Risk of each change. `impact` holds one row per impacted file (repo, pr_id, file, ...)."""
-    metrics = pr_metrics(pr_files, pack)
+def pr_risk(files: DataFrame, impact: DataFrame | None = None, pack="default") -> DataFrame:
+    """Risk of each change from its files, scanned or not. `impact` holds one row per impacted file (repo, pr_id, file, ...)."""
+    metrics = pr_metrics(files, pack)
     if impact is None:
         counted = metrics.withColumn("impacted_files", F.lit(0).cast("bigint"))
     else:
@@ -207,10 +212,10 @@ def part_of(file_ord: Column) -> Column:
     return F.floor(file_ord / FILES_PER_PART).cast("bigint")
 
 
-def issue_lists(pr_files: DataFrame, pack="default") -> DataFrame:
+def issue_lists(files: DataFrame, pack="default") -> DataFrame:
     """Ordered issue texts per change, in parts of at most FILES_PER_PART files."""
     return (
-        security_issues(pr_files, pack)
+        security_issues(files, pack)
         .groupBy(*PR, part_of(F.col("file_ord")).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("file_ord", "issue_ord", "text"))).alias("_issues"))
         .select(*PR, "part", F.transform("_issues", lambda i: i["text"]).alias("security_issues"))

@@ -32,11 +32,16 @@ def plan_run(
 
 def run_index(
     spark: SparkSession, index_path: str, files: DataFrame, embed: Callable[[DataFrame], DataFrame], full: bool = True,
-    buckets: int = index_store.BUCKETS,
+    buckets: int = index_store.BUCKETS, repair: bool = False,
 ) -> DataFrame:
-    """Index changed files into the store and return counts per repository."""
+    """Index changed files into the store and return counts per repository.
+
+    `repair` also re-indexes files whose chunks are missing.
+    """
     stages = Stages(spark)
-    _, ledger = index_store.load_index(spark, index_path)
+    chunks, ledger = index_store.load_index(spark, index_path)
+    if repair:
+        ledger = index_store.repaired_ledger(chunks, ledger)
     new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=stages.keep)
     # Counted before the store changes; hashes are kept because the rewrite reads them several times.
     counts = materialise(indexing.run_stats(labelled), "counts")

@@ -22,8 +22,9 @@ def assemble(
     summaries = review.file_summaries(pr_files, impact.file_structures(wide), written)
     impacted = keep(impact.impact_analysis(pr_files, repo_files, symbols, keep), "impact")
     context = retrieval.retrieve_context(chunks, pr_vectors, pr_files)
-    scored = risk.gate(risk.pr_risk(pr_files, impacted, pack))
-    issues = risk.issue_lists(pr_files, pack)
+    scanned = keep(risk.scan_files(pr_files, pack), "scanned")
+    scored = risk.gate(risk.pr_risk(scanned, impacted, pack))
+    issues = risk.issue_lists(scanned, pack)
     unindexed = pr_files.select("repo").distinct().join(chunks.select("repo").distinct(), "repo", "left_anti")
     return {
         "symbols": symbols,

@@ -83,6 +83,11 @@ def save_index(path: str, chunks: DataFrame, ledger: DataFrame, buckets: int = B
             "partitionOverwriteMode", "static").partitionBy("repo", "bucket").parquet(f"{path}/{name}")
 
 
+def repaired_ledger(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger without files that have no chunk, as a commit cut short by a lost driver may leave them."""
+    return ledger.join(chunks.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+
+
 def stats(spark: SparkSession, path: str) -> DataFrame:
     """Chunk and file counts per repository; reads no texts and no vectors."""
     return indexing.index_stats(*load_index(spark, path))

@@ -401,6 +401,10 @@ def statements() -> dict[str, str]:
         "index_load": (
             f"{with_clause('code_chunks')} SELECT repo, coalesce(c.n, 0) AS total_chunks, l.n AS indexed_files"
             " FROM (SELECT repo, count(*) AS n FROM code_files GROUP BY repo) l LEFT JOIN (SELECT repo, count(*) AS n FROM code_chunks GROUP BY repo) c USING (repo)"),
+        "embed_chunks": (
+            f"{with_clause('code_files')},\n{_symbols_cte('code_files')},\n{_chunks_cte('wide', True)} SELECT repo, file_path, seq,"
+            r" CASE WHEN n > 0 THEN 64 ELSE 0 END AS dimensions, CAST(n AS DOUBLE) AS token_count FROM"
+            r" (SELECT *, len(regexp_extract_all(content, '[\p{L}\p{N}_]+')) AS n FROM chunked)"),
         "event_scan": (
             f"{_HOOKS} SELECT event_id, received_at, event, action, installation_id, repo,"
             " CASE WHEN event_id % 19 <> 5 THEN sha END AS sha FROM webhooks"),

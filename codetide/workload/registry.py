@@ -288,7 +288,8 @@ def pr_risk(t):
 
 @_query
 def risk_factors(t):
-    return risk.risk_factors(risk.pr_risk(t.pr_files), risk.security_issues(t.pr_files))
+    scanned = materialise(risk.scan_files(t.pr_files), "scanned")
+    return risk.risk_factors(risk.pr_risk(scanned), risk.security_issues(scanned))
 
 
 @_query
@@ -422,8 +423,9 @@ def summary_requests(t):
 
 @_query
 def fix_requests(t):
+    scanned = materialise(risk.scan_files(t.pr_files), "scanned")
     return review.fix_requests(
-        review.fix_candidates(t.pr_files, risk.security_issues(t.pr_files)), risk.issue_lists(t.pr_files))
+        review.fix_candidates(t.pr_files, risk.security_issues(scanned)), risk.issue_lists(scanned))
 
 
 @_query
@@ -435,8 +437,8 @@ def pr_report(t):
 @_query
 def pr_report_patches(t):
     """Report over the change requests with findings, without sources or index."""
-    scored = risk.pr_risk(t.pr_files)
-    return review.report(scored, review.file_summaries(t.pr_files), risk.issue_lists(t.pr_files))
+    scanned = materialise(risk.scan_files(t.pr_files), "scanned")
+    return review.report(risk.pr_risk(scanned), review.file_summaries(t.pr_files), risk.issue_lists(scanned))
 
 
 @_query

@@ -92,6 +92,17 @@ def test_removing_the_last_files_empties_the_index(spark, tmp_path):
     assert [r.repo for r in chunks.collect()] == ["o/s"] and [r.repo for r in ledger.collect()] == ["o/s"]
 
 
+def test_repair_after_lost_chunks(spark, tmp_path):
+    import shutil
+    path = str(tmp_path / "index")
+    files = files_df(spark, [("o/r", "a.md", "x"), ("o/s", "b.md", "y")])
+    index_run.run_index(spark, path, files, EMBED, buckets=1)
+    shutil.rmtree(tmp_path / "index" / "chunks" / "repo=o%2Fr")
+    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=1)) == {"o/r": (0, 1, 0), "o/s": (0, 1, 0)}
+    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=1, repair=True)) == {"o/r": (1, 0, 0), "o/s": (0, 1, 0)}
+    assert index_store.load_index(spark, path)[0].count() == 2
+
+
 def test_missing_index_is_empty(spark, tmp_path):
     chunks, ledger = index_store.load_index(spark, str(tmp_path / "none"))
     assert chunks.count() == 0 and ledger.count() == 0

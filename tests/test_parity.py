@@ -21,8 +21,7 @@ def normal(value):
 
 
 def test_every_statement_has_a_query():
-    assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"embed_chunks"}
+    assert set(SQL) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -40,8 +39,3 @@ def test_parity(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
-
-
-def test_embed_chunks(spark, sf_dir):
-    rows = QUERIES["embed_chunks"](spark, sf_dir).collect()
-    assert rows and all(r.dimensions in (0, 64) and (r.token_count > 0) == (r.dimensions == 64) for r in rows)
