@@ -60,9 +60,9 @@ BRACKET_WORDS = {
     "go": ("func", "import", "var", "const", "type", "interface", "map", "chan", "struct", "select"),
     "rust": ("fn", "pub", "impl", "let", "where", "use"),
 }
-_JAVA_STATEMENT = "return|throw|new|else|case|assert|yield|package|import"
-_JAVA_MODIFIER = "public|private|protected|static|final|abstract|synchronized|native|default|strictfp"
-_CONTROL = ("if", "for", "while", "switch", "catch", "with", "function", "return")
+JAVA_STATEMENTS = "return|throw|new|else|case|assert|yield|package|import"
+JAVA_MODIFIERS = "public|private|protected|static|final|abstract|synchronized|native|default|strictfp"
+CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "with", "function", "return")
 
 PATTERNS = {
     "python_import": rf"(?m)^{WS}*import{WS}+([^\n;]+)",
@@ -165,7 +165,7 @@ def _go_imports(text: Column) -> Column:
 
 
 def _script_functions(code: Column) -> Column:
-    return F.filter(_first_group(code, "script_function", 3), lambda name: ~name.isin(*_CONTROL))
+    return F.filter(_first_group(code, "script_function", 3), lambda name: ~name.isin(*CONTROL_WORDS))
 
 
 def _java_functions(code: Column) -> Column:
@@ -173,7 +173,7 @@ def _java_functions(code: Column) -> Column:
 
     def is_method(m: Column) -> Column:
         before = F.regexp_extract(m, pattern, 1)  # modifiers and return type; constructors have no type
-        return ~before.rlike(rf"^(?:{_JAVA_STATEMENT})\b") & ~before.rlike(rf"^(?:(?:{_JAVA_MODIFIER}){WS}+)+$")
+        return ~before.rlike(rf"^(?:{JAVA_STATEMENTS})\b") & ~before.rlike(rf"^(?:(?:{JAVA_MODIFIERS}){WS}+)+$")
 
     declared = F.filter(_all(code, "java_method", 0), is_method)
     return F.transform(declared, lambda m: F.regexp_extract(m, pattern, 2))
@@ -252,7 +252,7 @@ def with_symbols(files: DataFrame, path: str = "file_path", content: str = "cont
             F.when(lang == "python", _names(code, "python_def"))
             .when(script, _script_functions(code))
             .when(lang == "java", _java_functions(code))
-            .when(c_like, F.filter(_names(code, "c_function"), lambda name: ~name.isin(*_CONTROL)))
+            .when(c_like, F.filter(_names(code, "c_function"), lambda name: ~name.isin(*CONTROL_WORDS)))
             .when(lang == "go", _names(code, "go_function"))
             .when(lang == "rust", _rust_functions(code))
             .otherwise(none),

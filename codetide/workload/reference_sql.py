@@ -79,7 +79,7 @@ def _listed(text: str) -> str:
 
 
 def _without_control(names: str) -> str:
-    return f"list_filter({names}, lambda x: x NOT IN {_list(symbols._CONTROL)})"
+    return f"list_filter({names}, lambda x: x NOT IN {_list(symbols.CONTROL_WORDS)})"
 
 
 _STRINGS = "CAST([] AS VARCHAR[])"
@@ -92,8 +92,8 @@ _PY_FROM = (
 _JAVA_BEFORE = f"regexp_extract(m, {_rx('java_method')}, 1)"
 _JAVA_METHODS = (
     f"list_transform(list_filter({_found('code', 'java_method', 0)}, lambda m:"
-    f" NOT regexp_matches({_JAVA_BEFORE}, {_str(f'^(?:{symbols._JAVA_STATEMENT})\\b')})"
-    f" AND NOT regexp_matches({_JAVA_BEFORE}, {_str(f'^(?:(?:{symbols._JAVA_MODIFIER})[ \\t]+)+$')})),"
+    f" NOT regexp_matches({_JAVA_BEFORE}, {_str(f'^(?:{symbols.JAVA_STATEMENTS})\\b')})"
+    f" AND NOT regexp_matches({_JAVA_BEFORE}, {_str(f'^(?:(?:{symbols.JAVA_MODIFIERS})[ \\t]+)+$')})),"
     f" lambda m: regexp_extract(m, {_rx('java_method')}, 2))")
 _RUST_FNS = (
     f"list_transform(list_filter({_found('code', 'rust_fn', 0)}, lambda m: ends_with(m, '{{')),"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codetide import hooks, schemas
-from codetide.functions import paths, text
+from codetide.functions import paths, signing, text
 from codetide.operators import events, impact, indexing, retrieval, review, risk, similarity
 from codetide.plans import index_run, pr_review as review_plan
 from codetide.session import materialise, shared_folder
@@ -201,8 +201,6 @@ def review_requests(t):
 
 @_query
 def verify_signature(t):
-    from codetide.functions import signing
-
     signed = t.webhooks.select(
         "event_id", "body",
         F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, "sha256=00")

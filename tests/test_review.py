@@ -10,8 +10,8 @@ from codetide.plans import pr_review
 from codetide.sources import readers, sinks
 
 FILES = [
-    ("o/r", 1, 0, "app/utils.py", "modified", '+def helper():\n+    return "hello"', 3, 2),
-    ("o/r", 1, 1, "app/main.py", "modified", "+from app.utils import helper", 15, 0),
+    ("o/r", 1, 0, "lib/shapes.py", "modified", '+def area(r):\n+    return r * r', 3, 2),
+    ("o/r", 1, 1, "lib/draw.py", "modified", "+from lib.shapes import area", 15, 0),
     ("o/r", 1, 2, "logo.png", "added", None, None, None),
 ]
 
@@ -21,10 +21,10 @@ def files_df(spark, rows=FILES):
 
 
 def test_small_and_large_summaries(spark):
-    structures = spark.createDataFrame([("o/r", "app/main.py", "Functions: main")], "repo string, file_path string, structure string")
+    structures = spark.createDataFrame([("o/r", "lib/draw.py", "Functions: draw")], "repo string, file_path string, structure string")
     rows = {r.file_ord: r for r in review.file_summaries(files_df(spark), structures).collect()}
-    assert rows[0].summary == '**app/utils.py** (+3/-2)\n\nDiff content:\n```\n+def helper():\n+    return "hello"\n```'
-    assert rows[1].summary.endswith("\n```\n\nContext: Functions: main") and rows[1].size_class == "large"
+    assert rows[0].summary == '**lib/shapes.py** (+3/-2)\n\nDiff content:\n```\n+def area(r):\n+    return r * r\n```'
+    assert rows[1].summary.endswith("\n```\n\nContext: Functions: draw") and rows[1].size_class == "large"
     assert rows[2].summary == "**logo.png** (+0/-0)\n\nDiff content:\n```\n\n```"
 
 
@@ -32,10 +32,10 @@ def test_model_texts_replace_large_summaries_only(spark):
     requests = review.summary_requests(files_df(spark))
     assert [r.file_ord for r in requests.collect()] == [1]
     assert requests.first().request == (
-        "File: app/main.py (+15/-0)\n\nCode Structure:\nN/A\n\nDiff:\n```\n+from app.utils import helper\n```")
+        "File: lib/draw.py (+15/-0)\n\nCode Structure:\nN/A\n\nDiff:\n```\n+from lib.shapes import area\n```")
     written = hooks.batch_writer(lambda prompts: [f"- text of {len(p)}" for p in prompts])(requests)
     rows = {r.file_ord: r.summary for r in review.file_summaries(files_df(spark), written=written).collect()}
-    assert rows[1].startswith("**app/main.py** (+15/-0)\n- text of ") and rows[0].startswith("**app/utils.py** (+3/-2)\n\nDiff")
+    assert rows[1].startswith("**lib/draw.py** (+15/-0)\n- text of ") and rows[0].startswith("**lib/shapes.py** (+3/-2)\n\nDiff")
 
 
 def test_long_patches_are_cut_and_marked(spark):
@@ -51,7 +51,7 @@ def test_report_of_one_change(spark):
     assert len(rows) == 1
     assert rows[0].body == (
         "## 🟢 Risk Score: 25/100 (Low)\n\n---\n\n## PR Review (Fallback Mode)\n\n**Risk Level**: Low\n\n### Files Changed\n"
-        "- app/utils.py (+3/-2)\n- app/main.py (+15/-0)\n"
+        "- lib/shapes.py (+3/-2)\n- lib/draw.py (+15/-0)\n"
         "\n⚠️ **Warning**: No tests were modified. Consider adding tests for the new code.")
     assert rows[0].issues_text == "✅ No security issues detected."
     assert rows[0].impact_text == "No cross-file impacts detected."

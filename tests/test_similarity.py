@@ -55,11 +55,11 @@ def test_filter_applies_before_ranking(spark):
 
 
 def test_nearest(spark):
-    names = {"calculate_sum": [1.0, 0.0, 0.0], "calculate_product": [0.9, 0.1, 0.0], "DatabaseConnection": [0.0, 0.0, 1.0]}
+    names = {"near": [1.0, 0.0, 0.0], "close": [0.9, 0.1, 0.0], "far": [0.0, 0.0, 1.0]}
     rows = [(n, v + [0.0] * 765) for n, v in names.items()]
     chunks = spark.createDataFrame(rows, "name string, embedding array<double>")
     found = similarity.with_distance(similarity.nearest(chunks, [1.0] + [0.0] * 767, 2, tie_breakers=["name"])).collect()
-    assert [r.name for r in found] == ["calculate_sum", "calculate_product"]
+    assert [r.name for r in found] == ["near", "close"]
     assert found[0].distance == pytest.approx(0.0, abs=1e-6)
 
 

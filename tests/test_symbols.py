@@ -229,11 +229,11 @@ def test_unknown_type_is_empty(extracted):
 
 
 def test_structure_summary(spark):
-    code = "import os\nfrom typing import List\n\nclass MyClass:\n    pass\n\ndef my_function():\n    run(1)\n    run(2)\n"
+    code = "import os\nfrom typing import List\n\nclass Basket:\n    pass\n\ndef fill():\n    run(1)\n    run(2)\n"
     df = spark.createDataFrame([("test.py", code)], "file_path string, content string")
     assert with_symbols(df).select(structure_summary().alias("s")).first().s == (
-        "Language: python\nImports: os\nFrom Imports: typing.List\nClasses/Types: MyClass\n"
-        "Functions: my_function\nCalls: run"
+        "Language: python\nImports: os\nFrom Imports: typing.List\nClasses/Types: Basket\n"
+        "Functions: fill\nCalls: run"
     )
 
 
