@@ -1,0 +1,32 @@
+"""Partition pruning from values known only at run time.
+
+A join on a partition column does not by itself keep unneeded partitions from being read. Where
+few values are wanted they become a literal filter, which prunes the file listing; many values
+are not brought to the driver, and the table is then read whole.
+"""
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_VALUES = 10_000
+
+
+def wanted_values(df: DataFrame, columns: list[str], limit: int | None = None) -> list[tuple] | None:
+    """Distinct values of the columns, or None beyond the limit."""
+    limit = MAX_VALUES if limit is None else limit
+    rows = df.select(*columns).distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else [tuple(r) for r in rows]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def in_partitions(df: DataFrame, columns: list[str], values: list[tuple] | None) -> DataFrame:
+    """Rows whose columns hold one of the values; all rows if the values are not known."""
+    if values is None:
+        return df
+    if not values:
+        return df.where(F.lit(False))
+    key = columns[0] if len(columns) == 1 else "concat_ws('\\n', " + ", ".join(f"cast({c} as string)" for c in columns) + ")"
+    names = sorted({"\n".join(str(v) for v in row) for row in values if None not in row})
+    return df.where(F.expr(f"{key} IN ({', '.join(map(_quoted, names))})")) if names else df.where(F.lit(False))

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codetide.operators import indexing
+from codetide.operators import indexing, pruning
 from codetide.session import Stages, materialise
 from codetide.sources import index_store
 
@@ -39,7 +39,9 @@ def run_index(
     `repair` also re-indexes files whose chunks are missing.
     """
     stages = Stages(spark)
-    chunks, ledger = index_store.load_index(spark, index_path)
+    repos = pruning.wanted_values(files, ["repo"])
+    chunks, ledger = (
+        pruning.in_partitions(table, ["repo"], repos) for table in index_store.load_index(spark, index_path))
     if repair:
         ledger = index_store.repaired_ledger(chunks, ledger)
     new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=stages.keep)

@@ -9,7 +9,7 @@ contents, so an interrupted update is simply redone by the next run.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codetide import schemas
-from codetide.operators import indexing
+from codetide.operators import indexing, pruning
 from codetide.sources.readers import read_table
 
 # Path buckets per repository; an index keeps the number it was written with.
@@ -44,9 +44,13 @@ def _rewrite(
     names = schema.fieldNames()
     keys = dropped.select("repo", "file_path").distinct().withColumn("bucket", bucket_of(F.col("file_path"), buckets))
     partitions = keys.select("repo", "bucket").distinct()
+    touched = pruning.wanted_values(partitions, ["repo", "bucket"])
+    if touched == []:
+        return
+    # Untouched partitions are not even read; when too many are touched to list, all are rewritten.
     kept = (
-        _load(spark, path, schema).where(F.col("file_path").isNotNull())
-        .join(partitions, ["repo", "bucket"], "left_semi")
+        pruning.in_partitions(_load(spark, path, schema), ["repo", "bucket"], touched)
+        .where(F.col("file_path").isNotNull())
         .join(keys.select("repo", "file_path"), ["repo", "file_path"], "left_anti")
         .select(*names, "bucket")
     )
