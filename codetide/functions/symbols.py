@@ -260,7 +260,7 @@ def with_symbols(files: DataFrame, path: str = "file_path", content: str = "cont
         .withColumn(
             "classes",
             F.when(lang == "python", _names(code, "python_class"))
-            .when(script, _names(code, "script_class"))
+            .when(script, F.filter(_names(code, "script_class"), lambda name: name != "extends"))
             .when(lang == "java", _names(code, "java_class"))
             .when(c_like, _names(code, "c_class"))
             .when(lang == "go", _names(code, "go_type"))

@@ -97,6 +97,28 @@ def top_k_of_block_pair(ids, ords, chunks: np.ndarray, queries: np.ndarray, k: i
     return query_rows, chunk_rows, scores[chunk_rows, query_rows]
 
 
+def score_against(vector: list[float], k: int):
+    """mapInArrow function: rows with an `embedding` to each batch's k best (and ties), scored against one vector."""
+    query = np.asarray(vector, np.float64)
+    query = query / (np.linalg.norm(query) + EPSILON)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lengths = table.column("embedding").combine_chunks().value_lengths().fill_null(0).to_numpy()
+            table = table.take(np.flatnonzero(lengths == len(query)))
+            if table.num_rows == 0:
+                continue
+            scores = np.round(unit_rows(table.column("embedding").combine_chunks()) @ query, SCORE_DECIMALS)
+            if len(scores) > k:
+                best = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                table, scores = table.take(best), scores[best]
+            table = table.drop_columns(["embedding"]).append_column("similarity", pa.array(scores, pa.float64()))
+            yield from table.to_batches()
+
+    return score
+
+
 def score_block_pairs(k: int):
     """mapInArrow function: (chunk block, query block) rows to local top-k rows."""
 

@@ -114,10 +114,14 @@ def replace_chunks(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
     return chunks.join(touched, FILE, "left_anti").unionByName(new_chunks)
 
 
-def replace_hashes(ledger: DataFrame, changed: DataFrame, new_chunks: DataFrame) -> DataFrame:
-    """Ledger after re-indexing; files without a valid chunk keep their old entry and are retried."""
-    indexed = changed.join(new_chunks.select(*FILE).distinct(), FILE, "left_semi")
-    return ledger.join(indexed.select(*FILE), FILE, "left_anti").unionByName(indexed)
+def new_hashes(changed: DataFrame, new_chunks: DataFrame) -> DataFrame:
+    """Hashes of files that got a valid chunk; the others keep their old entry and are retried."""
+    return changed.join(new_chunks.select(*FILE).distinct(), FILE, "left_semi")
+
+
+def replace_hashes(ledger: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Ledger after re-indexing."""
+    return ledger.join(hashes.select(*FILE), FILE, "left_anti").unionByName(hashes)
 
 
 def delete_files(chunks: DataFrame, ledger: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:

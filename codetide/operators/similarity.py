@@ -6,7 +6,7 @@ small and sorts, shuffles and de-skews otherwise. Each pair of matrices is one m
 product that emits only its local top-k, so row pairs are never produced.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from codetide.functions import vectors
 
@@ -49,13 +49,15 @@ def top_k(
 
 
 def nearest(chunks: DataFrame, vector: list[float], k: int = 5, *, tie_breakers: list[str], where=None) -> DataFrame:
-    """The k rows most similar to one vector: a scan with a running top-k, without a shuffle of rows."""
+    """The k rows most similar to one vector, with their other columns: a scan without a shuffle of rows.
+
+    Every batch keeps its own k best; the driver-side merge of the final top-k sees k rows per task.
+    """
     if where is not None:
         chunks = chunks.where(where)
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    scored = chunks.where(F.size("embedding") > 0).withColumn(
-        "similarity", vectors.cosine(F.col("embedding").cast("array<double>"), query))
-    return scored.drop("embedding").orderBy(F.col("similarity").desc(), *tie_breakers).limit(k)
+    fields = [f for f in chunks.schema.fields if f.name != "embedding"] + [T.StructField("similarity", T.DoubleType())]
+    scored = chunks.where(F.size("embedding") > 0).mapInArrow(vectors.score_against(vector, k), T.StructType(fields))
+    return scored.orderBy(F.col("similarity").desc(), *tie_breakers).limit(k)
 
 
 def with_distance(hits: DataFrame) -> DataFrame:

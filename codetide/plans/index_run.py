@@ -8,8 +8,6 @@ from codetide.operators import indexing, pruning
 from codetide.session import Stages, materialise
 from codetide.sources import index_store
 
-FILE = indexing.FILE
-
 
 def plan_run(
     files: DataFrame, ledger: DataFrame, embed: Callable[[DataFrame], DataFrame], full: bool = True, keep=lambda df, _: df,
@@ -26,8 +24,7 @@ def plan_run(
     embedded = embed(indexing.chunk_files(indexing.contents_of(candidates, changed)))
     embedded = keep(indexing.cut_texts(embedded), "embedded")
     new_chunks = indexing.to_index_rows(indexing.number_valid_chunks(embedded))
-    new_hashes = changed.join(new_chunks.select(*FILE).distinct(), FILE, "left_semi")
-    return new_chunks, new_hashes, indexing.label_run(files, hashed, new_chunks, full)
+    return new_chunks, indexing.new_hashes(changed, new_chunks), indexing.label_run(files, hashed, new_chunks, full)
 
 
 def run_index(

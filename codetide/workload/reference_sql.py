@@ -138,7 +138,7 @@ wide AS (SELECT repo, file_path, language, content,
     WHEN language = 'go' THEN {_nonempty('code', 'go_function')}
     WHEN language = 'rust' THEN {_RUST_FNS} END, {_STRINGS}) AS functions,
   coalesce(CASE WHEN language = 'python' THEN {_nonempty('code', 'python_class')}
-    WHEN language IN ('javascript', 'typescript') THEN {_nonempty('code', 'script_class')}
+    WHEN language IN ('javascript', 'typescript') THEN list_filter({_nonempty('code', 'script_class')}, lambda x: x <> 'extends')
     WHEN language = 'java' THEN {_nonempty('code', 'java_class')}
     WHEN language IN ('c', 'cpp') THEN {_nonempty('code', 'c_class')}
     WHEN language = 'go' THEN {_nonempty('code', 'go_type')}

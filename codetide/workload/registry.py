@@ -97,7 +97,7 @@ def _old_chunks(t):
 @_query
 def valid_chunks(t):
     files = t.repo_files.where(F.col("content").isNotNull()).select(*FILE, "content")
-    embedded = materialise(_given_vectors(t)(indexing.chunk_files(files)), "embedded")
+    embedded = materialise(indexing.cut_texts(_given_vectors(t)(indexing.chunk_files(files))), "embedded")
     numbered = indexing.number_valid_chunks(embedded)
     return indexing.to_index_rows(numbered).select(*FILE, "chunk_index", "chunk_type", "name")
 
@@ -111,10 +111,8 @@ def upsert_chunks(t):
 @_query
 def upsert_hashes(t):
     files = t.repo_files.select(*FILE, "size_bytes", "content")
-    hashed = indexing.hashed_keys(files)
-    changed = indexing.changed_keys(hashed, t.hash_ledger)
-    new_chunks, _, _ = index_run.plan_run(files, t.hash_ledger, _given_vectors(t), full=False, keep=materialise)
-    return indexing.replace_hashes(t.hash_ledger, changed, new_chunks)
+    _, hashes, _ = index_run.plan_run(files, t.hash_ledger, _given_vectors(t), full=False, keep=materialise)
+    return indexing.replace_hashes(t.hash_ledger, hashes)
 
 
 @_query

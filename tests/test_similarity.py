@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from codetide.functions import vectors
 from codetide.operators import retrieval, similarity
 
 VECTORS = "repo string, id string, ord bigint, embedding array<double>"
@@ -63,10 +65,24 @@ def test_nearest(spark):
     assert found[0].distance == pytest.approx(0.0, abs=1e-6)
 
 
+def test_nearest_among_copies(spark):
+    """All rows tie: the tie breaker decides, across batches and tasks."""
+    chunks = spark.range(5000).selectExpr("id", "array(1D, 2D) AS embedding").repartition(7)
+    assert [r.id for r in similarity.nearest(chunks, [1.0, 2.0], 3, tie_breakers=["id"]).collect()] == [0, 1, 2]
+
+
+def test_cosine_expression(spark):
+    rng = np.random.default_rng(2)
+    rows = [(rng.normal(size=5).tolist(), rng.normal(size=5).tolist()) for _ in range(20)] + [([0.0] * 5, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
+    assert np.allclose(got, [float(unit(np.array(a)) @ unit(np.array(b))) for a, b in rows], atol=1e-11)
+
+
 def test_context_excludes_changed_files_after_the_search(spark):
-    vectors = [("r", f"f{i}.py", 0, "full_file", f"f{i}.py", f"text {i}", [1.0, i / 10.0]) for i in range(8)]
+    rows = [("r", f"f{i}.py", 0, "full_file", f"f{i}.py", f"text {i}", [1.0, i / 10.0]) for i in range(8)]
     chunks = spark.createDataFrame(
-        vectors, "repo string, file_path string, chunk_index bigint, chunk_type string, name string, content string, embedding array<double>")
+        rows, "repo string, file_path string, chunk_index bigint, chunk_type string, name string, content string, embedding array<double>")
     asked = spark.createDataFrame([("r", 1, [1.0, 0.0]), ("empty", 2, [1.0, 0.0])], "repo string, pr_id bigint, embedding array<double>")
     files = spark.createDataFrame(
         [("r", 1, "f0.py"), ("r", 1, "f2.py"), ("r", 1, "f3.py"), ("empty", 2, "x.py"), ("r", 3, "f1.py")],

@@ -59,6 +59,7 @@ const later = async (x) => run(x);
 const mapped = items.map(i => i + 1);
 const expr = function named() { };
 const made = new Thing(1);
+export default class extends View {}
 '''
 
 JAVA = '''
