@@ -176,10 +176,14 @@ def summary_parts(summaries: DataFrame) -> DataFrame:
     )
 
 
-def spread_over_parts(per_change: DataFrame) -> DataFrame:
-    """Repeat change-level rows once per part, so parts of a large change join on their own keys."""
+def spread_over_parts(per_change: DataFrame, first_only: list[str]) -> DataFrame:
+    """Repeat change-level rows once per part, so parts of a large change join on their own keys.
+
+    The long columns of `first_only` stay with part 0.
+    """
     last = part_of(F.col("changed_files_count") - 1)
-    return per_change.withColumn("last_part", last).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    parts = per_change.withColumn("last_part", last).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return parts.withColumns({name: F.when(F.col("part") == 0, F.col(name)) for name in first_only})
 
 
 def report(
@@ -207,8 +211,9 @@ def report(
             changes = changes.withColumn(name, F.lit(None).cast("string"))
         else:
             changes = changes.join(texts.select(*PR, F.col("text").alias(name)), PR, "left")
+    changes = changes.withColumn("_written", F.col("_review").isNotNull())
     rows = (
-        spread_over_parts(changes)
+        spread_over_parts(changes, ["impact_text", "context_text", "_review"])
         .join(summary_parts(summaries), PART, "left")
         .join(issue_texts(issue_lists), PART, "left")
     )
@@ -223,7 +228,7 @@ def report(
             "\n⚠️ **Warning**: No tests were modified. Consider adding tests for the new code.",
         ).otherwise(""),
     )
-    body = F.when(F.col("_review").isNull(), review).when(first, F.col("_review")).otherwise("")
+    body = F.when(~F.col("_written"), review).otherwise(F.coalesce("_review", F.lit("")))
     wanted = last & F.col("_fix").isNotNull() & ~F.contains(F.lower("_fix"), F.lit("no fixes needed"))
     suggestion = F.when(wanted, F.concat(F.lit("\n\n---\n\n## 🔧 Suggested Fix\n\n"), F.col("_fix"))).otherwise("")
     no_context = F.when(
@@ -235,7 +240,8 @@ def report(
         F.coalesce("summaries_text", F.lit("No file summaries available.")).alias("summaries_text"),
         F.when(F.col("issue_count") > 0, F.coalesce("issues_text", F.lit("")))
         .otherwise("✅ No security issues detected.").alias("issues_text"),
-        F.coalesce("impact_text", F.lit("No cross-file impacts detected.")).alias("impact_text"),
-        F.coalesce("context_text", no_context).alias("context_text"),
+        # Sections about the whole change stand in its first part only.
+        F.when(first, F.coalesce("impact_text", F.lit("No cross-file impacts detected."))).otherwise("").alias("impact_text"),
+        F.when(first, F.coalesce("context_text", no_context)).otherwise("").alias("context_text"),
         F.concat(F.when(first, F.concat(header, F.lit("\n\n---\n\n"))).otherwise(""), body, suggestion).alias("body"),
     )

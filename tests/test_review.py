@@ -68,6 +68,7 @@ def test_report_of_a_large_change_comes_in_parts(spark):
     assert listed == [f"- f{i}.py (+1/-0)" for i in range(n)]
     assert rows[0].body.startswith("## 🔴 Risk Score: 100/100 (Critical)\n⚠️ **1 security issue(s) detected**")
     assert "Warning" not in rows[0].body and rows[1].body.endswith("Consider adding tests for the new code.")
+    assert rows[0].impact_text == "No cross-file impacts detected." and rows[1].impact_text == ""
     assert rows[0].issues_text == "" and rows[1].issues_text.endswith("Command Injection in `f110.py`")
 
 

@@ -126,6 +126,28 @@ def test_scan_agrees_with_python_re(spark):
     assert found == want
 
 
+def test_random_code_agrees_with_python_re(spark):
+    """Random mixes of fragments, odd white space and case-folding letters."""
+    import random
+    rng = random.Random(11)
+    pieces = [
+        "eval", "EXEC", "execute", "cursor.", "open", "wıth", "with", "os.system", "os.path.join", "subprocess.call", "innerHTML", "document.write",
+        "paſsword", "PASSWORD", "api_key", "API-Key", "secret", "aws", "private", "key", "redirect", "request.", ".render", "Template", "md5", "ſha1",
+        "DES", "random.random", "pickle.load", "s", "yaml.load", "$where", ".fınd", ".find", "algorithm", "verify", "False", "shell", "True", "f",
+        "SELECT", "(", ")", "()", "+", "=", ":", "{", "}", "[", ",", "%s", "$", "'", '"', " ", "\t", "\n+", "\n", "\x0b", "\x1c", "\x85", "\u2028",
+        "\u00a0", "\r", "x", "İ", "supersecret", "abcdefghij0123456789", "none", "İs", "é", "_", "-"]
+    pieces += ["(", "+", "=", '"', "{", "x"] * 8
+    texts = ["+" + "".join(rng.choice(pieces) for _ in range(rng.randint(5, 60))) for _ in range(4000)]
+    df = lone(spark, [("a.py", t) for t in texts]).repartition(8)
+    found = {(r.pr_id, r.kind) for r in risk.pattern_findings(df).collect()}
+    want = set()
+    for i, patch in enumerate(texts):
+        added = "\n".join(x for x in patch.split("\n") if x.startswith("+"))
+        want |= {(i, c) for c, _, _, patterns in rules.DEFAULT_RULES if any(re.search(p, added, re.IGNORECASE) for p, _ in patterns)}
+    assert len(want) > 200
+    assert {(texts[i], c) for i, c in found ^ want} == set()
+
+
 def test_size_factors(spark):
     metrics = spark.createDataFrame(
         [("o/r", 1, 8, 350, 50, True, 3, 0), ("o/r", 2, 11, 501, 0, False, 6, 0), ("o/r", 3, 5, 200, 0, None, 0, 0)],
