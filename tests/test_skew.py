@@ -40,7 +40,7 @@ def hot_repo(i):
 
 
 def test_search_in_a_hot_repository(spark):
-    axes = [F.sin((F.col("id") + 1) * (a + 1)) for a in range(32)]
+    axes = [F.pmod(F.xxhash64("id", F.lit(a)), F.lit(2001)) - 1000.0 for a in range(32)]
     chunks = spark.range(0, 12000, 1, 16).select(hot_repo(F.col("id")).alias("repo"), F.col("id").cast("string").alias("id"), F.array(*axes).alias("embedding"))
     queries = spark.range(0, 900, 1, 4).select(hot_repo(F.col("id")).alias("repo"), F.col("id").cast("string").alias("query_id"), F.array(*axes).alias("embedding"))
     with settings(spark, SKEW_CONF):
