@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from codetide.workload import reference_sql, registry
 
-QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES, SQL = registry.queries(), reference_sql.statements()
 
 
 @pytest.fixture(scope="module")
