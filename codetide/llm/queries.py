@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetide.llm import decontaminate, mixing, simhash, url_filter
+from codetide.llm import decontaminate, mixing, simhash, substrings, url_filter
 
 # The rules that the url query is to apply.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -26,6 +26,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page counts as bad if the label of its id says low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -41,4 +45,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_source_mixing, op5_simhash_near_dedup, op7_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op4_source_mixing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op10_decontamination)}
