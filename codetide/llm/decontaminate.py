@@ -4,8 +4,11 @@ Words are runs of digits, ASCII letters and non-ASCII characters, A-Z lower-case
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A document
 word inside any occurrence of a window is hit.
 
-Every document position is looked up by the hash of the words that follow it in a table of the hashes of
-all windows; what matches is compared word by word. The table is broadcast only if its rows, counted
+A window of n words that occurs in a document covers one whole run of m = (n + 1) / 2 words that starts at
+a multiple of m. So a first scan looks up only every m-th position, by the hash of its m words, in the set
+of all such runs of the items; documents without any match are done. For this scan letters are lower-cased
+in the full Unicode sense, which only adds candidates. In the rest every position is looked up by the hash
+of its n words, and what matches is compared word by word. A set is broadcast only if its rows, counted
 first, are within `broadcast_rows`; beyond that the same join shuffles both sides. Only matches leave the
 scan, so a hot document or passage adds rows in proportion to its own words.
 
@@ -21,15 +24,44 @@ from pyspark.sql import functions as F
 
 from codetide.llm.text import ascii_lower
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words and separators before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 13
 BROADCAST_ROWS = 200_000
 
 
-def words(column):
+def words(column, lower=ascii_lower):
     """Array of the normalised words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(ascii_lower(column), F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(lower(column), F.lit("")), SEPARATORS), lambda w: w != "")
+
+
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def hashes(w: str, n: int, step: int):
+    """Hash of the n words from every step-th position of array column `w`, as structs (start from 1, n, h)."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+
+
+def marks(w: str, sizes: list[tuple[int, int]]):
+    parts = [hashes(w, n, step) for n, step in sizes]
+    return F.explode(F.concat(*parts) if parts else F.array().cast("array<struct<start:int,n:int,h:bigint>>"))
+
+
+def candidates(documents: DataFrame, benchmark: DataFrame, sizes: list[int], doc: str, text: str, item_text: str, broadcast_rows: int) -> DataFrame:
+    """doc, version, w of the documents that share a run of half a window with an item."""
+    halves = sorted({(n + 1) // 2 for n in sizes})
+    runs = benchmark.select(words(F.col(item_text), F.lower).alias("w")).select(marks("w", [(m, 1) for m in halves]).alias("m")) \
+        .select("m.n", "m.h").distinct()
+    source = documents.where(F.col(text).isNotNull()).select(
+        F.col(doc).alias("doc"), F.col(text).alias("whole"), words(F.col(text), F.lower).alias("w"))
+    found = source.select("doc", "whole", marks("w", [(m, m) for m in halves]).alias("m")).select("doc", "whole", "m.n", "m.h") \
+        .join(bounded(runs, broadcast_rows), ["h", "n"])
+    return found.select("doc", F.xxhash64("whole").alias("version"), "whole").dropDuplicates(["doc", "version"]) \
+        .select("doc", "version", words(F.col("whole")).alias("w"))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
@@ -49,18 +81,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     """
     windows = benchmark_windows(benchmark, item, item_text, width)
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `width` values
-    if windows.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        windows = F.broadcast(windows)
-    source = documents.where(F.col(text).isNotNull()).select(
-        F.col(doc).alias("doc"), F.xxhash64(text).alias("version"), words(F.col(text)).alias("w"))
-
-    def marks(n: int):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("h")))
-
-    every = F.concat(*map(marks, sizes)) if sizes else F.array().cast("array<struct<start:int,n:int,h:bigint>>")
-    found = source.select("doc", "version", "w", F.explode(every).alias("m")).select("doc", "version", "w", "m.*") \
-        .join(windows, ["h", "n"]).where(F.slice("w", F.col("start"), F.col("n")) == F.col("window"))
+    near = candidates(documents, benchmark, sizes, doc, text, item_text, broadcast_rows)
+    found = near.select("doc", "version", "w", marks("w", [(n, 1) for n in sizes]).alias("m")).select("doc", "version", "w", "m.*") \
+        .join(bounded(windows, broadcast_rows), ["h", "n"]).where(F.slice("w", F.col("start"), F.col("n")) == F.col("window"))
     return found.groupBy("doc", "version").agg(
         F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"),
         F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("items"))
@@ -79,7 +102,7 @@ def report(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", t
     found = hits(documents, benchmark, doc=doc, text=text, **options) \
         .select("doc", "version", F.size(hit_positions(F.col("spans"))).cast("long").alias("hit"), "items")
     base = documents.select(
-        F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+        F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["doc"]) & (base["text_hash"] == found["version"]), "left")
     n_hit = F.coalesce("hit", F.lit(0))
     items = F.coalesce("items", F.array().cast("array<string>"))
