@@ -35,9 +35,9 @@ class Stages:
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
