@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+OP3 = r"""
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -84,4 +96,4 @@ FROM w LEFT JOIN c USING (r) LEFT JOIN k USING (r)
 
 
 def statements() -> dict[str, str]:
-    return {"op4_source_mixing": OP4, "op7_url_filter": OP7, "op10_decontamination": OP10}
+    return {"op3_exact_topk": OP3, "op4_source_mixing": OP4, "op7_url_filter": OP7, "op10_decontamination": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetide.llm import decontaminate, katz, mixing, simhash, substrings, url_filter
+from codetide.llm import decontaminate, importance, katz, mixing, simhash, substrings, topk, toxicity, url_filter
 
 # The rules that the url query is to apply.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -22,6 +22,10 @@ def op2_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scored(documents, katz.fold(F.col("doc_id"), 7) == 2).drop("text_hash")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.planned(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,10 +48,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, rules)
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc: katz.fold(doc, 5) == 0)
+    return found.drop("text_hash")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_katz_scoring, op4_source_mixing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op10_decontamination)}
+    return {f.__name__: f for f in (op2_katz_scoring, op3_exact_topk, op4_source_mixing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter,
+                                   op8_importance_resampling, op9_toxicity, op10_decontamination)}
