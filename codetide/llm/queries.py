@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetide.llm import decontaminate, importance, katz, mixing, simhash, substrings, topk, toxicity, url_filter
+from codetide.llm import decontaminate, importance, katz, licences, mixing, simhash, substrings, topk, toxicity, url_filter
 
 # The rules that the url query is to apply.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op2_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return katz.scored(documents, katz.fold(F.col("doc_id"), 7) == 2).drop("text_hash")
@@ -63,5 +67,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_katz_scoring, op3_exact_topk, op4_source_mixing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter,
+    return {f.__name__: f for f in (op1_licence_scan, op2_katz_scoring, op3_exact_topk, op4_source_mixing, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter,
                                    op8_importance_resampling, op9_toxicity, op10_decontamination)}
