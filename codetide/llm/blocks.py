@@ -9,12 +9,15 @@ per block: nothing is hot.
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 RANGE_KEYS = 1 << 20
 
 
@@ -82,9 +85,12 @@ def plan(documents: DataFrame, doc: str, text: str, block_bytes: int, range_keys
     return slim.select(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(blocks)).alias("block"), "doc_id", "text", "text_hash"), blocks, ranges
 
 
-def settle(frame: DataFrame) -> None:
-    """Have Spark drop the shuffle files of stages that are stored by now; it does so on garbage collection only."""
-    import gc
+def settle(frame: DataFrame, rounds: int = 2, wait: float = 0.7) -> None:
+    """Have Spark drop the shuffle files of stages that are stored by now; it does so on garbage collection only.
 
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
+    The first round frees plans that still hold shuffles, the second the shuffles.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        frame.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(wait)

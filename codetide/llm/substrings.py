@@ -7,13 +7,13 @@ Recompression rounds shorten each document: first every maximal run of equal sym
 every neighbouring pair of a left and a right symbol, where the side of a symbol is a bit of its name.
 Names are 64-bit fingerprints of what they stand for, so all tasks give equal symbols equal names without
 an exchange. What a name depends on is a known stretch of words; where the stretch lies inside a window,
-every occurrence of the window has the same symbol at the same place. The longest such symbol, the first
-of equally long ones, stands for the window (at worst one word).
+every occurrence of the window has the same symbol at the same place. So a window can only be repeated if
+all the symbols fixed by it are in two documents.
 
 Spark then exchanges, in packed rows between blocks of documents and ranges of keys (see `blocks`):
-1. the symbols that stand for windows: one is shared if two documents have it;
-2. the hashes of windows with shared symbols, with the block's smallest id: a block learns which of its
-   windows start in a smaller document of another block;
+1. the symbols: one is shared if two documents have it;
+2. the hashes of windows with shared symbols only, with the block's smallest id: a block learns which of
+   its windows start in a smaller document of another block;
 3. these against the block's documents, together with repeats inside the block, decide the words to go.
 Most windows never leave their block. A passage shared by very many documents is one key per block, and no
 group of documents is gathered. Blocks and ranges are bounded by parameters.
@@ -90,47 +90,43 @@ def recompressed(names: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS):
         yield s[pair], begin[pair], end[pair], since[pair], until[pair]
 
 
-def standing(names: np.ndarray, edge: np.ndarray, windows: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """For each window start the name of the symbol that stands for it."""
-    found = []
-    for order, (name, begin, end, since, until) in enumerate(recompressed(names, edge)):
-        fits = until - since <= width
-        length = (end - begin)[fits]
-        for size in np.unique(length):
-            of = np.flatnonzero(fits)[length == size]
-            found.append((-int(size), order, name[of], since[of], until[of]))
-    out, open_ = np.zeros(len(windows), np.uint64), np.arange(len(windows))
-    for _, _, name, since, until in sorted(found, key=lambda x: x[:2]):
-        if not len(open_):
-            break
-        start = windows[open_]
-        # Stretches of one kind are sorted by both ends: the first that begins in the window also ends first.
-        j = np.searchsorted(since, start)
-        there = np.minimum(j, len(since) - 1)
-        inside = (j < len(since)) & (until[there] <= start + width)
-        out[open_[inside]] = name[there[inside]]
-        open_ = open_[~inside]
-    return out
+def fixed_symbols(names: np.ndarray, edge: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(name, begin, from, to) of the runs and pairs that a window can fix."""
+    parts = []
+    for number, (name, begin, _, since, until) in enumerate(recompressed(names, edge)):
+        if number:  # single words tell little
+            fits = until - since <= width
+            parts.append((name[fits], begin[fits].astype(np.int32), since[fits].astype(np.int32), until[fits].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def possible(windows: np.ndarray, since: np.ndarray, until: np.ndarray, size: int, width: int = WIDTH) -> np.ndarray:
+    """Whether each window fixes none of the symbols given by their stretches."""
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, np.maximum(until - width, 0), 1)
+    np.add.at(change, since + 1, -1)
+    return np.cumsum(change)[windows] == 0
 
 
 class Block:
     """The words of a block's documents in one array, separated by edges."""
 
-    def __init__(self, table: pa.Table, width: int):
-        self.words = [words_of(t) for t in blocks.texts(table)]
-        counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
+    def __init__(self, table: pa.Table, width: int, keep_words: bool = False):
+        split = [words_of(t) for t in blocks.texts(table)]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
         total = int(counts.sum())
         self.starts = np.cumsum(counts + 1) - counts
         self.edge = np.ones(total + len(counts) + 1, bool)
         flat = np.arange(total) + np.repeat(np.arange(len(counts)) + 1, counts)
         self.edge[flat] = False
         self.names = np.zeros(len(self.edge), np.uint64)
-        self.names[flat] = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        self.names[flat] = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(split)), np.uint64, total)
+        self.words = split if keep_words else None
         ids = table.column("doc_id")
         self.known = ~np.asarray(ids.is_null().combine_chunks())
         self.ids = np.asarray(ids.fill_null(0).combine_chunks()).astype(np.int64)
         per_doc = np.where(self.known, np.maximum(counts - width + 1, 0), 0)
-        self.doc = np.repeat(np.arange(len(counts)), per_doc)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), per_doc)
         self.windows = np.arange(len(self.doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc) + self.starts[self.doc]
         self.width = width
 
@@ -142,8 +138,11 @@ class Block:
             factor = np.uint64((int(factor) * int(PAIR)) & 0xFFFFFFFFFFFFFFFF)
         return blocks.mix(out)
 
-    def symbols(self) -> tuple[np.ndarray, np.ndarray]:
-        return blocks.distinct(blocks.mix(standing(self.names, self.edge, self.windows, self.width)))
+    def symbols(self) -> tuple[np.ndarray, ...]:
+        """Sorted distinct keys; for each symbol its place among them, document, and stretch."""
+        name, begin, since, until = fixed_symbols(self.names, self.edge, self.width)
+        keys, place = blocks.distinct(blocks.mix(name))
+        return keys, place, np.searchsorted(self.starts, begin, side="right") - 1, since, until
 
 
 def _rows(block: int, keys: np.ndarray, ranges: int, extra) -> pa.Table:
@@ -183,10 +182,10 @@ def repeated(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", w
 
     def ask_symbols(table: pa.Table) -> pa.Table:
         b = Block(table, width)
-        keys, place = b.symbols()
+        keys, place, doc_of, _, _ = b.symbols()
         low, high = np.full(len(keys), len(b.ids)), np.full(len(keys), -1)
-        # Documents come in order, so the first and last writer are the smallest and largest.
-        high[place], low[place[::-1]] = b.doc, b.doc[::-1]
+        np.minimum.at(low, place, doc_of)
+        np.maximum.at(high, place, doc_of)
         return _rows(table.column("block")[0].as_py(), keys, ranges, lambda x, y: np.packbits(low[x:y] != high[x:y]).tobytes())
 
     def answer_symbols(table: pa.Table) -> pa.Table:
@@ -198,12 +197,13 @@ def repeated(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", w
                          "extra": pa.array([np.packbits(shared[place[a:b]]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table) or not len(answers):
+        if not len(table):
             return _rows(0, np.zeros(0, np.uint64), ranges, None)
         b = Block(table, width)
-        keys, place = b.symbols()
-        shared = np.concatenate([np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=r["n"]) for r in _ordered(answers)]).astype(bool)
-        chosen = shared[place]
+        keys, place, _, since, until = b.symbols()
+        single = np.concatenate([np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=r["n"]) for r in _ordered(answers)] or [np.zeros(0, np.uint8)]) == 0
+        alone = single[place]
+        chosen = possible(b.windows, since[alone], until[alone], len(b.edge), width)
         keys, place = blocks.distinct(b.hashes(b.windows[chosen]))
         least = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(least, place, b.ids[b.doc[chosen]])
@@ -223,7 +223,7 @@ def repeated(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", w
                          "extra": pa.array([b""] * len(part), pa.binary())})
 
     def decide(table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(table, width)
+        b = Block(table, width, keep_words=True)
         hashes = b.hashes(b.windows)
         keys, place = blocks.distinct(hashes)
         least = np.full(len(keys), np.iinfo(np.int64).max)

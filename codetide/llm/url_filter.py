@@ -5,8 +5,8 @@ rate has a beta prior around its parent's posterior mean; the prior's strength i
 the method of moments over its members. A host is blocked if the lower bound of its posterior, mean less
 `z` standard deviations, exceeds `limit`.
 
-Only counts per host are shuffled after map-side sums; pages meet their host's verdict in a join by host,
-which AQE splits where a host holds a large share. Rules are joined to the suffixes of distinct hosts.
+Only counts per host are shuffled after map-side sums; pages meet their host's verdict in a join by host
+and one of `SALTS` numbers, so that the pages of a hot host are spread over as many tasks. Rules are joined to the suffixes of distinct hosts.
 
 Url without `://`, or null: host and path are empty, no rule fits, reputation is the overall rate.
 A rule `host/path` fits its host and all subdomains if the url's path starts with its path; the longest
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from codetide.llm.text import ascii_lower
 from codetide.session import Stages
 
-Z, LIMIT, MOST_STRENGTH = 1.645, 0.5, 1000.0
+Z, LIMIT, MOST_STRENGTH, SALTS = 1.645, 0.5, 1000.0, 32
 # Public suffixes of two labels that the registered domain has to respect.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 
@@ -45,21 +45,20 @@ def levels(hosts: DataFrame) -> DataFrame:
         .withColumn("domain", F.when(width == 2, tail(3)).otherwise(tail(2)))
 
 
-def shrunk(counts: DataFrame, key: str, parent: str, parents: DataFrame) -> DataFrame:
-    """Posterior of each member of a level: key, parent, n, bad, mean, strength.
+def shrunk(counts: DataFrame, key: str) -> DataFrame:
+    """Posterior of each member of a level: key, n, bad, mean, strength.
 
-    `counts` has key, parent, n, bad; `parents` has parent, prior. With p = bad/n and prior m, the excess of
+    `counts` has key, n, bad and prior, the parent's posterior mean. With p = bad/n and prior m, the excess of
     the weighted spread over binomial noise gives the strength k: sum n(p-m)^2 = sum m(1-m)(1+(n-1)/(k+1)).
     """
-    joined = counts.join(parents, parent)
     spread = F.sum(F.pow(F.col("bad") - F.col("n") * F.col("prior"), 2.0) / F.col("n"))
     noise, slope = F.sum(F.col("prior") * (1 - F.col("prior"))), F.sum(F.col("prior") * (1 - F.col("prior")) * (F.col("n") - 1))
-    fit = joined.where("n > 0").agg(spread.alias("s"), noise.alias("b"), slope.alias("c")).first()  # one row
+    fit = counts.where("n > 0").agg(spread.alias("s"), noise.alias("b"), slope.alias("c")).first()  # one row
     strength = MOST_STRENGTH
     if fit["s"] is not None and fit["c"] > 0 and fit["s"] > fit["b"]:
         strength = min(max(fit["c"] / (fit["s"] - fit["b"]) - 1.0, 1.0), MOST_STRENGTH)
-    return joined.select(
-        key, parent, "n", "bad", F.lit(strength).alias("strength"),
+    return counts.select(
+        key, "n", "bad", F.lit(strength).alias("strength"),
         ((F.lit(strength) * F.col("prior") + F.col("bad")) / (F.lit(strength) + F.col("n"))).alias("mean"))
 
 
@@ -69,11 +68,12 @@ def reputation(parts: DataFrame, outcomes: DataFrame, *, z: float = Z, limit: fl
     judged = parts.select("page_id", "host").join(outcome, "page_id", "left")
     hosts = Stages(parts.sparkSession).keep(levels(judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))), "hosts")
     total = lambda key, *more: hosts.groupBy(key, *more).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("prior"))
-    suffixes = total("suffix").withColumn("top", F.lit(1))
-    by_suffix = shrunk(suffixes, "suffix", "top", overall.withColumn("top", F.lit(1))).select("suffix", F.col("mean").alias("prior"))
-    by_domain = shrunk(total("domain", "suffix"), "domain", "suffix", by_suffix).select("domain", F.col("mean").alias("prior"))
-    by_host = shrunk(hosts.select("host", "domain", "n", "bad"), "host", "domain", by_domain)
+    all_ = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()  # one row
+    overall = ((all_["bad"] or 0) + 1.0) / ((all_["n"] or 0) + 2.0)
+    prior = lambda level, key: level.select(key, F.col("mean").alias("prior"))
+    by_suffix = shrunk(total("suffix").withColumn("prior", F.lit(overall)), "suffix")
+    by_domain = shrunk(total("domain", "suffix").join(prior(by_suffix, "suffix"), "suffix"), "domain")
+    by_host = shrunk(hosts.join(prior(by_domain, "domain"), "domain"), "host")
     mean, mass = F.col("mean"), F.col("strength") + F.col("n")
     bound = mean - z * F.sqrt(mean * (1 - mean) / (mass + 1))
     return by_host.select("host", "n", "bad", "mean", bound.alias("bound")) \
@@ -95,6 +95,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, page: str
     best = F.array_sort(fits, lambda a, b: F.when(F.length(a["rule"]) > F.length(b["rule"]), -1)
                         .when(F.length(a["rule"]) < F.length(b["rule"]), 1).when(a["rule"] < b["rule"], -1)
                         .when(a["rule"] > b["rule"], 1).when(a["action"] < b["action"], -1).when(a["action"] > b["action"], 1).otherwise(0))
-    return parts.join(per_host, "host").withColumn("best", F.get(best, F.lit(0))).select(
+    spread = per_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["host", "salt"]).withColumn("best", F.get(best, F.lit(0))).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", "reputed").alias("verdict"),
         F.round("bad_rate", 6).alias("bad_rate"))

@@ -67,16 +67,20 @@ def test_empty_tables(shared):
 
 
 def test_equal_windows_have_equal_symbols():
-    """Whatever surrounds a window, the symbol that stands for it is the same, and mostly longer than a word."""
+    """Whatever surrounds a window, the symbols that it fixes are the same, and mostly there are some."""
     rng = np.random.default_rng(4)
     for alphabet in (2, 3, 10, 100):
         window = rng.integers(1, alphabet + 1, 13)
-        names = set()
+        seen = set()
         for _ in range(40):
             before, after = rng.integers(1, alphabet + 1, 30), rng.integers(1, alphabet + 1, 30)
             cut = rng.integers(0, 31)
             s = np.concatenate(([0], before[cut:], window, after[:rng.integers(0, 31)], [0])).astype(np.uint64)
-            edge = s == 0
-            s = substrings.blocks.mix(s)
-            names.add(int(substrings.standing(s, edge, np.array([31 - cut]))[0]))
-        assert len(names) == 1
+            start = 31 - cut
+            name, begin, since, until = substrings.fixed_symbols(substrings.blocks.mix(s), s == 0)
+            inside = (since >= start) & (until <= start + 13)
+            seen.add(frozenset(zip(name[inside].tolist(), (begin[inside] - start).tolist())))
+            alone = rng.random(len(name)) < 0.3
+            expected = not (inside & alone).any()
+            assert substrings.possible(np.array([start]), since[alone], until[alone], len(s))[0] == expected
+        assert len(seen) == 1 and len(seen.pop()) > 0
