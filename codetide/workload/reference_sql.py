@@ -179,7 +179,7 @@ _REPO_LANG = f"withlang AS (SELECT repo, file_path, content, {_LANGUAGE} AS lang
 _EMBEDDED = """numbered AS (
   SELECT c.repo, c.file_path, c.seq, c.chunk_type, c.name, e.embedding IS NOT NULL AS valid
   FROM chunked c LEFT JOIN embeddings e
-    ON e.vec_id = (CAST(regexp_extract(c.file_path, 'doc_([0-9]+)', 1) AS BIGINT) * 31 + c.seq * 17) % 3000),
+    ON e.vec_id = (CAST(regexp_extract(c.file_path, 'doc_([0-9]+)', 1) AS BIGINT) * 31 + c.seq * 17) % (SELECT CAST(floor((max(vec_id) + 1) * 1.2) AS BIGINT) FROM embeddings)),
 valid AS (SELECT repo, file_path, row_number() OVER (PARTITION BY repo, file_path ORDER BY seq) - 1 AS chunk_index, chunk_type, name
   FROM numbered WHERE valid)"""
 _CHANGED = f"""changed AS (SELECT f.repo, f.file_path, {_HASH.format('f.content')} AS content_hash FROM repo_files f

@@ -12,6 +12,7 @@ from codetide.plans import index_run, pr_review as review_plan
 from codetide.session import materialise, shared_folder
 from codetide.sources import index_store, readers
 from codetide.streaming import events as event_streams
+from codetide.workload import views
 from codetide.workload.views import Tables
 
 PR, FILE = ["repo", "pr_id"], ["repo", "file_path"]
@@ -75,7 +76,8 @@ def _given_vectors(t):
     doc_id = F.regexp_extract("file_path", "doc_([0-9]+)", 1).cast("bigint")
 
     def embed(chunks):
-        keyed = chunks.withColumn("vec_id", (doc_id * 31 + F.col("seq") * 17) % 3000)
+        ids = vectors.agg(F.expr(views.VECTOR_IDS)).first()[0] or 1
+        keyed = chunks.withColumn("vec_id", (doc_id * 31 + F.col("seq") * 17) % ids)
         return keyed.join(vectors, "vec_id", "left").drop("vec_id")
 
     return embed

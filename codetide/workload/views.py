@@ -7,7 +7,6 @@ for Spark and for the SQL engine that checks the results, up to three function n
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codetide.session import spread
 
 BASE_TABLES = ("documents", "embeddings", "events")
 
@@ -35,12 +34,15 @@ SELECT concat('org/src', CAST(pr_id % 20 AS VARCHAR(20))) AS repo, pr_id, file_o
   CASE doc_id % 29 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'package.json' ELSE {_PATH} END AS file_path,
   CASE doc_id % 11 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS status,
   CASE WHEN doc_id % 41 = 40 THEN NULL ELSE
-  concat(CASE doc_id % 29 WHEN 0 THEN '+pycrypto==2.6.1' WHEN 1 THEN '-"event-stream": "3.3.6",' ELSE
-    CASE doc_id % 37 WHEN 0 THEN '+password = "supersecret123"' WHEN 1 THEN '+cursor.execute(query + user_input)'
-      WHEN 2 THEN '+result = eval(user_input)' WHEN 3 THEN '+h = md5(x)' WHEN 4 THEN '+data = pickle.loads(blob)'
+  concat(CASE doc_id % 29 WHEN 0 THEN '+pycrypto>=2,<3' WHEN 1 THEN '-"event-stream": "3.3.6",' ELSE
+    CASE doc_id % 37 WHEN 0 THEN '+db_password = "tr0ub4dor-77"' WHEN 1 THEN '+conn.execute(stmt + where)'
+      WHEN 2 THEN '+price = eval("1.2 * " + factor)' WHEN 3 THEN '+tag = md5(row)' WHEN 4 THEN '+state = pickle.loads(frame)'
       WHEN 5 THEN '+return redirect(request.args)' WHEN 6 THEN '+f = open(f"{{name}}")' WHEN 7 THEN '+el.innerHTML = a + b'
       WHEN 8 THEN '+render_template_string(t)' WHEN 9 THEN '+db.find({{"$gt": 1}})' WHEN 10 THEN '+decode(t, verify=False)'
-      WHEN 11 THEN '-result = eval(user_input)' WHEN 12 THEN '+cursor.execute(q)' ELSE '+def add(a, b): return a + b' END END,
+      WHEN 11 THEN '-price = eval("1.2 * " + factor)' WHEN 12 THEN '+cursor.execute(q)'
+      WHEN 13 THEN '+OPENAI_KEY = k0qwertyuiopasdfghjklzx9' WHEN 14 THEN '+APP_SECRET = q1w2e3r4t5y6' WHEN 15 THEN '+CI_TOKEN = zxcvbnmasdfghjklqwerty'
+      WHEN 16 THEN '+SLACK_TOKEN = later' WHEN 17 THEN '+requests.get("http://" + peer)' WHEN 18 THEN '+requests.post(f"{{peer}}/hook")'
+      WHEN 19 THEN '+urllib.request.urlopen("http://" + peer)' WHEN 20 THEN '+httpx.get(f"{{peer}}")' ELSE '+limit = min(width, 80)' END END,
     chr(10), ' context line', chr(10), '+', replace(text, chr(10), concat(chr(10), '+'))) END AS patch,
   CAST(1 + doc_id % 97 AS BIGINT) AS additions, CAST(doc_id % 9 AS BIGINT) AS deletions
 FROM (
@@ -114,10 +116,14 @@ SELECT repo, CAST(floor(doc_id / 100) AS BIGINT) * 20 + doc_id % 20 AS pr_id, k
   CAST(doc_id % 13 AS BIGINT) AS additions, CAST(doc_id % 3 AS BIGINT) AS deletions
 FROM code_files"""
 
+# Ids to look vectors up by: all that exist, and a fifth more, which stand for failed embeddings.
+VECTOR_IDS = "CAST(floor((max(vec_id) + 1) * 1.2) AS BIGINT)"
+
 # Vectors of chunks: chunk number `seq` of a document has a given vector or, where the id is not there, failed.
 CODE_VECTORS = """
 SELECT c.repo, c.file_path, c.doc_id, CAST(e.embedding AS @DOUBLES) AS embedding
-FROM code_files c LEFT JOIN embeddings e ON e.vec_id = (c.doc_id * 31) % 3000"""
+FROM (SELECT repo, file_path, doc_id, (doc_id * 31) % (SELECT @VECTORS FROM embeddings) AS wanted FROM code_files) c
+LEFT JOIN embeddings e ON e.vec_id = c.wanted"""
 
 # One index row per source file that has a vector.
 CODE_CHUNKS = """
@@ -169,9 +175,9 @@ VIEWS = {
 }
 _ENGINES = {
     "spark": (("@BYTES(", "octet_length("), ("@HASH(coalesce(content, ''))", "substring(sha2(coalesce(content, ''), 256), 1, 16)"),
-              ("@DOUBLES", "ARRAY<DOUBLE>")),
+              ("@DOUBLES", "ARRAY<DOUBLE>"), ("@VECTORS", VECTOR_IDS)),
     "duckdb": (("@BYTES(", "strlen("), ("@HASH(coalesce(content, ''))", "substring(sha256(coalesce(content, '')), 1, 16)"),
-               ("@DOUBLES", "DOUBLE[]")),
+               ("@DOUBLES", "DOUBLE[]"), ("@VECTORS", VECTOR_IDS)),
 }
 
 
@@ -206,7 +212,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._views: dict[str, DataFrame] = {
-            name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) for name in BASE_TABLES}
+            name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE_TABLES}
 
     def __getattr__(self, name: str) -> DataFrame:
         views = self.__dict__["_views"]

@@ -12,14 +12,14 @@ from codetide.operators import risk
 GOLDEN = [
     # path, patch, score, level, issue kinds
     (".env", "+SECRET=abc123", 30, "Medium", ["sensitive_file"]),
-    ("config.py", '+password = "supersecret123"', 35, "Medium", ["hardcoded_secret"]),
-    ("db.py", "+cursor.execute(query + user_input)", 50, "High", ["sql_injection"]),
-    ("utils.py", "+result = eval(user_input)", 50, "High", ["command_injection"]),
-    ("requirements.txt", "+pycrypto==2.6.1", 25, "Low", ["vulnerable_package"]),
-    ("utils.py", "+def add(a, b): return a + b", 0, "Low", []),
+    ("deploy/db.py", '+db_password = "tr0ub4dor-77"', 35, "Medium", ["hardcoded_secret"]),
+    ("store.py", "+conn.execute(stmt + where)", 50, "High", ["sql_injection"]),
+    ("price.py", '+price = eval("1.2 * " + factor)', 50, "High", ["command_injection"]),
+    ("requirements.txt", "+pycrypto>=2,<3", 25, "Low", ["vulnerable_package"]),
+    ("layout.py", "+limit = min(width, 80)", 0, "Low", []),
     ("a.py", "+OPENAI_KEY = abcdefghijklmnopqrstuvwx", 0, "Low", []),
     ("a.py", '+requests.get(f"{u}")', 0, "Low", []),
-    ("a.py", "-result = eval(user_input)\n result = eval(x)", 0, "Low", []),
+    ("a.py", '-price = eval("1.2 * " + factor)\n price = eval(factor)', 0, "Low", []),
     ("a.py", None, 0, "Low", []),
     # A negated class crosses lines: the next added "+" closes the match.
     ("a.py", "+cursor.execute(q)\n+next()", 50, "High", ["sql_injection"]),
@@ -30,7 +30,7 @@ GOLDEN = [
     ("package.json", ' "ua-parser-js": 1', 25, "Low", ["vulnerable_package"]),
     ("go.mod", "+pycrypto", 0, "Low", []),
     # Unicode case folding: long s in "password", Kelvin sign in "api_key".
-    ("a.py", '+paſsword = "supersecret123"', 35, "Medium", ["hardcoded_secret"]),
+    ("a.py", '+db_paſsword = "tr0ub4dor-77"', 35, "Medium", ["hardcoded_secret"]),
     ("a.py", '+api_Key = "abcdefghij0123456789"', 35, "Medium", ["hardcoded_secret"]),
     # ASCII separators count as white space.
     ("a.py", "+eval\x1c(x", 50, "High", ["command_injection"]),
@@ -51,7 +51,7 @@ POSITIVE = [
     ("sql_injection", "+q = f'DELETE {c}'"), ("path_traversal", '+open("a" + b)'), ("path_traversal", '+open(f"{p}")'),
     ("path_traversal", '+os.path.join("a" + b)'), ("path_traversal", '+file_path = f"{p}"'), ("path_traversal", '+with open(f"{p}")'),
     ("xss_risk", "+el.innerHTML = a + b"), ("xss_risk", "+el.innerHTML = `${x}`"), ("xss_risk", "+dangerouslySetInnerHTML"),
-    ("xss_risk", '+document.write("a" + b)'), ("hardcoded_secret", '+password = "supersecret123"'),
+    ("xss_risk", '+document.write("a" + b)'), ("hardcoded_secret", '+db_password = "tr0ub4dor-77"'),
     ("hardcoded_secret", '+api_key = "abcdefghij0123456789"'), ("hardcoded_secret", '+secret_key = "x"'),
     ("hardcoded_secret", "+AWS_SECRET_ACCESS_KEY = x"), ("hardcoded_secret", "+PRIVATE_KEY = x"), ("open_redirect", '+redirect("a" + b)'),
     ("open_redirect", "+redirect(request.args)"), ("open_redirect", '+HttpResponseRedirect("a" + b)'), ("open_redirect", '+res.redirect("a" + b)'),
@@ -135,7 +135,7 @@ def test_random_code_agrees_with_python_re(spark):
         "paſsword", "PASSWORD", "api_key", "API-Key", "secret", "aws", "private", "key", "redirect", "request.", ".render", "Template", "md5", "ſha1",
         "DES", "random.random", "pickle.load", "s", "yaml.load", "$where", ".fınd", ".find", "algorithm", "verify", "False", "shell", "True", "f",
         "SELECT", "(", ")", "()", "+", "=", ":", "{", "}", "[", ",", "%s", "$", "'", '"', " ", "\t", "\n+", "\n", "\x0b", "\x1c", "\x85", "\u2028",
-        "\u00a0", "\r", "x", "İ", "supersecret", "abcdefghij0123456789", "none", "İs", "é", "_", "-"]
+        "\u00a0", "\r", "x", "İ", "tr0ub4dor-77", "abcdefghij0123456789", "none", "İs", "é", "_", "-"]
     pieces += ["(", "+", "=", '"', "{", "x"] * 8
     texts = ["+" + "".join(rng.choice(pieces) for _ in range(rng.randint(5, 60))) for _ in range(4000)]
     df = lone(spark, [("a.py", t) for t in texts]).repartition(8)
