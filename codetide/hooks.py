@@ -32,15 +32,25 @@ def hashing_embedder(dimensions: int = DIMENSIONS, text_col: str = "content") ->
     return embed
 
 
+def _answers(model: Callable[[list], list], asked: list, failed) -> list:
+    """The model's answers; where a batch fails its rows are asked one by one, and those that fail get `failed`."""
+    try:
+        return list(model(asked))
+    except Exception:
+        if len(asked) <= 1:
+            return [failed] * len(asked)
+    return [answer for one in asked for answer in _answers(model, [one], failed)]
+
+
 def batch_embedder(model: Callable[[list[str]], list[list[float]]], text_col: str = "content") -> Callable[[DataFrame], DataFrame]:
-    """Embedder around a function from a batch of texts to vectors; an empty vector marks failure."""
+    """Embedder around a function from a batch of texts to vectors; an empty vector marks failure, a raised error too."""
 
     def embed(df: DataFrame) -> DataFrame:
         schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                vectors = model([text or "" for text in pdf[text_col]])
+                vectors = _answers(model, [text or "" for text in pdf[text_col]], [])
                 yield pdf.assign(embedding=[[float(x) for x in v] for v in vectors])
 
         return df.mapInPandas(run, schema)
@@ -49,7 +59,7 @@ def batch_embedder(model: Callable[[list[str]], list[list[float]]], text_col: st
 
 
 def batch_writer(model: Callable[[list[str]], list[str]], request_col: str = "request") -> Callable[[DataFrame], DataFrame]:
-    """Text generator: replaces the request column by a `text` column, batch by batch."""
+    """Text generator: replaces the request column by a `text` column, batch by batch; NULL where the model fails."""
 
     def write(df: DataFrame) -> DataFrame:
         kept = [f for f in df.schema.fields if f.name != request_col]
@@ -57,7 +67,7 @@ def batch_writer(model: Callable[[list[str]], list[str]], request_col: str = "re
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                texts = model(list(pdf[request_col]))
+                texts = _answers(model, list(pdf[request_col]), None)
                 yield pdf.drop(columns=[request_col]).assign(text=texts)
 
         return df.mapInPandas(run, schema)

@@ -1,6 +1,6 @@
 """Routing and checking of webhook events. All stateless, so they run on batches and streams alike."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codetide import schemas
 from codetide.functions import signing
@@ -38,16 +38,20 @@ def index_worklist(parsed: DataFrame) -> DataFrame:
     )
 
 
+def present(value: Column, empty) -> Column:
+    """Neither missing nor zero nor an empty text."""
+    return value.isNotNull() & (value != F.lit(empty))
+
+
 def review_requests(parsed: DataFrame) -> DataFrame:
     """Changes to review from events routed to processing; `error` is set where context is missing."""
     pr = F.col("payload.pull_request")
     complete = (
-        F.col("payload.installation.id").isNotNull() & F.col("payload.repository.full_name").isNotNull()
-        & pr["number"].isNotNull())
+        present(F.col("payload.installation.id"), 0) & present(F.col("payload.repository.full_name"), "") & present(pr["number"], 0))
     return (
         route_events(parsed).where((F.col("status") == "processing") & pr.isNotNull())
         .select(
-            "event_id", F.col("payload.repository.full_name").alias("repo"), pr["number"].alias("pr_id"),
+            "event_id", *[c for c in ("received_at",) if c in parsed.columns], F.col("payload.repository.full_name").alias("repo"), pr["number"].alias("pr_id"),
             pr["head"]["sha"].alias("sha"), F.when(~complete, "Missing context data").alias("error"))
     )
 
@@ -80,11 +84,16 @@ def final_statuses(requests: DataFrame, gated: DataFrame) -> DataFrame:
 def _status_rows(rows: DataFrame, seq, state, description) -> DataFrame:
     """Statuses of commits; rows without a sha have nowhere to go."""
     return rows.where(F.col("sha").isNotNull()).select(
-        "repo", "pr_id", "sha", seq.cast("bigint").alias("seq"), state.alias("state"),
+        *[c for c in ("event_id", "received_at") if c in rows.columns], "repo", "pr_id", "sha", seq.cast("bigint").alias("seq"), state.alias("state"),
         F.substring(description, 1, STATUS_CHARS).alias("description"), F.lit(STATUS_CONTEXT).alias("context"))
 
 
-def latest_status(statuses: DataFrame, order: str = "seq") -> DataFrame:
-    """Last status per (repo, sha); partial maxima, so a busy commit does not pile up in one task."""
-    return statuses.groupBy("repo", "sha").agg(
-        F.max_by("state", order).alias("state"), F.max_by("description", order).alias("description"))
+def latest_status(statuses: DataFrame, order: tuple[str, ...] = ("received_at", "event_id", "seq")) -> DataFrame:
+    """Last status per (repo, sha) by those columns of `order` that are there.
+
+    The request decides before its step, so a second review of a commit opens it again. One row wins as a
+    whole; equal orders are decided by the texts. Partial maxima, so a busy commit does not pile up in one task.
+    """
+    row = F.struct("state", "description")
+    last = F.struct(*[c for c in order if c in statuses.columns], "state", "description")
+    return statuses.groupBy("repo", "sha").agg(F.max_by(row, last).alias("_last")).select("repo", "sha", "_last.*")

@@ -9,8 +9,6 @@ FILE = ["repo", "file_path"]
 
 # How much of a change is searched for.
 TOP_FUNCTIONS, TOP_CLASSES, HITS_PER_SYMBOL = 3, 2, 5
-# Up to this many searched symbols (some 100 MB) are broadcast.
-BROADCAST_SYMBOLS = 1_000_000
 
 
 def changed_sources(pr_files: DataFrame, repo_files: DataFrame) -> DataFrame:
@@ -108,8 +106,8 @@ def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Independent of the asking changes, so each symbol is searched once. Tokens are counted inside
     their file's row and the limit prunes inside every task, so the one shuffle carries a few rows
-    per task and symbol however popular a symbol is. A short list of wanted symbols, after its
-    size is checked, is broadcast to drop all other tokens first; a long one is applied at the end.
+    per task and symbol however popular a symbol is. Tokens that no change asks for are dropped by a
+    semi-join first; whether the names are broadcast for it is left to the run-time sizes.
     """
     mentions = (
         repo_files.where(paths.extension(F.col("file_path")) == "py")
@@ -117,8 +115,7 @@ def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
         .select(*FILE, "t.symbol", "t.mentions")
     )
     names = wanted.select("repo", F.col("name").alias("symbol")).distinct()
-    if names.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS:
-        mentions = mentions.join(F.broadcast(names), ["repo", "symbol"], "left_semi")
+    mentions = mentions.join(names, ["repo", "symbol"], "left_semi")
     order = Window.partitionBy("repo", "symbol").orderBy(F.col("mentions").desc(), "file_path")
     return mentions.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= HITS_PER_SYMBOL)
 

@@ -176,14 +176,18 @@ def summary_parts(summaries: DataFrame) -> DataFrame:
     )
 
 
-def spread_over_parts(per_change: DataFrame, first_only: list[str]) -> DataFrame:
-    """Repeat change-level rows once per part, so parts of a large change join on their own keys.
+def spread_over_parts(per_change: DataFrame, occupied: DataFrame, first_only: list[str]) -> DataFrame:
+    """Repeat change-level rows once per part that has rows, so parts of a large change join on their own keys.
 
-    The long columns of `first_only` stay with part 0.
+    `occupied` has the keys of such parts; `file_ord` may have gaps. A change without any has part 0.
+    The long columns of `first_only` stay with the first part.
     """
-    last = part_of(F.col("changed_files_count") - 1)
-    parts = per_change.withColumn("last_part", last).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return parts.withColumns({name: F.when(F.col("part") == 0, F.col(name)) for name in first_only})
+    parts = occupied.select(*PART).distinct()
+    ends = parts.groupBy(*PR).agg(F.min("part").alias("first_part"), F.max("part").alias("last_part"))
+    zero = F.lit(0).cast("bigint")
+    rows = per_change.join(ends, PR, "left").join(parts, PR, "left").withColumns(
+        {name: F.coalesce(name, zero) for name in ("part", "first_part", "last_part")})
+    return rows.withColumns({name: F.when(F.col("part") == F.col("first_part"), F.col(name)) for name in first_only})
 
 
 def report(
@@ -213,11 +217,13 @@ def report(
             changes = changes.join(texts.select(*PR, F.col("text").alias(name)), PR, "left")
     changes = changes.withColumn("_written", F.col("_review").isNotNull())
     rows = (
-        spread_over_parts(changes, ["impact_text", "context_text", "_review"])
+        spread_over_parts(
+            changes, summaries.select(*PR, part_of(F.col("file_ord")).alias("part")).union(issue_lists.select(*PART)),
+            ["impact_text", "context_text", "_review"])
         .join(summary_parts(summaries), PART, "left")
         .join(issue_texts(issue_lists), PART, "left")
     )
-    first, last = F.col("part") == 0, F.col("part") == F.col("last_part")
+    first, last = F.col("part") == F.col("first_part"), F.col("part") == F.col("last_part")
     review = F.concat(
         F.when(first, F.concat(
             F.lit("## PR Review (Fallback Mode)\n\n**Risk Level**: "), F.col("level"), F.lit("\n\n### Files Changed\n"),
@@ -243,5 +249,6 @@ def report(
         # Sections about the whole change stand in its first part only.
         F.when(first, F.coalesce("impact_text", F.lit("No cross-file impacts detected."))).otherwise("").alias("impact_text"),
         F.when(first, F.coalesce("context_text", no_context)).otherwise("").alias("context_text"),
-        F.concat(F.when(first, F.concat(header, F.lit("\n\n---\n\n"))).otherwise(""), body, suggestion).alias("body"),
+        # A listing in place of a review text comes without the badge.
+        F.concat(F.when(first & F.col("_written"), F.concat(header, F.lit("\n\n---\n\n"))).otherwise(""), body, suggestion).alias("body"),
     )

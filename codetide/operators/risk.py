@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codetide.functions import paths, rules, text
 
 PR = ["repo", "pr_id"]
-# Lists per change are delivered in parts of this many files, so no row grows with the change.
+# Lists per change are delivered in parts of this many positions, so no row grows with the change.
 FILES_PER_PART = 100
 
 # Case-insensitive and Unicode-aware, only "\n" ends a line; \s includes the ASCII separators.

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codetide.operators import indexing, pruning
+from codetide.operators import indexing
 from codetide.session import Stages, materialise
 from codetide.sources import index_store
 
@@ -36,9 +36,9 @@ def run_index(
     `repair` also re-indexes files whose chunks are missing.
     """
     stages = Stages(spark)
-    repos = pruning.wanted_values(files, ["repo"])
-    chunks, ledger = (
-        pruning.in_partitions(table, ["repo"], repos) for table in index_store.load_index(spark, index_path))
+    # A repository without a name is the one named ''; a file that is listed twice is one file.
+    files = files.fillna("", ["repo"]).dropDuplicates(["repo", "file_path"])
+    chunks, ledger = index_store.load_index(spark, index_path, only=index_store.buckets_of(files, buckets))
     if repair:
         ledger = index_store.repaired_ledger(chunks, ledger)
     new_chunks, new_hashes, labelled = plan_run(files, ledger, embed, full, keep=stages.keep)

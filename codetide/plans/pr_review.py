@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from codetide.operators import impact, pruning, retrieval, review, risk
+from codetide.operators import impact, retrieval, review, risk
 
 PR = ["repo", "pr_id"]
 
@@ -16,10 +16,10 @@ def assemble(
     `repo_files` holds current sources, `chunks` the index, `pr_vectors` (repo, pr_id, embedding)
     the query vector of each change, `written` optional model summaries. `keep(df, name)` may
     materialise the stages that feed several tables. Sources and chunks of repositories without a
-    change are not read if the tables are partitioned by repository.
+    change are dropped by a semi-join first.
     """
-    repos = pruning.wanted_values(pr_files, ["repo"])
-    repo_files, chunks = (pruning.in_partitions(table, ["repo"], repos) for table in (repo_files, chunks))
+    repos = pr_files.select("repo").distinct()
+    repo_files, chunks = (table.join(repos, "repo", "left_semi") for table in (repo_files, chunks))
     wide = keep(impact.symbol_table(impact.changed_sources(pr_files, repo_files)), "symbols")
     symbols = impact.pr_symbols(pr_files, wide)
     summaries = review.file_summaries(pr_files, impact.file_structures(wide), written)

@@ -16,9 +16,11 @@ SUGGESTED_CONF = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local temporary one only where none is configured."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="codetide-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,13 +51,3 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """One stage of its own, kept for as long as the caller needs it."""
     return Stages(df.sparkSession).keep(df, name)
 
-
-def spread(df: DataFrame, bytes_per_core: int = 128 << 20) -> DataFrame:
-    """Deal a small table over all cores.
-
-    A file with a single row group is read by one task however it is split. Tables larger than
-    `bytes_per_core` for every core have splits enough and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_core else df

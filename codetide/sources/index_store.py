@@ -1,24 +1,35 @@
-"""The chunk index on disk: two parquet tables partitioned by repository and path bucket.
+"""The chunk index on disk: two parquet tables in hash buckets of repositories.
 
-An update rewrites only the partitions it touches (dynamic partition overwrite, staged and
-moved at commit). Writes are rebalanced, so a repository of any size spreads over as many
-tasks and files as it needs. Contents are written before hashes and hashes dropped before
+The number of buckets is bounded whatever the number of repositories; inside, rows are sorted by
+repository and path, so row-group statistics find a repository. An update rewrites only the buckets it touches (dynamic partition overwrite, staged and
+moved at commit). Writes are rebalanced, so a bucket of any size spreads over as many tasks and
+files as it needs. Contents are written before hashes and hashes dropped before
 contents, so an interrupted update is simply redone by the next run.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codetide import schemas
-from codetide.operators import indexing, pruning
+from codetide.operators import indexing
 from codetide.sources.readers import read_table
 
-# Path buckets per repository; an index keeps the number it was written with.
-BUCKETS = 32
+# Buckets of repositories; an index keeps the number it was written with.
+BUCKETS = 64
 _PARTITION = T.StructType([T.StructField("bucket", T.LongType())])
 
 
-def bucket_of(path: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("bigint")
+def bucket_of(repo: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(buckets)).cast("bigint")
+
+
+def buckets_of(rows: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The buckets of the repositories in `rows`: at most `buckets` numbers, known before a table is listed."""
+    return sorted(r[0] for r in rows.select(bucket_of(F.col("repo"), buckets)).distinct().collect())
+
+
+def same_file(a: DataFrame, b: DataFrame) -> Column:
+    """Equal repository and path; a missing repository equals another missing one."""
+    return a["repo"].eqNullSafe(b["repo"]) & (a["file_path"] == b["file_path"])
 
 
 def _stored(schema: T.StructType) -> T.StructType:
@@ -29,10 +40,13 @@ def _load(spark: SparkSession, path: str, schema: T.StructType, skip_corrupt: bo
     return read_table(spark, path, _stored(schema), skip_corrupt)
 
 
-def load_index(spark: SparkSession, path: str, skip_corrupt: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ledger) of an index; empty tables if there is none yet."""
+def load_index(
+    spark: SparkSession, path: str, skip_corrupt: bool = False, only: list[int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks, ledger) of an index, or of the buckets `only`; empty tables if there is none yet."""
+    wanted = F.col("file_path").isNotNull() & (F.lit(True) if only is None else F.col("bucket").isin(only))
     return tuple(
-        _load(spark, f"{path}/{name}", schema, skip_corrupt).where(F.col("file_path").isNotNull()).drop("bucket")
+        _load(spark, f"{path}/{name}", schema, skip_corrupt).where(wanted).drop("bucket")
         for name, schema in (("chunks", schemas.CHUNKS), ("file_hashes", schemas.FILE_HASHES))
     )
 
@@ -40,29 +54,25 @@ def load_index(spark: SparkSession, path: str, skip_corrupt: bool = False) -> tu
 def _rewrite(
     spark: SparkSession, path: str, schema: T.StructType, dropped: DataFrame, added: DataFrame | None, buckets: int,
 ) -> None:
-    """Replace the rows of the `dropped` files by `added` in the partitions concerned."""
+    """Replace the rows of the `dropped` files by `added` in the buckets concerned."""
     names = schema.fieldNames()
-    keys = dropped.select("repo", "file_path").distinct().withColumn("bucket", bucket_of(F.col("file_path"), buckets))
-    partitions = keys.select("repo", "bucket").distinct()
-    touched = pruning.wanted_values(partitions, ["repo", "bucket"])
-    if touched == []:
+    keys = dropped.select("repo", "file_path").distinct()
+    touched = buckets_of(keys, buckets)
+    if not touched:
         return
-    # Untouched partitions are not even read; when too many are touched to list, all are rewritten.
-    kept = (
-        pruning.in_partitions(_load(spark, path, schema), ["repo", "bucket"], touched)
-        .where(F.col("file_path").isNotNull())
-        .join(keys.select("repo", "file_path"), ["repo", "file_path"], "left_anti")
-        .select(*names, "bucket")
-    )
+    # Buckets that are not touched are neither read nor written.
+    old = _load(spark, path, schema).where(F.col("bucket").isin(touched) & F.col("file_path").isNotNull())
+    kept = old.join(keys, same_file(old, keys), "left_anti").select(*names, "bucket")
     if added is not None:
-        kept = kept.unionByName(added.select(*names).withColumn("bucket", bucket_of(F.col("file_path"), buckets)))
-    # A row without a path keeps an emptied partition in the write, or its old files would stay.
-    markers = partitions.select(
-        *[F.col(n) if n == "repo" else F.lit(None).cast(schema[n].dataType).alias(n) for n in names], "bucket")
-    (
-        kept.unionByName(markers).hint("rebalance", F.col("repo"), F.col("bucket"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "bucket").parquet(path)
-    )
+        kept = kept.unionByName(added.select(*names).withColumn("bucket", bucket_of(F.col("repo"), buckets)))
+    # A row without a path keeps an emptied bucket in the write, or its old files would stay.
+    markers = spark.createDataFrame([(b,) for b in touched], "bucket bigint").select(
+        *[F.lit(None).cast(schema[n].dataType).alias(n) for n in names], "bucket")
+    _sorted(kept.unionByName(markers)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "repo", "file_path")
 
 
 def update_index(
@@ -82,14 +92,14 @@ def remove_files(spark: SparkSession, path: str, removed: DataFrame, buckets: in
 def save_index(path: str, chunks: DataFrame, ledger: DataFrame, buckets: int = BUCKETS) -> None:
     """Write a whole index, replacing whatever is at `path`."""
     for name, schema, df in (("chunks", schemas.CHUNKS, chunks), ("file_hashes", schemas.FILE_HASHES, ledger)):
-        rows = df.select(*schema.fieldNames()).withColumn("bucket", bucket_of(F.col("file_path"), buckets))
-        rows.hint("rebalance", F.col("repo"), F.col("bucket")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").partitionBy("repo", "bucket").parquet(f"{path}/{name}")
+        rows = df.select(*schema.fieldNames()).withColumn("bucket", bucket_of(F.col("repo"), buckets))
+        _sorted(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def repaired_ledger(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger without files that have no chunk, as a commit cut short by a lost driver may leave them."""
-    return ledger.join(chunks.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+    files = chunks.select("repo", "file_path").distinct()
+    return ledger.join(files, same_file(ledger, files), "left_semi")
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codetide import schemas
+from codetide.operators.events import present
 
 
 def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
@@ -40,7 +41,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, skip_corrup
 
 
 def _complete(installation: Column, repo: Column, pr_id: Column) -> Column:
-    return installation.isNotNull() & repo.isNotNull() & pr_id.isNotNull()
+    return present(installation, 0) & present(repo, "") & present(pr_id, 0)
 
 
 def explode_pr_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -332,7 +332,7 @@ def _report(files: str, with_code: bool) -> str:
   coalesce(issues_text, '✅ No security issues detected.') AS issues_text,
   coalesce(impact_text, 'No cross-file impacts detected.') AS impact_text,
   coalesce(context_text, {missing}) AS context_text,
-  concat({_BADGE}, chr(10), chr(10), '---', chr(10), chr(10), '## PR Review (Fallback Mode)', chr(10), chr(10), '**Risk Level**: ', level, chr(10), chr(10),
+  concat('## PR Review (Fallback Mode)', chr(10), chr(10), '**Risk Level**: ', level, chr(10), chr(10),
     '### Files Changed', chr(10), files_text, CASE WHEN missing_tests THEN
     concat(chr(10), '⚠️ **Warning**: No tests were modified. Consider adding tests for the new code.') ELSE '' END) AS body
 FROM risk r
@@ -415,7 +415,7 @@ def statements() -> dict[str, str]:
             f" FROM webhooks WHERE {_STATUS} = 'indexing'"),
         "review_requests": (
             f"{_HOOKS} SELECT event_id, repo, CASE WHEN event_id % 17 <> 3 THEN event_id END AS pr_id, CASE WHEN event_id % 19 <> 5 THEN sha END AS sha,"
-            f" CASE WHEN event_id % 17 = 3 THEN 'Missing context data' END AS error FROM webhooks WHERE {_STATUS} = 'processing'"),
+            f" CASE WHEN event_id % 17 = 3 OR event_id = 0 OR installation_id = 0 THEN 'Missing context data' END AS error FROM webhooks WHERE {_STATUS} = 'processing'"),
         "verify_signature": (
             f"{_HOOKS} SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'sha256=00' ELSE {_hmac('body', WEBHOOK_SECRET)} END AS signature,"
             " CASE event_id % 4 WHEN 0 THEN 'missing_signature' WHEN 1 THEN 'invalid_signature' ELSE 'ok' END AS verdict FROM webhooks"),
@@ -423,8 +423,8 @@ def statements() -> dict[str, str]:
             f"{_HOOKS} SELECT repo, sha, arg_max(state, event_id) AS state, arg_max(concat(state, ' by ', event), event_id) AS description"
             " FROM (SELECT *, ['pending', 'success', 'failure'][event_id % 3 + 1] AS state FROM webhooks) GROUP BY repo, sha"),
         "pr_files_scan": (
-            f"{with_clause('pr_files')} SELECT repo, pr_id, file_path, status, patch, additions, deletions, CAST(NULL AS VARCHAR) AS error FROM pr_files WHERE pr_id % 7 <> 3"
-            " UNION ALL SELECT repo, pr_id, NULL, NULL, NULL, NULL, NULL, 'Missing context data' FROM pr_files WHERE pr_id % 7 = 3"),
+            f"{with_clause('pr_files')} SELECT repo, pr_id, file_path, status, patch, additions, deletions, CAST(NULL AS VARCHAR) AS error FROM pr_files WHERE pr_id % 7 <> 3 AND pr_id <> 0"
+            " UNION ALL SELECT repo, pr_id, NULL, NULL, NULL, NULL, NULL, 'Missing context data' FROM pr_files WHERE pr_id % 7 = 3 OR pr_id = 0"),
         "pr_totals": f"{_PR_RISK} SELECT repo, pr_id, total_additions, total_deletions, changed_files_count FROM totals",
         "test_impact": f"{_PR_RISK} SELECT repo, pr_id, tests_modified, missing_tests FROM totals",
         "added_lines": f"{with_clause('pr_files')} SELECT repo, pr_id, file_ord, {_ADDED} AS added_code FROM pr_files",

@@ -113,7 +113,19 @@ def test_index_stream_is_idempotent(spark, tmp_path):
         return sorted((r.file_path, r.content) for r in index_store.load_index(spark, index)[0].collect())
 
     assert run("cp") == [("a.md", "two"), ("b.md", "b")]
+    again = [("o/r", "a.md", 3, "two", "modified", 2), ("o/r", "c.md", 3, "c", "added", None), ("o/r", "c.md", 3, "c", "added", None)]
+    spark.createDataFrame(rows + again, schema).coalesce(1).write.mode("overwrite").parquet(source)
+    assert run("cp1") == [("a.md", "two"), ("b.md", "b"), ("c.md", "c")]  # redelivered rows count once, rows without a number count
+    spark.createDataFrame([("o/r", "c.md", 3, None, "removed", 1)], schema).coalesce(1).write.mode("overwrite").parquet(source)
+    assert run("cp3") == [("a.md", "two"), ("b.md", "b")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(source)
     # The same batch again, as after a lost checkpoint.
     assert run("cp2") == [("a.md", "two"), ("b.md", "b")]
     spark.createDataFrame([("o/r", "a.md", 3, None, "removed", 4)], schema).coalesce(1).write.mode("append").parquet(source)
     assert run("cp") == [("b.md", "b")]
+
+
+def test_second_review_of_a_commit_opens_it_again(spark):
+    rows = [(1, "s", 0, "pending", "a"), (1, "s", 1, "failure", "b"), (2, "s", 0, "pending", "c")]
+    statuses = spark.createDataFrame(rows, "event_id bigint, sha string, seq bigint, state string, description string").selectExpr("'o/r' AS repo", "*")
+    assert [(r.state, r.description) for r in events.latest_status(statuses).collect()] == [("pending", "c")]

@@ -96,13 +96,39 @@ def test_repair_after_lost_chunks(spark, tmp_path):
     import shutil
     path = str(tmp_path / "index")
     files = files_df(spark, [("o/r", "a.md", "x"), ("o/s", "b.md", "y")])
-    index_run.run_index(spark, path, files, EMBED, buckets=1)
-    shutil.rmtree(tmp_path / "index" / "chunks" / "repo=o%2Fr")
-    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=1)) == {"o/r": (0, 1, 0), "o/s": (0, 1, 0)}
-    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=1, repair=True)) == {"o/r": (1, 0, 0), "o/s": (0, 1, 0)}
+    index_run.run_index(spark, path, files, EMBED, buckets=8)
+    buckets = {r: index_store.buckets_of(spark.createDataFrame([(r,)], "repo string"), 8)[0] for r in ("o/r", "o/s")}
+    assert buckets["o/r"] != buckets["o/s"]
+    shutil.rmtree(tmp_path / "index" / "chunks" / f"bucket={buckets['o/r']}")
+    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=8)) == {"o/r": (0, 1, 0), "o/s": (0, 1, 0)}
+    assert outcome(index_run.run_index(spark, path, files, EMBED, buckets=8, repair=True)) == {"o/r": (1, 0, 0), "o/s": (0, 1, 0)}
     assert index_store.load_index(spark, path)[0].count() == 2
 
 
+def test_missing_repository_names(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(None, f"f{i}.md", 1, "text") for i in range(4)] + [(None, "f0.md", 1, "text")],
+                                 "repo string, file_path string, size_bytes bigint, content string")
+    assert outcome(index_run.run_index(spark, path, rows, EMBED, buckets=2)) == {"": (4, 0, 0)}
+    assert outcome(index_run.run_index(spark, path, rows, EMBED, buckets=2)) == {"": (0, 4, 0)}
+    chunks = spark.createDataFrame([(None, f"f{i}.md", 0, "t", "n", "c", [1.0]) for i in range(4)], schemas.CHUNKS)
+    index_store.save_index(path, chunks, chunks.selectExpr("repo", "file_path", "'h' AS content_hash"), buckets=2)
+    index_store.remove_files(spark, path, spark.createDataFrame([(None, "f1.md")], "repo string, file_path string"), 2)
+    assert index_store.load_index(spark, path)[0].count() == 3 and index_store.load_index(spark, path)[1].count() == 3
+
+
+def test_failing_model_counts_as_errors(spark, tmp_path):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[1.0] for _ in texts]
+
+    files = files_df(spark, [("o/r", "a.md", "good"), ("o/r", "b.md", "bad")])
+    run = index_run.run_index(spark, str(tmp_path / "index"), files, hooks.batch_embedder(model), buckets=1)
+    assert {r.file_path for r in index_store.load_index(spark, str(tmp_path / "index"))[0].collect()} == {"a.md"}
+    assert run.first().indexed == 1
+
+
 def test_missing_index_is_empty(spark, tmp_path):
     chunks, ledger = index_store.load_index(spark, str(tmp_path / "none"))
     assert chunks.count() == 0 and ledger.count() == 0

@@ -1,48 +1,38 @@
-"""Partition pruning by values known at run time."""
+"""Index updates touch the buckets of their repositories only."""
 
 from codetide import schemas
-from codetide.operators import pruning
 from codetide.sources import index_store
 
-CHUNK_ROWS = [(repo, f"f{i}.md", 0, "t", "n", "c", [1.0]) for repo in ("o/r", "o'\\s", "t") for i in range(20)]
 
+def saved(spark, path, repos, buckets):
+    rows = [(repo, f"f{i}.md", 0, "t", "n", "c", [1.0]) for repo in repos for i in range(20)]
+    chunks = spark.createDataFrame(rows, schemas.CHUNKS)
+    index_store.save_index(path, chunks, chunks.selectExpr("repo", "file_path", "'h' AS content_hash"), buckets)
+    return len(rows)
 
-def test_values_up_to_a_limit(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "repo string, bucket bigint")
-    assert sorted(pruning.wanted_values(df, ["repo", "bucket"])) == [("a", 1), ("b", 2)]
-    assert pruning.wanted_values(df, ["repo"], limit=1) is None
-    assert pruning.in_partitions(df, ["repo"], None).count() == 3
-    assert pruning.in_partitions(df, ["repo"], []).count() == 0
-    assert pruning.in_partitions(df, ["repo", "bucket"], [("a", 1), ("b", 9)]).count() == 2
 
-
-def test_names_with_quotes_and_backslashes(spark, tmp_path):
+def test_only_wanted_buckets_are_listed(spark, tmp_path):
     path = str(tmp_path / "index")
-    chunks = spark.createDataFrame(CHUNK_ROWS, schemas.CHUNKS)
-    index_store.save_index(path, chunks, chunks.selectExpr("repo", "file_path", "'h' AS content_hash"), buckets=4)
-    loaded = index_store.load_index(spark, path)[0]
-    only = pruning.in_partitions(loaded, ["repo"], [("o'\\s",)])
-    assert {r.repo for r in only.collect()} == {"o'\\s"} and only.count() == 20
-    scan = only._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
-    assert scan.startswith("isnotnull(repo") and "= o'" in scan.split("]")[0]
+    saved(spark, path, ("o/r", "o'\\s", "t"), 16)
+    only = index_store.buckets_of(spark.createDataFrame([("o'\\s",)], "repo string"), 16)
+    loaded = index_store.load_index(spark, path, only=only)[0]
+    assert loaded.where(r"repo = 'o\'\\s'").count() == 20 and loaded.count() < 60
+    assert "PartitionFilters: [" in loaded._jdf.queryExecution().executedPlan().toString()
 
 
-def test_update_leaves_other_partitions_alone(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "index")
-    chunks = spark.createDataFrame(CHUNK_ROWS, schemas.CHUNKS)
-    index_store.save_index(path, chunks, chunks.selectExpr("repo", "file_path", "'h' AS content_hash"), buckets=4)
+def test_update_leaves_other_buckets_alone(spark, tmp_path):
+    path, buckets = str(tmp_path / "index"), 16
+    total = saved(spark, path, [f"o/r{i}" for i in range(30)], buckets)
 
     def files():
         return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "index" / "chunks").rglob("*.parquet")}
 
     before = files()
-    removed = spark.createDataFrame([("o/r", "f3.md")], "repo string, file_path string")
-    index_store.remove_files(spark, path, removed, 4)
+    removed = spark.createDataFrame([("o/r3", "f3.md")], "repo string, file_path string")
+    index_store.remove_files(spark, path, removed, buckets)
     same = {p for p, t in files().items() if before.get(p) == t}
     assert len({p.rsplit("/", 1)[0] for p in before}) - len({p.rsplit("/", 1)[0] for p in same}) == 1
-    assert index_store.load_index(spark, path)[0].count() == len(CHUNK_ROWS) - 1
-    # Too many touched partitions to list: everything is rewritten, with the same result.
-    monkeypatch.setattr(pruning, "MAX_VALUES", 0)
-    index_store.remove_files(spark, path, spark.createDataFrame([("t", "f1.md"), ("o/r", "f1.md")], removed.schema), 4)
-    assert index_store.load_index(spark, path)[0].count() == len(CHUNK_ROWS) - 3
-    assert index_store.load_index(spark, path)[1].count() == len(CHUNK_ROWS) - 3
+    # An update of every repository.
+    every = spark.range(30).selectExpr("concat('o/r', id) AS repo", "'f7.md' AS file_path")
+    index_store.remove_files(spark, path, every, buckets)
+    assert [t.count() for t in index_store.load_index(spark, path)] == [total - 31] * 2
