@@ -118,8 +118,11 @@ def trained(documents: DataFrame, keep, *, doc: str = "doc_id", text: str = "tex
     known = templates(spark)
     triples = known.select(F.explode(grams(words(F.col("paragraph")), 3)).alias("t")).distinct()
     ordinary = spark.createDataFrame([(p,) for p in ORDINARY], "paragraph string")
-    sampled = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t")) \
-        .orderBy(F.xxhash64("d"), F.xxhash64("t")).limit(negatives).select(F.explode(paragraphs(F.col("t"))).alias("paragraph"))
+    # Hashes are drawn first: `negatives` rows are fit for a broadcast, and no task gathers texts.
+    mark = F.xxhash64(doc, text)
+    drawn = documents.where(F.col(text).isNotNull()).select(mark.alias("mark")).distinct().orderBy("mark").limit(negatives)
+    sampled = documents.where(F.col(text).isNotNull()).select(mark.alias("mark"), F.col(text).alias("t")) \
+        .join(F.broadcast(drawn), "mark", "left_semi").select(F.explode(paragraphs(F.col("t"))).alias("paragraph"))
     numbered = sampled.distinct().withColumn("n", F.xxhash64("paragraph"))
     licensed = numbered.select("n", F.explode(grams(words(F.col("paragraph")), 3)).alias("t")).join(triples, "t").select("n").distinct()
     other = numbered.join(licensed, "n", "left_anti").select("paragraph").union(ordinary)
