@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_KEYS = 1 << 20
 
 
@@ -74,6 +74,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts(table: pa.Table, name: str = "text") -> list[bytes | None]:
+    """The texts of a group as bytes. What an earlier group of the task has left is freed first."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     return table.column(name).cast(pa.binary()).to_pylist()
 
 

@@ -43,7 +43,6 @@ from codetide.session import Stages
 CUT = 5  # counts above are taken as they are
 END, START = np.uint64(1), np.uint64(2)
 FACTOR = np.uint64(0x9FB21C651E98DF25)
-NAMES = Names()
 ASK = "kind int, range long, block long, n long, keys binary, counts binary"
 ANSWER = "kind int, range long, block long, n long, counts binary, own binary, stats array<long>"
 
@@ -99,7 +98,7 @@ class Block:
         last[self.ends - 1] = True
         tokens = np.full(total, END)
         # Names below 4 are kept for the marks.
-        tokens[~last] = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(words)), np.uint64, total - len(words)) | np.uint64(4)
+        tokens[~last] = np.fromiter(map(Names().__getitem__, chain.from_iterable(words)), np.uint64, total - len(words)) | np.uint64(4)
         before = np.empty(total, np.uint64)
         before[1:] = tokens[:-1]
         before[self.ends - self.counts] = START

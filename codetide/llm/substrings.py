@@ -43,7 +43,6 @@ WIDTH, ROUNDS = 13, 3
 FAR = 1 << 20  # context of a document's edge: longer than any window
 PAIR, RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 SIGN = np.uint64(1 << 63)
-NAMES = Names()
 
 
 def recompressed(names: np.ndarray, edge: np.ndarray, rounds: int = ROUNDS):
@@ -120,7 +119,7 @@ class Block:
         flat = np.arange(total) + np.repeat(np.arange(len(counts)) + 1, counts)
         self.edge[flat] = False
         self.names = np.zeros(len(self.edge), np.uint64)
-        self.names[flat] = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(split)), np.uint64, total)
+        self.names[flat] = np.fromiter(map(Names().__getitem__, chain.from_iterable(split)), np.uint64, total)
         self.words = split if keep_words else None
         ids = table.column("doc_id")
         self.known = ~np.asarray(ids.is_null().combine_chunks())

@@ -29,9 +29,9 @@ def words_of(text: bytes | None, lower: bool = False) -> list[bytes]:
 
 
 class Names(dict):
-    """Word -> 64-bit name; a cache that is emptied when it has grown to `limit` words."""
+    """Word -> 64-bit name; a cache that is emptied when it has grown to `limit` words, and goes with its block."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
