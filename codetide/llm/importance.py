@@ -8,7 +8,7 @@ there), so noise decides only between documents near it.
 
 The n-grams are of word forms, as the words themselves are too many to count: letters become A or a, digits
 0, repeats are squeezed, and a word that equals the one before is marked. Single forms and pairs are hashed
-to 2^16 buckets and smoothed by one.
+to 2^16 buckets and smoothed.
 
 All text means all rows: each task sums the buckets of its rows, Spark adds them up. The target model and
 the cut come from at most `sample` labelled ids, hence that broadcast is bounded, and so are the buckets.
@@ -44,7 +44,7 @@ SAME, PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class Forms(dict):
     """Word -> 64-bit name of its form; emptied when it has grown to `limit` words."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -53,15 +53,13 @@ class Forms(dict):
         return value
 
 
-FORM = Forms()
 
-
-def buckets(text: bytes | None, bits: int = BITS) -> np.ndarray:
+def buckets(text: bytes | None, forms: Forms, bits: int = BITS) -> np.ndarray:
     """Buckets of the single forms and pairs of a text, repeats included."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.int64)
-    form = np.fromiter(map(FORM.__getitem__, words), np.uint64, len(words))
+    form = np.fromiter(map(forms.__getitem__, words), np.uint64, len(words))
     form[1:] += np.fromiter((a == b for a, b in zip(words, words[1:])), np.uint64, len(words) - 1) * SAME
     pairs = form[:-1] * PAIR ^ form[1:]
     return (mix(np.concatenate((form, pairs))) >> np.uint64(64 - bits)).astype(np.int64)
@@ -73,12 +71,12 @@ def counted(documents: DataFrame, good: DataFrame, doc: str, text: str, bits: in
         .join(F.broadcast(good.withColumn("target", F.lit(1))), "__doc", "left").select("text", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        total, target, forms = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), Forms()
         for batch in batches:
             for value, chosen in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                n = np.bincount(buckets(value, bits), minlength=1 << bits) if value and len(value) > 20_000 else None
+                n = np.bincount(buckets(value, forms, bits), minlength=1 << bits) if value and len(value) > 20_000 else None
                 if n is None:
-                    at, times = np.unique(buckets(value, bits), return_counts=True)
+                    at, times = np.unique(buckets(value, forms, bits), return_counts=True)
                     total[at] += times
                     if chosen:
                         target[at] += times
@@ -98,9 +96,14 @@ def counted(documents: DataFrame, good: DataFrame, doc: str, text: str, bits: in
 
 
 def ratios(total: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p_target - log p_all of each bucket, both smoothed by one."""
-    n = len(total)
-    return np.log((target + 1) / (target.sum() + n)) - np.log((total + 1) / (total.sum() + n))
+    """log p_target - log p_all of each bucket, smoothed by one of all and as much of one as the target has of all.
+
+    So a bucket that has its share of the target has ratio 0, whatever the size of the sample.
+    """
+    n, share = len(total), target.sum() / max(total.sum(), 1)
+    if not share:
+        return np.zeros(n)
+    return np.log((target + share) / (target.sum() + n * share)) - np.log((total + 1) / (total.sum() + n))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -132,8 +135,9 @@ def scored(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text
     slim = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = Forms()
         for batch in batches:
-            sums = [float(weight[buckets(t, bits)].sum()) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            sums = [float(weight[buckets(t, forms, bits)].sum()) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64())], names=["doc_id", "text_hash", "log_weight"])
 
     id_type = slim.schema["doc_id"].dataType.simpleString()

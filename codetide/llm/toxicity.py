@@ -78,7 +78,7 @@ def margins(flat: np.ndarray, start: np.ndarray, bias: float, w: np.ndarray, v:
 
 
 def fit(flat: np.ndarray, start: np.ndarray, y: np.ndarray, n: int, factors: int = FACTORS, epochs: int = EPOCHS, batch: int = 512,
-        rate: float = 0.05, decay: float = 2e-4, seed: int = 9) -> tuple[float, np.ndarray, np.ndarray]:
+        steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 9) -> tuple[float, np.ndarray, np.ndarray]:
     """bias, w, v of a factorization machine over `n` features by Adam on the logistic loss.
 
     The rarer label 1 weighs as the square root of its odds, four times at most.
@@ -88,8 +88,10 @@ def fit(flat: np.ndarray, start: np.ndarray, y: np.ndarray, n: int, factors: int
     weight = np.where(y > 0, np.clip(np.sqrt((len(y) - pos) / max(pos, 1.0)), 1.0, 4.0), 1.0)
     theta = np.concatenate(([np.log((pos + 0.5) / (len(y) - pos + 1.0))], np.zeros(n), rng.normal(0, 0.05, n * factors)))
     m, s, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    parts = max(1, len(y) // batch)
+    epochs = max(epochs, -(-steps // parts))  # small samples are gone through more often
     for epoch in range(epochs if n else 0):
-        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+        for at in np.array_split(rng.permutation(len(y)), parts):
             size = start[at + 1] - start[at]
             own = np.concatenate(([0], np.cumsum(size)))
             f = flat[np.repeat(start[at] - own[:-1], size) + np.arange(own[-1])]
