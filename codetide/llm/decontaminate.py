@@ -40,15 +40,21 @@ def bounded(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def hashes(w: str, n: int, step: int):
-    """Hash of the n words from every step-th position of array column `w`, as structs (start from 1, n, h)."""
+def hashes(w: str, n: int, step: int, with_words: bool = False):
+    """Hash of the n words from every step-th position of array column `w`, as structs (start from 1, n, h).
+
+    Equal to the hash of the array of these words; slices of a long array would each copy all of it.
+    """
     starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+    at = lambda i: [F.element_at(w, i + k) for k in range(n)]
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(*at(i)).alias("h"),
+                                                  *([F.array(*at(i)).alias("words")] if with_words else [])))
 
 
-def marks(w: str, sizes: list[tuple[int, int]]):
-    parts = [hashes(w, n, step) for n, step in sizes]
-    return F.explode(F.concat(*parts) if parts else F.array().cast("array<struct<start:int,n:int,h:bigint>>"))
+def marks(w: str, sizes: list[tuple[int, int]], with_words: bool = False):
+    parts = [hashes(w, n, step, with_words) for n, step in sizes]
+    empty = F.array().cast(f"array<struct<start:int,n:int,h:bigint{',words:array<string>' if with_words else ''}>>")
+    return F.explode(F.concat(*parts) if parts else empty)
 
 
 def candidates(documents: DataFrame, benchmark: DataFrame, sizes: list[int], doc: str, text: str, item_text: str, broadcast_rows: int) -> DataFrame:
@@ -82,8 +88,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     windows = benchmark_windows(benchmark, item, item_text, width)
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `width` values
     near = candidates(documents, benchmark, sizes, doc, text, item_text, broadcast_rows)
-    found = near.select("doc", "version", "w", marks("w", [(n, 1) for n in sizes]).alias("m")).select("doc", "version", "w", "m.*") \
-        .join(bounded(windows, broadcast_rows), ["h", "n"]).where(F.slice("w", F.col("start"), F.col("n")) == F.col("window"))
+    # A row carries the words of its own position, never those of the whole document.
+    found = near.select("doc", "version", marks("w", [(n, 1) for n in sizes], with_words=True).alias("m")).select("doc", "version", "m.*") \
+        .join(bounded(windows, broadcast_rows), ["h", "n"]).where(F.col("words") == F.col("window"))
     return found.groupBy("doc", "version").agg(
         F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"),
         F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("items"))

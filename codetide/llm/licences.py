@@ -85,7 +85,7 @@ def words(paragraph: Column) -> Column:
 
 
 def grams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))) \
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(n)]))) \
         .otherwise(F.array().cast("array<string>"))
 
 
