@@ -53,7 +53,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+    return importance.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), words=True).drop("text_hash")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
