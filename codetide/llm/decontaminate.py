@@ -6,8 +6,7 @@ word inside any occurrence of a window is hit.
 
 A window of n words that occurs in a document covers one whole run of m = (n + 1) / 2 words that starts at
 a multiple of m. So a first scan looks up only every m-th position, by the hash of its m words, in the set
-of all such runs of the items; documents without any match are done. For this scan letters are lower-cased
-in the full Unicode sense, which only adds candidates. In the rest every position is looked up by the hash
+of all such runs of the items; documents without any match are done. In the rest every position is looked up by the hash
 of its n words, and what matches is compared word by word. A set is broadcast only if its rows, counted
 first, are within `broadcast_rows`; beyond that the same join shuffles both sides. Only matches leave the
 scan, so a hot document or passage adds rows in proportion to its own words.
@@ -31,9 +30,9 @@ WIDTH = 13
 BROADCAST_ROWS = 200_000
 
 
-def words(column, lower=ascii_lower):
+def words(column):
     """Array of the normalised words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(lower(column), F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(ascii_lower(column), F.lit("")), SEPARATORS), lambda w: w != "")
 
 
 def bounded(table: DataFrame, rows: int) -> DataFrame:
@@ -60,10 +59,10 @@ def marks(w: str, sizes: list[tuple[int, int]], with_words: bool = False):
 def candidates(documents: DataFrame, benchmark: DataFrame, sizes: list[int], doc: str, text: str, item_text: str, broadcast_rows: int) -> DataFrame:
     """doc, version, w of the documents that share a run of half a window with an item."""
     halves = sorted({(n + 1) // 2 for n in sizes})
-    runs = benchmark.select(words(F.col(item_text), F.lower).alias("w")).select(marks("w", [(m, 1) for m in halves]).alias("m")) \
+    runs = benchmark.select(words(F.col(item_text)).alias("w")).select(marks("w", [(m, 1) for m in halves]).alias("m")) \
         .select("m.n", "m.h").distinct()
     source = documents.where(F.col(text).isNotNull()).select(
-        F.col(doc).alias("doc"), F.col(text).alias("whole"), words(F.col(text), F.lower).alias("w"))
+        F.col(doc).alias("doc"), F.col(text).alias("whole"), words(F.col(text)).alias("w"))
     found = source.select("doc", "whole", marks("w", [(m, m) for m in halves]).alias("m")).select("doc", "whole", "m.n", "m.h") \
         .join(bounded(runs, broadcast_rows), ["h", "n"])
     return found.select("doc", F.xxhash64("whole").alias("version"), "whole").dropDuplicates(["doc", "version"]) \
