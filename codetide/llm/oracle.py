@@ -95,5 +95,68 @@ FROM w LEFT JOIN c USING (r) LEFT JOIN k USING (r)
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM c AS a, c AS b, c, c AS d, c AS e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+x AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[ascii(filter_order[step]) - 64] AS fail, len(list_filter(fails, lambda y: y)) = 1 AS single,
+    len(list_filter(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64])) > 0 AS gone FROM n, s),
+r AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND single), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM r
+"""
+
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|</?ROLE>>)', '\1\2\\\3', 'g')) AS n,
+        length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|</?ROLE>>)', '\1\2\\\3', 'g')) AS r FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + CASE role WHEN 'assistant' THEN 5 WHEN 'user' THEN 18 WHEN 'system' THEN 35 ELSE 37 + r END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT c, own, c - c % 20 AS base, (4294967295 - list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, k: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END))) % 4 AS h FROM t),
+r AS (SELECT h.c, coalesce(b.own[1:h.h], []) || h.own[h.h + 1:] AS s FROM h LEFT JOIN t b ON b.c = h.base),
+p AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+n0 AS (SELECT s[1:d] AS k, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len(s)), '') AS ends FROM p GROUP BY ALL),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS kids FROM n0 WHERE d > 0 GROUP BY 1),
+n AS (SELECT n0.*, coalesce(kids, 0) AS kids,
+        CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(n0.k[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM n0 LEFT JOIN kids ON n0.k = kids.k),
+u AS (SELECT k[1:a] AS k, sum(saved)::BIGINT AS saved_tokens, sum((kids = 0)::INT)::BIGINT AS n_leaves
+      FROM (SELECT k, saved, kids, unnest(range(0, d + 1)) AS a FROM n) GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, n.kids::BIGINT AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u ON n.k = u.k LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.k = n.k[1:n.d - 1]
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_exact_topk": OP3, "op4_source_mixing": OP4, "op7_url_filter": OP7, "op10_decontamination": OP10}
+    return {"op3_exact_topk": OP3, "op4_source_mixing": OP4, "op7_url_filter": OP7, "op10_decontamination": OP10,
+            "op11_filter_audit": OP11, "op12_reply_trees": OP12, "op13_prefix_trie": OP13}
