@@ -252,12 +252,12 @@ def expanded(paths: DataFrame, edges: DataFrame, keep) -> DataFrame:
 
     total = ends.agg(F.count("*").alias("n"), F.min("conv").alias("low"), F.sum("words").alias("words")).first()
     whole = start.agg(F.sum("leaves").alias("leaves"), F.sum("edge_words").alias("words"), F.sum((F.col("above").isNull()).cast("long")).alias("kids")).first()
-    none = hashlib.sha256(b"").hexdigest()
+    none, here = hashlib.sha256(b"").hexdigest(), digests.where(F.col("node") == root()).first()
     top = ends.limit(1).select(
         F.lit(total["low"]).alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total["n"]).alias("n_convs"),
         F.lit(whole["kids"] or 0).cast("long").alias("n_children"), F.lit(whole["leaves"] or 1).cast("long").alias("n_leaves"),
-        F.lit((total["words"] or 0) - (whole["words"] or 0)).cast("long").alias("saved_tokens"), root().alias("node"))
-    top = top.join(digests, "node", "left").select(*[c for c in top.columns if c != "node"], F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
+        F.lit((total["words"] or 0) - (whole["words"] or 0)).cast("long").alias("saved_tokens"),
+        F.lit(here["ends_sha256"] if here else none).alias("ends_sha256"))
 
     upper = sums.select(F.col("node").alias("up"), F.col("low").alias("up_low"))
     full = edges.select("p", "e", "up", "up_words", F.col("last").alias("node"), F.transform("label", lambda s: s["w"]).alias("w")) \

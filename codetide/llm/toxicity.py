@@ -4,9 +4,12 @@ score = sigmoid(b + sum of w[i] + sum over pairs of <v[i], v[j]>) over the disti
 besides additive weights, pairs of terms count, such as an insult with the mention of a group.
 
 Terms are lower-cased words without outer punctuation, hashed to 2^20 buckets. The machine is fitted on at
-most `sample` labelled documents in one task, whose input is bounded by that parameter: the buckets that
-tell most about the label (likelihood ratio statistic) get weights and factors by Adam. Its parameters,
-bounded by `features`, go to every task; scoring is a pass over all whole texts without a shuffle.
+most `sample` labelled documents in one task, whose input is bounded by that parameter. A bucket gets a weight
+and factors, by Adam, if it tells something of the label: by itself (likelihood ratio statistic), or
+beside another. The latter is judged by what a first machine leaves unexplained: of all pairs of buckets that
+stand in at least `paired` of the documents, those count whose common documents' residuals add up to
+5.5 standard deviations. No bucket that passes is dropped. The parameters, bounded by the sample's terms,
+go to every task; scoring is a pass over all whole texts without a shuffle.
 
 Inputs of a score are the words of the text alone. Null and empty texts get sigmoid(b). Null ids and null
 labels are not learnt from; without labels the score is low and even. Equal rows get equal scores. Extra
@@ -27,7 +30,7 @@ from codetide.llm import labelled
 from codetide.llm.text import words_of
 from codetide.session import Stages
 
-BITS, FEATURES, FACTORS, EPOCHS, EVIDENCE = 20, 4096, 8, 12, 10.8
+BITS, FACTORS, EPOCHS, EVIDENCE, PAIRED, DEVIATIONS = 20, 8, 12, 9.5, 0.02, 5.5
 OUTER = b".,;:!?\"'()[]{}<>*#$%&|~_-/\\"
 
 
@@ -50,8 +53,8 @@ def buckets(text: bytes | None, terms: Terms) -> np.ndarray:
     return np.unique(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))
 
 
-def telling(flat: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int, features: int) -> np.ndarray:
-    """Buckets with the strongest evidence about the label, sorted; at least EVIDENCE and two documents."""
+def telling(flat: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Buckets with evidence of their own about the label, sorted; at least EVIDENCE and two documents."""
     n, pos = len(y), y.sum()
     seen = np.bincount(flat, minlength=size).astype(float)
     hit = np.bincount(flat, weights=y[rows], minlength=size)
@@ -63,9 +66,28 @@ def telling(flat: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int, featur
 
     p = pos / max(n, 1)
     g = 2 * (part(hit, seen * p) + part(seen - hit, seen * (1 - p)) + part(pos - hit, (n - seen) * p) + part(n - seen - pos + hit, (n - seen) * (1 - p)))
-    chosen = np.flatnonzero(g >= EVIDENCE)
-    chosen = chosen[np.argsort(-g[chosen], kind="stable")[:features]]
-    return np.sort(at[chosen])
+    return at[g >= EVIDENCE]
+
+
+def telling_pairs(flat: np.ndarray, rows: np.ndarray, residual: np.ndarray, size: int, paired: float, block: int = 1024) -> np.ndarray:
+    """Buckets that tell something of the residuals together with another bucket, sorted."""
+    n = len(residual)
+    seen = np.bincount(flat, minlength=size)
+    often = np.flatnonzero(seen >= max(20, paired * n))
+    number = np.full(size, -1)
+    number[often] = np.arange(len(often))
+    inside = number[flat] >= 0
+    f, r = number[flat[inside]], rows[inside]
+    sums, common = (np.zeros((len(often), len(often)), np.float32) for _ in range(2))
+    for start in range(0, n, block):  # rows come in order
+        a, b = np.searchsorted(r, (start, start + block))
+        x = np.zeros((min(block, n - start), len(often)), np.float32)
+        x[r[a:b] - start, f[a:b]] = 1
+        sums += (x * residual[start:start + block, None].astype(np.float32)).T @ x
+        common += x.T @ x
+    strong = np.abs(sums) >= DEVIATIONS * np.sqrt(np.maximum(common, 20) * max(np.mean(residual ** 2), 1e-9))
+    np.fill_diagonal(strong, False)
+    return often[strong.any(axis=1)] if n else often
 
 
 def margins(flat: np.ndarray, start: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
@@ -111,7 +133,7 @@ def fit(flat: np.ndarray, start: np.ndarray, y: np.ndarray, n: int, factors: int
     return float(theta[0]), theta[1:n + 1], theta[n + 1:].reshape(n, factors)
 
 
-def learnt(documents: DataFrame, known: DataFrame, doc: str, text: str, keep, *, bits: int = BITS, features: int = FEATURES, factors: int = FACTORS):
+def learnt(documents: DataFrame, known: DataFrame, doc: str, text: str, keep, *, bits: int = BITS, paired: float = PAIRED, factors: int = FACTORS):
     """bucket numbers, bias, w, v from documents with labels in `known` (a bounded table: __doc, label)."""
     rows = documents.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "__doc")
 
@@ -137,18 +159,28 @@ def learnt(documents: DataFrame, known: DataFrame, doc: str, text: str, keep, *,
         else:
             y, flat, size = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(y)), size)
-        chosen = telling(flat, row, y, 1 << bits, features) if len(y) else np.zeros(0, np.int64)
-        number = np.full(1 << bits, -1)
-        number[chosen] = np.arange(len(chosen))
-        inside = number[flat] >= 0
-        start = np.concatenate(([0], np.cumsum(np.bincount(row[inside], minlength=len(y))))).astype(np.int64)
-        bias, w, v = fit(number[flat[inside]], start, y, len(chosen), factors)
+
+        def machine(chosen):
+            number = np.full(1 << bits, -1)
+            number[chosen] = np.arange(len(chosen))
+            inside = number[flat] >= 0
+            start = np.concatenate(([0], np.cumsum(np.bincount(row[inside], minlength=len(y))))).astype(np.int64)
+            own = number[flat[inside]]
+            bias, w, v = fit(own, start, y, len(chosen), factors)
+            return bias, w, v, margins(own, start, bias, w, v)[0]
+
+        chosen = telling(flat, row, y, 1 << bits)
+        bias, w, v, z = machine(chosen)
+        more = telling_pairs(flat, row, y - 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 << bits, paired)
+        if len(np.setdiff1d(more, chosen)):
+            chosen = np.union1d(chosen, more)
+            bias, w, v, _ = machine(chosen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([bias]), pa.array([chosen.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64())),
              pa.array([v.ravel().tolist()], pa.list_(pa.float64()))], names=["bias", "chosen", "w", "v"])
 
     model = keep(examples.coalesce(1).mapInArrow(train, "bias double, chosen array<long>, w array<double>, v array<double>"), "machine")
-    row = model.first()  # one row, bounded by `features`
+    row = model.first()  # one row, bounded by the sample's terms
     if row is None:
         return np.zeros(0, np.int64), float(np.log(0.5)), np.zeros(0), np.zeros((0, factors))
     return np.array(row["chosen"], np.int64), row["bias"], np.array(row["w"]), np.array(row["v"]).reshape(-1, factors)

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import zlib
 import re
 
 import numpy as np
@@ -118,6 +119,45 @@ def test_margins_are_the_pair_sums():
         assert got == pytest.approx(0.3 + sum(w[i] for i in r) + sum(v[i] @ v[j] for i in r for j in r if i < j))
 
 
+def accuracy(spark, texts, marks, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(m)) for i, m in enumerate(marks)], LABELS)
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, labels, lambda doc: katz.fold(doc, 5) == 0, **options).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    return got, held, sum(got[i]["predicted"] == marks[i] for i in held) / len(held)
+
+
+def test_insult_and_group_together(shared):
+    """Neither word tells anything by itself; together they decide."""
+    rng = random.Random(2)
+    texts, marks = [], []
+    for _ in range(4000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(12)] + ["insult"] * insult + ["group"] * group
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        marks.append(int(insult != group))
+    assert accuracy(shared, texts, marks)[2] > 0.97
+
+
+def test_rare_and_many_telling_terms(shared):
+    rng = random.Random(4)
+    texts, marks = [], []
+    for i in range(1250):
+        bad = i % 5 == 1
+        words = [f"w{rng.randrange(2000)}" for _ in range(20)] + (["plain"] if not bad else [f"slur{rng.randrange(3)}"] if i % 10 else [])
+        texts.append(" ".join(words))
+        marks.append(int(bad))
+    for i in [i for i in range(1250) if marks[i] and zlib.crc32(str(i).encode()) % 5][:3]:
+        texts[i] += " seldom"
+    got, _, _ = accuracy(shared, texts + ["w1 w2 seldom", "w1 w2"], marks + [1, 0])
+    assert got[1250]["score"] > got[1251]["score"]
+    # 6,000 telling words, each in 16 toxic documents or 16 clean ones: all count.
+    texts = [" ".join(f"{'bad' if i % 2 else 'good'}{(i // 2 * 20 + k) % 3000}" for k in range(20)) for i in range(2 * 150 * 16)]
+    got, held, right = accuracy(shared, texts + [f"bad{k}" for k in range(0, 3000, 29)], [i % 2 for i in range(len(texts))] + [1] * len(range(0, 3000, 29)))
+    assert right > 0.99
+
+
 def test_toxicity_held_out(shared):
     rng = random.Random(7)
     insults = ["idiot", "moron", "scum", "trash"]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from codetide.llm import decontaminate, licences, mixing, oracle, queries, url_filter
 from codetide.session import Stages
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+NATIVE = ("op4_", "op7_", "op10_")
 DOCS = "doc_id long, text string, source string, copies string, size string"
 
 
@@ -32,7 +33,7 @@ def test_parity(shared, sf_dir, name):
     assert sorted(names) == columns
     assert got == sorted("|".join(normal(row[names.index(c)]) for c in columns) for row in relation.fetchall())
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert name.startswith("op3") or not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+    assert not name.startswith(NATIVE) or not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
 
 
 def test_mixing_cases(shared):
@@ -171,6 +172,26 @@ def test_licences(shared):
     assert licences.scanned(docs.where("false")).count() == 0
 
 
+def test_licence_bodies_whole_and_wrapped(shared, sf_dir):
+    """Every family by its body alone, on one line and wrapped, amid ordinary lines."""
+    import textwrap
+
+    ordinary = [r["text"] for r in shared.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").collect()]
+    ordinary = [x for t in ordinary for x in t.split("\n") if x.strip() and "icens" not in x][:5000]
+    rows = []
+    for i, (family, bodies) in enumerate(licences.TEXTS.items()):
+        for j, body in enumerate(bodies):
+            around = ordinary[(i * 10 + j) * 40:][:40]
+            for wrapped, text in enumerate((body, "\n".join(textwrap.wrap(body, 50)))):
+                rows.append((i * 100 + j * 10 + wrapped, "\n".join([*around[:20], text, *around[20:]]), family))
+    rows.append((9999, "\n".join(ordinary), ""))
+    docs = shared.createDataFrame(rows, "doc_id long, text string, family string")
+    got = {r["doc_id"]: r for r in licences.scanned(docs.drop("family")).collect()}
+    assert {(d, f) for d, _, f in rows if f not in got[d]["families"].split(",")} == set()
+    assert sum(got[d]["families"] == f for d, _, f in rows) >= 0.9 * len(rows)
+    assert got[9999]["n_licence"] == 0
+
+
 def test_licence_scores_match_the_sums(shared):
     """Probabilities of paragraphs against the model's weights summed by hand."""
     import math
