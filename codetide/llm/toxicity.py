@@ -7,8 +7,8 @@ Terms are lower-cased words without outer punctuation, hashed to 2^20 buckets. T
 most `sample` labelled documents in one task, whose input is bounded by that parameter. A bucket gets a weight
 and factors, by Adam, if it tells something of the label: by itself (likelihood ratio statistic), or
 beside another. The latter is judged by what a first machine leaves unexplained: of all pairs of buckets that
-stand in at least `paired` of the documents, those count whose common documents' residuals add up to
-5.5 standard deviations. No bucket that passes is dropped. The parameters, bounded by the sample's terms,
+stand in at least `paired` of the documents, those count whose common documents' residuals differ by
+5.5 standard deviations from what either bucket leaves alone. No bucket that passes is dropped. The parameters, bounded by the sample's terms,
 go to every task; scoring is a pass over all whole texts without a shuffle.
 
 Inputs of a score are the words of the text alone. Null and empty texts get sigmoid(b). Null ids and null
@@ -69,9 +69,14 @@ def telling(flat: np.ndarray, rows: np.ndarray, y: np.ndarray, size: int) -> np.
     return at[g >= EVIDENCE]
 
 
-def telling_pairs(flat: np.ndarray, rows: np.ndarray, residual: np.ndarray, size: int, paired: float, block: int = 1024) -> np.ndarray:
-    """Buckets that tell something of the residuals together with another bucket, sorted."""
-    n = len(residual)
+def telling_pairs(flat: np.ndarray, rows: np.ndarray, y: np.ndarray, z: np.ndarray, size: int, paired: float, block: int = 1024) -> np.ndarray:
+    """Buckets that tell, together with another bucket, something of the labels `y` that the margins `z` do not, sorted.
+
+    The residuals of a pair's documents must differ from what each of the two leaves by itself. A residual
+    counts with a tenth of the label's variance at least: what is all but explained needs no pairs.
+    """
+    n, residual = len(y), y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    variance = max(np.mean(residual ** 2), 0.1 * np.var(y), 1e-9) if n else 1.0
     seen = np.bincount(flat, minlength=size)
     often = np.flatnonzero(seen >= max(20, paired * n))
     number = np.full(size, -1)
@@ -85,9 +90,11 @@ def telling_pairs(flat: np.ndarray, rows: np.ndarray, residual: np.ndarray, size
         x[r[a:b] - start, f[a:b]] = 1
         sums += (x * residual[start:start + block, None].astype(np.float32)).T @ x
         common += x.T @ x
-    strong = np.abs(sums) >= DEVIATIONS * np.sqrt(np.maximum(common, 20) * max(np.mean(residual ** 2), 1e-9))
+    own = np.diag(sums) / np.maximum(np.diag(common), 1)  # what a bucket leaves by itself is not the pair's
+    beyond = np.minimum(np.abs(sums - common * own), np.abs(sums - common * own[:, None]))
+    strong = beyond >= DEVIATIONS * np.sqrt(np.maximum(common, 20) * variance)
     np.fill_diagonal(strong, False)
-    return often[strong.any(axis=1)] if n else often
+    return often[strong.any(axis=1)]
 
 
 def margins(flat: np.ndarray, start: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
@@ -171,7 +178,7 @@ def learnt(documents: DataFrame, known: DataFrame, doc: str, text: str, keep, *,
 
         chosen = telling(flat, row, y, 1 << bits)
         bias, w, v, z = machine(chosen)
-        more = telling_pairs(flat, row, y - 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 << bits, paired)
+        more = telling_pairs(flat, row, y, z, 1 << bits, paired)
         if len(np.setdiff1d(more, chosen)):
             chosen = np.union1d(chosen, more)
             bias, w, v, _ = machine(chosen)
