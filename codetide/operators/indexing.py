@@ -2,11 +2,12 @@
 
 Index state is two tables: chunks (repo, file_path, chunk_index, ..., embedding) and the
 ledger of content hashes (repo, file_path, content_hash). Change detection shuffles only
-keys and hashes; file contents are joined back to the changed keys afterwards, so a small
-change set travels to the contents and not the other way round.
+keys and hashes. Contents are read again and chunked where they lie: all of them where nothing
+was indexed before, else those whose 64-bit mark is among the changed files' marks, which
+travel to the contents. Only marks beyond a stated number make the contents travel.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codetide.functions import paths, symbols, text
 
@@ -14,6 +15,8 @@ FILE = ["repo", "file_path"]
 
 # Stored text length per chunk.
 STORED_CHARS = 500
+# Marks of changed files that may be broadcast: 8 bytes each, some 64 MB as a hash table.
+BROADCAST_MARKS = 2_000_000
 
 
 def label_eligibility(files: DataFrame) -> DataFrame:
@@ -41,6 +44,12 @@ def hashed_keys(files: DataFrame) -> DataFrame:
         *FILE, F.col("content").isNotNull().alias("decodable"), text.content_hash(F.col("content")).alias("content_hash"))
 
 
+def one_per_file(hashed: DataFrame) -> DataFrame:
+    """`hashed_keys` with one row per file; of a file that is listed twice a readable version counts, then the largest hash."""
+    best = F.max(F.struct("decodable", "content_hash"))
+    return hashed.groupBy(*FILE).agg(best.alias("_best")).select(*FILE, "_best.decodable", "_best.content_hash")
+
+
 def changed_keys(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
     """Decodable files whose hash is absent from the ledger or differs, with the new hash."""
     stored = ledger.select(*FILE, F.col("content_hash").alias("_stored"))
@@ -78,16 +87,20 @@ def chunk_files(files: DataFrame) -> DataFrame:
 def number_valid_chunks(embedded: DataFrame) -> DataFrame:
     """Drop chunks without a vector and number the rest from 0 inside their file.
 
-    Only the positions of failed chunks are grouped; they are few, so the chunk rows with their
-    texts and vectors need not be shuffled to be numbered.
+    A file without failed chunks has its numbers already. In the others positions, not texts, are
+    counted in order, and joined to the chunks by file and position: rows of a fixed width, however
+    many chunks a file has and however many failed.
     """
     valid = F.coalesce(F.size("embedding") > 0, F.lit(False))
-    failed = embedded.where(~valid).groupBy(*FILE).agg(F.collect_list("seq").alias("_failed"))
-    before = F.size(F.filter("_failed", lambda s: s < F.col("seq")))
+    positions = embedded.select(*FILE, "seq", valid.alias("_valid"))
+    failed = positions.where("NOT _valid").select(*FILE).distinct()
+    inside = Window.partitionBy(*FILE).orderBy("seq")
+    numbers = (
+        positions.where("_valid").join(failed, FILE, "left_semi")
+        .select(*FILE, "seq", (F.row_number().over(inside) - 1).cast("bigint").alias("_number")))
     return (
-        embedded.where(valid).join(failed, FILE, "left")
-        .withColumn("chunk_index", F.col("seq") - F.when(F.col("_failed").isNull(), 0).otherwise(before))
-        .drop("_failed")
+        embedded.where(valid).join(numbers, [*FILE, "seq"], "left")
+        .withColumn("chunk_index", F.coalesce("_number", "seq")).drop("_number")
     )
 
 
@@ -104,8 +117,28 @@ def to_index_rows(numbered: DataFrame) -> DataFrame:
     )
 
 
-def contents_of(files: DataFrame, keys: DataFrame) -> DataFrame:
-    return files.select(*FILE, "content").join(keys.select(*FILE), FILE, "left_semi")
+def contents_of(files: DataFrame, hashed: DataFrame, changed: DataFrame, nothing_indexed: bool, broadcast_marks: int = BROADCAST_MARKS) -> DataFrame:
+    """Contents (repo, file_path, content) of the changed files, each once.
+
+    `hashed` has the keys and hashes of all `files`, one row per listed one; `changed` those to read, one
+    row per file. Both are counted, so they should be kept tables. No content is shuffled, but for files that are
+    listed more than once, and when more than `broadcast_marks` files of known repositories changed.
+    """
+    twice = hashed.groupBy(*FILE).count().where("count > 1").select(*FILE)
+    slim = files.select(*FILE, "content")
+    repeated = not twice.isEmpty()
+    if nothing_indexed and not repeated:
+        return slim.where(F.col("content").isNotNull())
+    mark = F.xxhash64("repo", "file_path", "content_hash")
+    marks = changed.select(mark.alias("_mark"))
+    if changed.count() <= broadcast_marks:
+        marks = F.broadcast(marks)
+    hashed_content = slim.withColumn("content_hash", text.content_hash(F.col("content")))
+    found = hashed_content.where(F.col("content").isNotNull()).join(marks, mark == F.col("_mark"), "left_semi").select(*FILE, "content")
+    if not repeated:
+        return found
+    # Rows of one file that are left have one hash, so any of them will do.
+    return found.join(twice, FILE, "left_anti").unionByName(found.join(twice, FILE, "left_semi").dropDuplicates(FILE))
 
 
 def replace_chunks(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
@@ -147,9 +180,11 @@ def label_run(files: DataFrame, hashed: DataFrame, new_chunks: DataFrame, full:
         labelled = label_eligibility(files).where(F.col("outcome").isNotNull())
     else:
         labelled = files.withColumn("outcome", F.lit("eligible"))
+    # A file that is listed twice is one file, eligible if one of its rows is.
+    labelled = labelled.groupBy(*FILE).agg(F.min("outcome").alias("outcome"))
     stored = new_chunks.select(*FILE).distinct().withColumn("_stored", F.lit(True))
     return (
-        labelled.select(*FILE, "outcome").join(hashed, FILE, "left").join(stored, FILE, "left")
+        labelled.join(hashed, FILE, "left").join(stored, FILE, "left")
         .select(
             *FILE,
             F.when(F.col("outcome") != "eligible", "skipped")

@@ -1,30 +1,36 @@
-"""The chunk index on disk: two parquet tables in hash buckets of repositories.
-
-The number of buckets is bounded whatever the number of repositories; inside, rows are sorted by
-repository and path, so row-group statistics find a repository. An update rewrites only the buckets it touches (dynamic partition overwrite, staged and
-moved at commit). Writes are rebalanced, so a bucket of any size spreads over as many tasks and
-files as it needs. Contents are written before hashes and hashes dropped before
-contents, so an interrupted update is simply redone by the next run.
+"""The chunk index on disk: a log of segments, and a manifest that names those in force.
+
+A segment is two parquet tables: `chunks` of the files it brings, and `files`, one row per file with its hash, or marked
+as removed. An update writes one segment with the files it changes and nothing else; then it
+puts a manifest with the next version number beside the older ones, by one rename. Readers take the
+highest version, so a writer that dies leaves the old version as it was, and of two writers that start
+from one version the second fails. Of several segments that name a file the last one counts; reading
+drops the rows of the others by a join with the keys of later segments, which are as small as the updates.
+
+`compact` merges the last segments while they are of similar size, so their number stays near
+the logarithm of the index and every row is rewritten about that often. `vacuum` deletes what no recent
+version names. Rows of a segment are dealt by ranges of repository and path, a hot repository over several,
+and sorted, so row-group statistics find a repository.
 """
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codetide import schemas
 from codetide.operators import indexing
+from codetide.sources.folder import Folder
 from codetide.sources.readers import read_table
 
-# Buckets of repositories; an index keeps the number it was written with.
-BUCKETS = 64
-_PARTITION = T.StructType([T.StructField("bucket", T.LongType())])
-
-
-def bucket_of(repo: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(repo), F.lit(buckets)).cast("bigint")
+FILE = ["repo", "file_path"]
+# Segments of similar size are merged when there are this many.
+FAN = 4
+FILES = T.StructType(schemas.FILE_HASHES.fields + [T.StructField("removed", T.BooleanType())])
 
 
-def buckets_of(rows: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """The buckets of the repositories in `rows`: at most `buckets` numbers, known before a table is listed."""
-    return sorted(r[0] for r in rows.select(bucket_of(F.col("repo"), buckets)).distinct().collect())
+class Conflict(Exception):
+    """The index has a newer version than the one this change started from."""
 
 
 def same_file(a: DataFrame, b: DataFrame) -> Column:
@@ -32,73 +38,141 @@ def same_file(a: DataFrame, b: DataFrame) -> Column:
     return a["repo"].eqNullSafe(b["repo"]) & (a["file_path"] == b["file_path"])
 
 
-def _stored(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + _PARTITION.fields)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Version numbers of an index that can be read, in order."""
+    names = Folder(spark, path).names()
+    return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+
+def segments(spark: SparkSession, path: str, version: int | None = None) -> list[dict]:
+    """Segments in force (name, bytes), oldest first."""
+    known = versions(spark, path)
+    if not known:
+        return []
+    return json.loads(Folder(spark, path).read(f"manifest-{known[-1] if version is None else version:012d}.json"))["segments"]
+
+
+def _commit(spark: SparkSession, path: str, before: int, parts: list[dict]) -> None:
+    text = json.dumps({"version": before + 1, "segments": parts})
+    if not Folder(spark, path).write_new(f"manifest-{before + 1:012d}.json", text, f".manifest-{uuid.uuid4().hex}"):
+        raise Conflict(f"{path} has a version {before + 1} already")
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    return (versions(spark, path) or [0])[-1]
+
+
+def _named(rows: DataFrame, names: list[str]) -> DataFrame:
+    """A missing repository is the one named ''."""
+    return rows.select(*names).fillna("", ["repo"])
+
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange(*FILE).sortWithinPartitions(*FILE)
 
-def _load(spark: SparkSession, path: str, schema: T.StructType, skip_corrupt: bool = False) -> DataFrame:
-    return read_table(spark, path, _stored(schema), skip_corrupt)
+
+def _write_segment(path: str, files: DataFrame, chunks: DataFrame | None) -> dict | None:
+    """A new segment, not yet in force; None if it would name no file."""
+    spark, name = files.sparkSession, f"segments/{uuid.uuid4().hex}"
+    _dealt(_named(files, FILES.fieldNames())).write.parquet(f"{path}/{name}/files")
+    if spark.read.schema(FILES).parquet(f"{path}/{name}/files").isEmpty():
+        Folder(spark, path).delete(name)
+        return None
+    if chunks is not None:
+        _dealt(_named(chunks, schemas.CHUNKS.fieldNames())).write.parquet(f"{path}/{name}/chunks")
+    return {"name": name, "bytes": Folder(spark, path).size(name)}
+
+
+def _union(spark: SparkSession, path: str, parts: list[dict], table: str, schema: T.StructType, skip_corrupt: bool = False) -> DataFrame:
+    """Rows of a table in all segments, with `segment`, their place in the log."""
+    out = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("segment", T.IntegerType(), False)]))
+    for number, part in enumerate(parts):
+        rows = read_table(spark, f"{path}/{part['name']}/{table}", schema, skip_corrupt).withColumn("segment", F.lit(number))
+        out = rows if number == 0 else out.unionByName(rows)
+    return out
+
+
+def _in_force(rows: DataFrame, files: DataFrame, parts: list[dict]) -> DataFrame:
+    """Rows whose file no later segment names."""
+    if len(parts) < 2:
+        return rows
+    later = files.where("segment > 0").select(*FILE, F.col("segment").alias("_later"))
+    return rows.join(later, same_file(rows, later) & (later["_later"] > rows["segment"]), "left_anti")
+
+
+def _read(spark: SparkSession, path: str, parts: list[dict], skip_corrupt: bool = False, repos: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, files) in force, files with `removed`."""
+    wanted = F.col("file_path").isNotNull() & (F.lit(True) if repos is None else F.col("repo").isin(repos))
+    files = _union(spark, path, parts, "files", FILES, skip_corrupt).where(wanted)
+    chunks = _union(spark, path, parts, "chunks", schemas.CHUNKS, skip_corrupt).where(wanted)
+    return _in_force(chunks, files, parts).drop("segment"), _in_force(files, files, parts).drop("segment")
 
 
 def load_index(
-    spark: SparkSession, path: str, skip_corrupt: bool = False, only: list[int] | None = None,
+    spark: SparkSession, path: str, skip_corrupt: bool = False, repos: list[str] | None = None, version: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ledger) of an index, or of the buckets `only`; empty tables if there is none yet."""
-    wanted = F.col("file_path").isNotNull() & (F.lit(True) if only is None else F.col("bucket").isin(only))
-    return tuple(
-        _load(spark, f"{path}/{name}", schema, skip_corrupt).where(wanted).drop("bucket")
-        for name, schema in (("chunks", schemas.CHUNKS), ("file_hashes", schemas.FILE_HASHES))
-    )
-
-
-def _rewrite(
-    spark: SparkSession, path: str, schema: T.StructType, dropped: DataFrame, added: DataFrame | None, buckets: int,
-) -> None:
-    """Replace the rows of the `dropped` files by `added` in the buckets concerned."""
-    names = schema.fieldNames()
-    keys = dropped.select("repo", "file_path").distinct()
-    touched = buckets_of(keys, buckets)
-    if not touched:
-        return
-    # Buckets that are not touched are neither read nor written.
-    old = _load(spark, path, schema).where(F.col("bucket").isin(touched) & F.col("file_path").isNotNull())
-    kept = old.join(keys, same_file(old, keys), "left_anti").select(*names, "bucket")
-    if added is not None:
-        kept = kept.unionByName(added.select(*names).withColumn("bucket", bucket_of(F.col("repo"), buckets)))
-    # A row without a path keeps an emptied bucket in the write, or its old files would stay.
-    markers = spark.createDataFrame([(b,) for b in touched], "bucket bigint").select(
-        *[F.lit(None).cast(schema[n].dataType).alias(n) for n in names], "bucket")
-    _sorted(kept.unionByName(markers)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "repo", "file_path")
-
-
-def update_index(
-    spark: SparkSession, path: str, new_chunks: DataFrame, new_hashes: DataFrame, buckets: int = BUCKETS,
-) -> None:
-    """Store re-indexed files: chunks and hashes of the files in `new_hashes` are replaced."""
-    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, new_hashes, new_chunks, buckets)
-    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, new_hashes, new_hashes, buckets)
+    """(chunks, ledger) of an index, of some repositories or of an older version; empty tables if there is none yet."""
+    chunks, files = _read(spark, path, segments(spark, path, version), skip_corrupt, repos)
+    return chunks, files.where(~F.coalesce("removed", F.lit(False))).drop("removed")
 
 
-def remove_files(spark: SparkSession, path: str, removed: DataFrame, buckets: int = BUCKETS) -> None:
-    """Drop files from the index."""
-    _rewrite(spark, f"{path}/file_hashes", schemas.FILE_HASHES, removed, None, buckets)
-    _rewrite(spark, f"{path}/chunks", schemas.CHUNKS, removed, None, buckets)
+def _append(spark: SparkSession, path: str, files: DataFrame, chunks: DataFrame | None) -> None:
+    before = _version(spark, path)
+    part = _write_segment(path, files, chunks)
+    if part is not None:
+        _commit(spark, path, before, [*(segments(spark, path, before) if before else []), part])
+
+
+def update_index(spark: SparkSession, path: str, new_chunks: DataFrame, new_hashes: DataFrame) -> None:
+    """Store re-indexed files: chunks and hashes of the files in `new_hashes` are replaced."""
+    _append(spark, path, new_hashes.withColumn("removed", F.lit(False)), new_chunks)
 
 
-def save_index(path: str, chunks: DataFrame, ledger: DataFrame, buckets: int = BUCKETS) -> None:
-    """Write a whole index, replacing whatever is at `path`."""
-    for name, schema, df in (("chunks", schemas.CHUNKS, chunks), ("file_hashes", schemas.FILE_HASHES, ledger)):
-        rows = df.select(*schema.fieldNames()).withColumn("bucket", bucket_of(F.col("repo"), buckets))
-        _sorted(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/{name}")
+def remove_files(spark: SparkSession, path: str, removed: DataFrame) -> None:
+    """Drop files from the index."""
+    keys = removed.fillna("", ["repo"]).select(*FILE).distinct()
+    _append(spark, path, keys.select(*FILE, F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("removed")), None)
+
+
+def save_index(path: str, chunks: DataFrame, ledger: DataFrame) -> None:
+    """Write a whole index, in place of whatever is at `path`."""
+    spark = chunks.sparkSession
+    before, part = _version(spark, path), _write_segment(path, ledger.withColumn("removed", F.lit(False)), chunks)
+    _commit(spark, path, before, [part] if part else [])
+
+
+def compact(spark: SparkSession, path: str, fan: int = FAN) -> bool:
+    """Merge the last segments if at least `fan` of them are of similar size; True if so."""
+    before = _version(spark, path)
+    parts = segments(spark, path, before) if before else []
+    first, total = len(parts) - 1, parts[-1]["bytes"] if parts else 0
+    while first > 0 and parts[first - 1]["bytes"] <= 2 * total:
+        first -= 1
+        total += parts[first]["bytes"]
+    if len(parts) - first < max(fan, 2):
+        return False
+    chunks, files = _read(spark, path, parts[first:])
+    if first == 0:  # nothing lies below that a mark of removal would have to hide
+        files = files.where(~F.coalesce("removed", F.lit(False)))
+    part = _write_segment(path, files, chunks)
+    _commit(spark, path, before, [*parts[:first], *([part] if part else [])])
+    return True
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete all but the last `keep` versions, and segments that none of these names: not while an update is under way."""
+    folder, known = Folder(spark, path), versions(spark, path)
+    used = {part["name"] for version in known[-keep:] for part in segments(spark, path, version)}
+    for version in known[:-keep]:
+        folder.delete(f"manifest-{version:012d}.json")
+    for name in Folder(spark, f"{path}/segments").names():
+        if f"segments/{name}" not in used:
+            folder.delete(f"segments/{name}")
 
 
 def repaired_ledger(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger without files that have no chunk, as a commit cut short by a lost driver may leave them."""
-    files = chunks.select("repo", "file_path").distinct()
+    """Ledger without files that have no chunk, as lost files of a store may leave them."""
+    files = chunks.select(*FILE).distinct()
     return ledger.join(files, same_file(ledger, files), "left_semi")
 
 

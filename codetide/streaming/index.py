@@ -7,12 +7,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codetide.plans.index_run import apply_changes
 from codetide.session import Stages
-from codetide.sources import index_store
 
 
 def start_index(
-    changes: DataFrame, index_path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str,
-    buckets: int = index_store.BUCKETS, **trigger,
+    changes: DataFrame, index_path: str, embed: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger,
 ) -> StreamingQuery:
     """Apply a stream of changed files (REPO_FILES columns, status, seq) to an index.
 
@@ -26,7 +24,7 @@ def start_index(
         order = F.struct(F.coalesce("seq", F.lit(-(1 << 63))), F.xxhash64("content", "status"))
         row = F.struct(*[c for c in batch.columns if c not in ("repo", "file_path", "seq")])
         last = batch.fillna("", ["repo"]).groupBy("repo", "file_path").agg(F.max_by(row, order).alias("_row")).select("repo", "file_path", "_row.*")
-        apply_changes(batch.sparkSession, index_path, stages.keep(last, "batch"), embed, buckets).write.format("noop").mode("overwrite").save()
+        apply_changes(batch.sparkSession, index_path, stages.keep(last, "batch"), embed).write.format("noop").mode("overwrite").save()
         stages.clear()
 
     return (

@@ -109,7 +109,7 @@ def test_index_stream_is_idempotent(spark, tmp_path):
 
     def run(checkpoint):
         stream = spark.readStream.schema(schema).parquet(source)
-        index_stream.start_index(stream, index, embed, str(tmp_path / checkpoint), buckets=2).awaitTermination()
+        index_stream.start_index(stream, index, embed, str(tmp_path / checkpoint)).awaitTermination()
         return sorted((r.file_path, r.content) for r in index_store.load_index(spark, index)[0].collect())
 
     assert run("cp") == [("a.md", "two"), ("b.md", "b")]
