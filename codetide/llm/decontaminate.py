@@ -61,21 +61,20 @@ def candidates(documents: DataFrame, benchmark: DataFrame, sizes: list[int], doc
     halves = sorted({(n + 1) // 2 for n in sizes})
     runs = benchmark.select(words(F.col(item_text)).alias("w")).select(marks("w", [(m, 1) for m in halves]).alias("m")) \
         .select("m.n", "m.h").distinct()
-    source = documents.where(F.col(text).isNotNull()).select(
-        F.col(doc).alias("doc"), F.col(text).alias("whole"), words(F.col(text)).alias("w"))
-    found = source.select("doc", "whole", marks("w", [(m, m) for m in halves]).alias("m")).select("doc", "whole", "m.n", "m.h") \
-        .join(bounded(runs, broadcast_rows), ["h", "n"])
-    return found.select("doc", F.xxhash64("whole").alias("version"), "whole").dropDuplicates(["doc", "version"]) \
-        .select("doc", "version", words(F.col("whole")).alias("w"))
+    # A scanned position is a hash and the key of its document, a fixed width, wherever the join happens; texts are read again for the documents found.
+    version = F.xxhash64(text)
+    source = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), version.alias("version"), words(F.col(text)).alias("w"))
+    scanned = source.select("doc", "version", marks("w", [(m, m) for m in halves]).alias("m")).select("doc", "version", "m.n", "m.h")
+    found = scanned.join(bounded(runs, broadcast_rows), ["h", "n"]).select(F.col("doc").alias("_doc"), F.col("version").alias("_version")).distinct()
+    return source.join(found, source["doc"].eqNullSafe(found["_doc"]) & (source["version"] == found["_version"]), "left_semi")
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
-    """Distinct windows with the sorted ids of their items: h, n, window, items."""
+    """Windows of the items: h, n, window, item."""
     w = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))))
     windows = w.select("item", "w", starts.alias("i")).select("item", F.slice("w", F.col("i"), width).alias("window"))
-    return windows.groupBy("window").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64("window").alias("h"), F.size("window").alias("n"), "window", "items")
+    return windows.select(F.xxhash64("window").alias("h"), F.size("window").alias("n"), "window", "item").distinct()
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -88,11 +87,14 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most `width` values
     near = candidates(documents, benchmark, sizes, doc, text, item_text, broadcast_rows)
     # A row carries the words of its own position, never those of the whole document.
+    wanted = bounded(windows.select("h", "n", "window").distinct(), broadcast_rows)
     found = near.select("doc", "version", marks("w", [(n, 1) for n in sizes], with_words=True).alias("m")).select("doc", "version", "m.*") \
-        .join(bounded(windows, broadcast_rows), ["h", "n"]).where(F.col("words") == F.col("window"))
-    return found.groupBy("doc", "version").agg(
-        F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("items"))
+        .join(wanted, ["h", "n"]).where(F.col("words") == F.col("window")).select("doc", "version", "start", "h", "n", "window")
+    spans = found.groupBy("doc", "version").agg(F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"))
+    # Items come in after the match: a window that many items share is one row until then.
+    named = found.select("doc", "version", "h", "n", "window").distinct().join(windows, ["h", "n", "window"]) \
+        .groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    return spans.join(named, spans["doc"].eqNullSafe(named["_doc"]) & (spans["version"] == named["_version"])).select("doc", "version", "spans", "items")
 
 
 def hit_positions(spans):

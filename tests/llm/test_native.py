@@ -136,7 +136,7 @@ def test_decontamination(shared, broadcast_rows):
     item = " ".join(f"Wört{i}" for i in range(30))
     items = [(1, item), (2, "short item, three"), (3, None), (4, "!!"), (10, " ".join(f"wört{i}" for i in range(5, 25))), (5, "a b c d e f g h i j k l m"), (6, "lone9")]
     rows = [(1, item), (2, "x " * 100 + item.upper().replace("Ö", "ö") + " y" * 9), (3, " ".join(item.split()[:12])), (4, None), (5, ""), (6, "..."),
-            (7, "Short-ITEM\nthree"), (8, "short item"), (9, "z " * (20_000 if broadcast_rows else 500) + item), (10, "a b c d e f g h i j k l m n"), (1, item), (1, "other text"), (None, item),
+            (7, "Short-ITEM\nthree"), (8, "short item"), (9, "z " * 20_000 + item), (10, "a b c d e f g h i j k l m n"), (1, item), (1, "other text"), (None, item),
             (11, "ſhort item three K"), (12, "x lone9 y"), (13, "WÖRT0 " + item[6:])]
     docs = shared.createDataFrame([(i, t, "clash", "clash", "clash") for i, t in rows], DOCS.replace("copies", "spans").replace("size", "items"))
     bench = shared.createDataFrame(items, "item_id long, text string")
