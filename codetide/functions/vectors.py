@@ -43,34 +43,43 @@ PAIR_FIELDS = "repo string, query_id string, id string, ord bigint, similarity d
 
 
 def pack_blocks(rows_per_block: int):
-    """mapInArrow function: vectors (repo, id, ord, embedding) to matrices of bounded height.
+    """mapInArrow function: vectors (repo, dim, id, ord, embedding), sorted by repo and dim, to matrices of bounded height.
 
-    Blocks form inside a task's own batches, so packing needs no shuffle and no group.
+    A block goes on over the borders of Arrow batches and ends with its key, its height or the task.
     """
 
+    def block(key: tuple, parts: list[pa.Table]) -> dict:
+        table = pa.concat_tables(parts).combine_chunks()
+        matrix = unit_rows(table.column("embedding").combine_chunks())
+        return {"repo": key[0], "dim": key[1], "ids": table.column("id").to_pylist(), "ords": table.column("ord").to_pylist(), "matrix": matrix.tobytes()}
+
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("repo", pa.string()), ("dim", pa.int32()), ("ids", pa.list_(pa.string())), ("ords", pa.list_(pa.int64())), ("matrix", pa.binary())])
+        key, parts, height = None, [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            lengths = table.column("embedding").combine_chunks().value_lengths()
-            table = table.append_column("dim", lengths.cast(pa.int32()))
-            table = table.sort_by([("repo", "ascending"), ("dim", "ascending")]).combine_chunks()
-            repo_codes = table.column("repo").combine_chunks().dictionary_encode().indices.to_numpy()
-            dims = table.column("dim").to_numpy()
-            changes = np.flatnonzero((np.diff(repo_codes) != 0) | (np.diff(dims) != 0)) + 1
-            edges = [0, *changes.tolist(), table.num_rows]
+            codes = table.column("repo").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            dims, out = table.column("dim").to_numpy(), []
+            edges = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(dims) != 0)) + 1).tolist(), table.num_rows]
             for first, end in zip(edges, edges[1:]):
-                for start in range(first, end, rows_per_block):
-                    part = table.slice(start, min(rows_per_block, end - start))
-                    matrix = unit_rows(part.column("embedding").combine_chunks())
-                    yield pa.RecordBatch.from_pydict({
-                        "repo": pa.array([part.column("repo")[0].as_py()]),
-                        "dim": pa.array([int(dims[start])], pa.int32()),
-                        "ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.string())),
-                        "ords": pa.array([part.column("ord").to_pylist()], pa.list_(pa.int64())),
-                        "matrix": pa.array([matrix.tobytes()], pa.binary()),
-                    })
+                own = table.column("repo")[first].as_py(), int(dims[first])
+                if own != key and parts:
+                    out.append(block(key, parts))
+                    parts, height = [], 0
+                key = own
+                while first < end:
+                    take = min(end - first, rows_per_block - height)
+                    parts.append(table.slice(first, take))
+                    first, height = first + take, height + take
+                    if height == rows_per_block:
+                        out.append(block(key, parts))
+                        parts, height = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if parts:
+            yield pa.RecordBatch.from_pylist([block(key, parts)], schema)
 
     return pack
 
@@ -119,25 +128,36 @@ def score_against(vector: list[float], k: int):
     return score
 
 
-def score_block_pairs(k: int):
+def score_block_pairs(k: int, rows_per_batch: int = 8192):
     """mapInArrow function: (chunk block, query block) rows to local top-k rows."""
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("repo", "query_id", "id", "ord", "similarity")
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
+        out, rows = {name: [] for name in names}, 0
+
+        def drained() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in zip(names, types)], names=list(names))
+
         for batch in batches:
             columns = {name: batch.column(name) for name in batch.schema.names}
             for i in range(batch.num_rows):
-                dim = columns["dim"][i].as_py()
+                dim, repo = columns["dim"][i].as_py(), columns["repo"][i].as_py()
                 ids, ords = columns["ids"][i].as_py(), columns["ords"][i].as_py()
                 query_ids = columns["query_ids"][i].as_py()
                 chunks = np.frombuffer(columns["matrix"][i].as_buffer(), np.float64).reshape(-1, dim)
                 queries = np.frombuffer(columns["query_matrix"][i].as_buffer(), np.float64).reshape(-1, dim)
                 query_rows, chunk_rows, scores = top_k_of_block_pair(ids, ords, chunks, queries, k)
-                yield pa.RecordBatch.from_pydict({
-                    "repo": pa.array([columns["repo"][i].as_py()] * len(scores), pa.string()),
-                    "query_id": pa.array([query_ids[q] for q in query_rows], pa.string()),
-                    "id": pa.array([ids[c] for c in chunk_rows], pa.string()),
-                    "ord": pa.array([ords[c] for c in chunk_rows], pa.int64()),
-                    "similarity": pa.array(scores, pa.float64()),
-                })
+                out["repo"] += [repo] * len(scores)
+                out["query_id"] += [query_ids[q] for q in query_rows]
+                out["id"] += [ids[c] for c in chunk_rows]
+                out["ord"] += [ords[c] for c in chunk_rows]
+                out["similarity"] += scores.tolist()
+                rows += len(scores)
+                if rows >= rows_per_batch:
+                    yield drained()
+                    out, rows = {name: [] for name in names}, 0
+        if rows:
+            yield drained()
 
     return score

@@ -32,6 +32,21 @@ def hashing_embedder(dimensions: int = DIMENSIONS, text_col: str = "content") ->
     return embed
 
 
+def digest_embedder(dimensions: int = 64, text_col: str = "content") -> Callable[[DataFrame], DataFrame]:
+    """Bag-of-words vectors whose places come from a token's MD5, which any SQL engine can follow; empty texts get an empty vector."""
+
+    def embed(df: DataFrame) -> DataFrame:
+        lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        tokens = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        places = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dimensions)
+        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(at, lambda p: p == d)).cast("double"))
+        # The places are found once: a one-element array binds them.
+        vector = F.transform(F.array(places), lambda at: F.when(F.size(at) > 0, counts(at)).otherwise(F.array().cast("array<double>")))[0]
+        return df.withColumn("embedding", vector)
+
+    return embed
+
+
 def _answers(model: Callable[[list], list], asked: list, failed) -> list:
     """The model's answers; where a batch fails its rows are asked one by one, and those that fail get `failed`."""
     try:

@@ -11,7 +11,7 @@ SEARCH_DEPTH, KEPT, CONTENT_CHARS = 5, 3, 500
 
 
 def retrieve_context(chunks: DataFrame, pr_vectors: DataFrame, pr_files: DataFrame) -> DataFrame:
-    """Context rows (repo, pr_id, rank, file, content, relevance) for changes with a query vector.
+    """Context rows (repo, pr_id, rank, file, chunk_type, name, content, relevance, distance) for changes with a query vector.
 
     The change's own files are removed after the search, so fewer than three rows may remain.
     """
@@ -25,9 +25,10 @@ def retrieve_context(chunks: DataFrame, pr_vectors: DataFrame, pr_files: DataFra
     ranked = outside.withColumn("rank", F.row_number().over(Window.partitionBy(*PR).orderBy("_found")))
     kept = ranked.where(F.col("rank") <= KEPT)
     # Texts are fetched for the few kept hits only.
-    texts = keyed.select("repo", "id", F.substring("content", 1, CONTENT_CHARS).alias("content"))
-    return kept.join(texts, ["repo", "id"]).select(
-        *PR, "rank", F.col("file_path").alias("file"), "content", F.col("similarity").alias("relevance"))
+    found = similarity.with_fields(kept.drop("file_path"), keyed)
+    return found.select(
+        *PR, "rank", F.col("file_path").alias("file"), "chunk_type", "name", F.substring("content", 1, CONTENT_CHARS).alias("content"),
+        F.col("similarity").alias("relevance"), "distance")
 
 
 def retrieval_status(changes: DataFrame, chunks: DataFrame, pr_vectors: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def scan_files(pr_files: DataFrame, pack="default") -> DataFrame:
     return (
         pr_files.withColumn("added_code", text.added_code(F.col("patch")))
         .withColumns({"_lower": F.lower("added_code"), "_folds": F.col("added_code").rlike("[\u017f\u212a\u0130\u0131]")})
-        .select(*PR, "file_ord", "file_path", "additions", "deletions", bits.alias("hits"))
+        .select(*PR, "file_ord", "file_path", "additions", "deletions", *_host_columns(pr_files), bits.alias("hits"))
     )
 
 
@@ -98,14 +98,67 @@ def pattern_findings(files: DataFrame, pack="default") -> DataFrame:
     return security_issues(files, pack).where(~F.col("kind").isin("sensitive_file", "vulnerable_package"))
 
 
-def pr_totals(pr_files: DataFrame) -> DataFrame:
-    return pr_files.groupBy(*PR).agg(
-        F.sum(F.coalesce("additions", F.lit(0))).alias("total_additions"),
-        F.sum(F.coalesce("deletions", F.lit(0))).alias("total_deletions"),
-        F.count(F.lit(1)).alias("changed_files_count"),
+def _host_columns(files: DataFrame) -> list[str]:
+    return [c for c in ("host_files", "host_additions", "host_deletions") if c in files.columns]
+
+
+def _totals(files: DataFrame) -> list[Column]:
+    """Counts of a change: those that the host states where it does, else sums over its files."""
+    known = _host_columns(files)
+    sums = (("host_additions", F.sum(F.coalesce("additions", F.lit(0))), "total_additions"),
+            ("host_deletions", F.sum(F.coalesce("deletions", F.lit(0))), "total_deletions"),
+            ("host_files", F.count(F.lit(1)), "changed_files_count"))
+    return [(F.coalesce(F.max(host), total) if host in known else total).alias(name) for host, total, name in sums]
+
+
+def rule_table(spark, pack="default") -> DataFrame:
+    """A rule pack as a table: one row per pattern, in reporting order."""
+    rows = [(category, at, points, label, pattern, needle) for category, points, label, patterns in rules.rule_pack(pack) for at, (pattern, needle) in enumerate(patterns)]
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], RULE_TABLE)
+
+
+RULE_TABLE = "rule long, category string, position long, points long, label string, pattern string, fragment string"
+# Fragments that every text is searched for; of more, ever shorter heads are searched for.
+FRAGMENTS = 5000
+
+
+def _heads(rule_rows: DataFrame, most: int) -> tuple[int, list[str]]:
+    """Length and values of the fragment heads to search for: whole fragments if there are at most `most`."""
+    for length in (1 << 20, 8, 6, 4, 3, 2, 1, 0):
+        head = F.substring(F.lower(F.coalesce("fragment", F.lit(""))), 1, length) if length else F.lit("")
+        found = [r[0] for r in rule_rows.select(head).distinct().limit(most + 1).collect()]
+        if len(found) <= most:
+            break
+    return length, found
+
+
+def rule_findings(pr_files: DataFrame, rule_rows: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """One row per file and category of a table of rules (RULE_TABLE), with the positions of the patterns that match.
+
+    `fragment` is a text that every match of the pattern contains, in lower case; null where there is none.
+    A file is searched for all fragments first; patterns run on the pairs that an equi-join on the fragment
+    gives, so any number of rules and categories will do. No letter outside ASCII may stand in a fragment.
+    """
+    length, heads = _heads(rule_rows, fragments)
+    head = F.substring(F.lower(F.coalesce("fragment", F.lit(""))), 1, length) if length else F.lit("")
+    pattern = F.concat(F.lit(_REGEX_FLAGS), F.replace("pattern", F.lit(r"\s"), F.lit(_SPACE)))
+    ruled = rule_rows.select(head.alias("_head"), "category", "position", "points", "label", pattern.alias("_pattern"))
+    # Letters that fold to ASCII ones are replaced by these, so that no fragment is missed.
+    plain = F.lower(F.translate("added_code", "\u017f\u212a\u0130\u0131", "skii"))
+    wanted = F.array(*map(F.lit, heads)) if heads else F.array().cast("array<string>")
+    files = pr_files.select(*PR, "file_ord", "file_path", text.added_code(F.col("patch")).alias("added_code"))
+    present = F.transform(F.array(plain), lambda t: F.filter(wanted, lambda h: F.contains(t, h)))[0]
+    pairs = files.select("*", F.explode(present).alias("_head")).join(ruled, "_head").where(F.rlike("added_code", F.col("_pattern")))
+    return (
+        pairs.groupBy(*PR, "file_ord", "file_path", "category")
+        .agg(F.max("points").alias("points"), F.min("label").alias("label"), F.sort_array(F.collect_set("position")).alias("positions"))
     )
 
 
+def pr_totals(pr_files: DataFrame) -> DataFrame:
+    return pr_files.groupBy(*PR).agg(*_totals(pr_files))
+
+
 def test_impact(pr_files: DataFrame) -> DataFrame:
     is_test = paths.is_test(F.col("file_path"))
     return (
@@ -120,15 +173,12 @@ def pr_metrics(files: DataFrame, pack="default") -> DataFrame:
     is_test = paths.is_test(F.col("file_path"))
     points = reduce(add, (F.when(_bit(i), F.lit(pts)).otherwise(F.lit(0)) for i, (_, pts, _) in enumerate(_checks(pack))))
     per_file = _scanned(files, pack).select(
-        *PR, F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"),
-        is_test.alias("_test"), points.alias("_points"), F.bit_count("hits").alias("_issues"),
+        *PR, "additions", "deletions", *_host_columns(files), is_test.alias("_test"), points.alias("_points"), F.bit_count("hits").alias("_issues"),
     )
     return (
         per_file.groupBy(*PR)
         .agg(
-            F.count(F.lit(1)).alias("changed_files_count"),
-            F.sum("additions").alias("total_additions"),
-            F.sum("deletions").alias("total_deletions"),
+            *_totals(files),
             F.bool_or("_test").alias("tests_modified"),
             F.bool_or(~F.col("_test")).alias("_code"),
             F.sum("_points").alias("security_points"),

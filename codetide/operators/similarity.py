@@ -1,9 +1,10 @@
 """Exact cosine top-k inside each repository.
 
-Vectors are packed into matrices of bounded height where they lie; matrices of the same
-repository meet in an ordinary join, which Spark broadcasts when the query side turns out
-small and sorts, shuffles and de-skews otherwise. Each pair of matrices is one matrix
-product that emits only its local top-k, so row pairs are never produced.
+Vectors are dealt by ranges of repository, width and a hash of their id, so that those of a repository
+lie together and a hot repository spreads over as many tasks as it fills, and are packed into
+matrices of bounded height. Matrices of the same repository meet in an ordinary join, which Spark
+broadcasts when the query side turns out small and sorts, shuffles and de-skews otherwise. Each pair of
+matrices is one matrix product that emits only its local top-k, so row pairs are never produced.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -22,7 +23,10 @@ def _vectors(df: DataFrame, id_col: str, ord_col: str | None) -> DataFrame:
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    return df.mapInArrow(vectors.pack_blocks(rows), vectors.BLOCK_FIELDS)
+    """Matrices of at most `rows` vectors of one repository: about one per small repository."""
+    keyed = df.withColumns({"dim": F.size("embedding"), "_spread": F.xxhash64("id")})
+    dealt = keyed.repartitionByRange("repo", "dim", "_spread").sortWithinPartitions("repo", "dim")
+    return dealt.drop("_spread").mapInArrow(vectors.pack_blocks(rows), vectors.BLOCK_FIELDS)
 
 
 def top_k(
@@ -60,5 +64,11 @@ def nearest(chunks: DataFrame, vector: list[float], k: int = 5, *, tie_breakers:
     return scored.orderBy(F.col("similarity").desc(), *tie_breakers).limit(k)
 
 
+def with_fields(hits: DataFrame, chunks: DataFrame, id_col: str = "id") -> DataFrame:
+    """Hits of `top_k` with the path, type, name and text of their chunks, and the distance."""
+    fields = chunks.select("repo", F.col(id_col).cast("string").alias("id"), "file_path", "chunk_type", "name", "content")
+    return with_distance(hits).join(fields, ["repo", "id"])
+
+
 def with_distance(hits: DataFrame) -> DataFrame:
     return hits.withColumn("distance", F.lit(1.0) - F.col("similarity"))

@@ -24,7 +24,7 @@ def assemble(
     symbols = impact.pr_symbols(pr_files, wide)
     summaries = review.file_summaries(pr_files, impact.file_structures(wide), written)
     impacted = keep(impact.impact_analysis(pr_files, repo_files, symbols, keep), "impact")
-    context = retrieval.retrieve_context(chunks, pr_vectors, pr_files)
+    context = keep(retrieval.retrieve_context(chunks, pr_vectors, pr_files), "context")
     scanned = keep(risk.scan_files(pr_files, pack), "scanned")
     scored = risk.gate(risk.pr_risk(scanned, impacted, pack))
     issues = risk.issue_lists(scanned, pack)

@@ -11,7 +11,8 @@ STRING, LONG, DOUBLE, BOOL = T.StringType(), T.LongType(), T.DoubleType(), T.Boo
 
 REPO_FILES = _struct(repo=STRING, file_path=STRING, size_bytes=LONG, content=STRING)
 
-# file_ord is the 0-based position of the file in the change's file list: dense and unique per change.
+# file_ord is the position of the file in the change's file list: unique per change, gaps allowed.
+# Readers add host_files, host_additions, host_deletions: totals of the host, which may list more than it delivers.
 PR_FILES = _struct(
     repo=STRING, pr_id=LONG, file_ord=LONG, file_path=STRING, status=STRING,
     patch=STRING, additions=LONG, deletions=LONG,
@@ -23,6 +24,9 @@ PR_DOCUMENT = _struct(
     repo=STRING,
     pr_id=LONG,
     head_sha=STRING,
+    changed_files=LONG,
+    additions=LONG,
+    deletions=LONG,
     files=T.ArrayType(_struct(filename=STRING, status=STRING, patch=STRING, additions=LONG, deletions=LONG)),
 )
 

@@ -40,6 +40,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, skip_corrup
         raise
 
 
+# Totals that a host states for a whole change, and their names on its files.
+HOST_TOTALS = (("changed_files", "host_files"), ("additions", "host_additions"), ("deletions", "host_deletions"))
+
+
 def _complete(installation: Column, repo: Column, pr_id: Column) -> Column:
     return present(installation, 0) & present(repo, "") & present(pr_id, 0)
 
@@ -48,9 +52,11 @@ def explode_pr_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(PR_FILES rows, rejected documents with `error`) from rows of PR_DOCUMENT."""
     complete = _complete(F.col("installation_id"), F.col("repo"), F.col("pr_id"))
     rejected = documents.where(~complete).select("repo", "pr_id", "head_sha", F.lit("Missing context data").alias("error"))
-    files = documents.where(complete).select("repo", "pr_id", F.posexplode("files").alias("file_ord", "f")).select(
+    totals = [(F.col(name) if name in documents.columns else F.lit(None)).cast("bigint").alias(alias) for name, alias in HOST_TOTALS]
+    files = documents.where(complete).select("repo", "pr_id", *totals, F.posexplode("files").alias("file_ord", "f")).select(
         "repo", "pr_id", F.col("file_ord").cast("bigint").alias("file_ord"), F.col("f.filename").alias("file_path"),
-        "f.status", "f.patch", "f.additions", "f.deletions")
+        "f.status", "f.patch", "f.additions", "f.deletions",
+        *[alias for _, alias in HOST_TOTALS])
     return files, rejected
 
 

@@ -2,7 +2,7 @@
 
 from codetide.functions import paths, rules, symbols
 from codetide.functions.text import BLOCK_LINES, WHOLE_FILE_CHARS
-from codetide.workload.views import with_clause
+from codetide.workload.views import with_clause, view_sql
 
 _NL = "chr(10)"
 
@@ -187,6 +187,14 @@ _CHANGED = f"""changed AS (SELECT f.repo, f.file_path, {_HASH.format('f.content'
   WHERE f.content IS NOT NULL AND {_HASH.format('f.content')} IS DISTINCT FROM l.content_hash)"""
 _NEW = f"""new_chunks AS (SELECT v.* FROM valid v JOIN changed c USING (repo, file_path)
   JOIN (SELECT repo, file_path, {_OUTCOME} AS outcome FROM repo_files) o USING (repo, file_path) WHERE outcome = 'eligible')"""
+_EMBEDDED_FULL = _EMBEDDED.replace("AS valid\n", "AS valid, substring(c.content, 1, 500) AS content, e.embedding\n").replace(
+    "chunk_type, name\n  FROM numbered", "chunk_type, name, content, embedding\n  FROM numbered")
+_INDEX_FULL = (f"{with_clause('hash_ledger')},\nreadable AS (SELECT * FROM repo_files WHERE content IS NOT NULL),\n{_symbols_cte('readable')},\n"
+               f"{_chunks_cte('wide', True)},\n{_EMBEDDED_FULL},\n{_CHANGED}")
+def _cte(name: str) -> str:
+    return f"{name} AS ({view_sql(name, 'duckdb')})"
+
+
 _INDEX = f"{with_clause('hash_ledger')},\n{_REPO_LANG},\n{_chunks_cte('withlang', False)},\n{_EMBEDDED},\n{_CHANGED}"
 
 # ---- risk --------------------------------------------------------------------
@@ -254,6 +262,10 @@ _BADGE = (
     " CASE WHEN issue_count > 0 THEN concat(chr(10), '⚠️ **', issue_count, ' security issue(s) detected**') ELSE '' END)")
 _PR_RISK = f"{with_clause('pr_files')},\n{_issues('pr_files')},\n{_risk_cte('pr_files')}"
 
+# Totals that the host states in the documents.
+_HOSTS = """hosts AS (SELECT repo, pr_id, CAST(count(*) + pr_id % 3 AS BIGINT) AS host_files, CAST(2 * sum(additions) AS BIGINT) AS host_additions,
+  CAST(sum(deletions) + pr_id % 5 AS BIGINT) AS host_deletions FROM pr_files GROUP BY repo, pr_id)"""
+
 # ---- similarity ----------------------------------------------------------------
 
 
@@ -315,6 +327,21 @@ summaries AS (SELECT *, concat('**', file_path, '** (+', additions, '/-', deleti
     patch, chr(10), '```', CASE WHEN structure <> '' THEN concat(chr(10), chr(10), 'Context: ', structure) ELSE '' END) AS summary FROM sized)"""
 
 
+# Search text of every change.
+_QUERY_TEXTS = """rn AS (SELECT *, row_number() OVER (PARTITION BY repo, pr_id, kind ORDER BY name) AS r FROM pr_names),
+query_texts AS (SELECT repo, pr_id, concat_ws(chr(10), fns, cls, heads) AS query_text FROM
+  (SELECT repo, pr_id, string_agg(substring(summary, 1, 200), chr(10) ORDER BY file_ord) AS heads FROM summaries WHERE file_ord < 3 GROUP BY ALL)
+  LEFT JOIN (SELECT repo, pr_id, concat('Functions: ', string_agg(name, ', ' ORDER BY name)) AS fns FROM rn WHERE kind = 'function' AND r <= 5 GROUP BY ALL) USING (repo, pr_id)
+  LEFT JOIN (SELECT repo, pr_id, concat('Classes: ', string_agg(name, ', ' ORDER BY name)) AS cls FROM rn WHERE kind = 'class' AND r <= 5 GROUP BY ALL) USING (repo, pr_id))"""
+
+
+def _digest_vector(text: str) -> str:
+    """64 token counts, placed by the token's digest."""
+    tokens = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}_]+')"
+    places = f"list_transform({tokens}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64)"
+    return f"list_transform([{places}], lambda ps: list_transform(range(0, 64), lambda d: CAST(len(list_filter(ps, lambda p: p = d)) AS DOUBLE)))[1]"
+
+
 def _report(files: str, with_code: bool) -> str:
     impact_text = (
         "(SELECT repo, pr_id, string_agg(concat('- `', file, '` may be affected by changes to `', symbol, '`'), chr(10) ORDER BY impact_ord) AS impact_text"
@@ -401,6 +428,19 @@ def statements() -> dict[str, str]:
         "index_load": (
             f"{with_clause('code_chunks')} SELECT repo, coalesce(c.n, 0) AS total_chunks, l.n AS indexed_files"
             " FROM (SELECT repo, count(*) AS n FROM code_files GROUP BY repo) l LEFT JOIN (SELECT repo, count(*) AS n FROM code_chunks GROUP BY repo) c USING (repo)"),
+        "index_update": (
+            f"{_INDEX_FULL},\n{_NEW} SELECT repo, file_path, CAST(0 AS BIGINT) AS chunk_index, 'full_file' AS chunk_type, file_path AS name, md5(content_hash) AS content_md5,"
+            " CAST(0 AS BIGINT) AS width, CAST(0 AS DOUBLE) AS vector_sum FROM hash_ledger WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM new_chunks)"
+            " UNION ALL SELECT repo, file_path, chunk_index, chunk_type, name, md5(content), len(embedding),"
+            " round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) FROM new_chunks"),
+        "index_remove": (
+            f"{_INDEX},\n{_NEW},\n{_cte('pr_files')}, gone AS (SELECT DISTINCT f.repo, f.file_path FROM pr_files x JOIN repo_files f USING (file_path) WHERE x.status = 'removed'),"
+            " done AS (SELECT DISTINCT repo, file_path FROM new_chunks),"
+            " kept AS (SELECT repo, file_path FROM hash_ledger WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM done)),"
+            " c AS (SELECT repo, count(*) AS n FROM (SELECT repo, file_path FROM kept UNION ALL SELECT repo, file_path FROM new_chunks)"
+            "   WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM gone) GROUP BY repo),"
+            " l AS (SELECT repo, count(*) AS n FROM (SELECT * FROM kept UNION ALL SELECT * FROM done) WHERE (repo, file_path) NOT IN (SELECT (repo, file_path) FROM gone) GROUP BY repo)"
+            " SELECT repo, coalesce(c.n, 0) AS total_chunks, coalesce(l.n, 0) AS indexed_files FROM c FULL JOIN l USING (repo)"),
         "embed_chunks": (
             f"{with_clause('code_files')},\n{_symbols_cte('code_files')},\n{_chunks_cte('wide', True)} SELECT repo, file_path, seq,"
             r" CASE WHEN n > 0 THEN 64 ELSE 0 END AS dimensions, CAST(n AS DOUBLE) AS token_count FROM"
@@ -425,6 +465,22 @@ def statements() -> dict[str, str]:
         "pr_files_scan": (
             f"{with_clause('pr_files')} SELECT repo, pr_id, file_path, status, patch, additions, deletions, CAST(NULL AS VARCHAR) AS error FROM pr_files WHERE pr_id % 7 <> 3 AND pr_id <> 0"
             " UNION ALL SELECT repo, pr_id, NULL, NULL, NULL, NULL, NULL, 'Missing context data' FROM pr_files WHERE pr_id % 7 = 3 OR pr_id = 0"),
+        "pr_documents_scan": (
+            f"{with_clause('pr_files')},\n{_HOSTS} SELECT repo, pr_id, file_path, status, md5(patch) AS patch_md5, additions, deletions, host_files, host_additions, host_deletions,"
+            " CAST(NULL AS VARCHAR) AS error FROM pr_files JOIN hosts USING (repo, pr_id) WHERE pr_id % 7 <> 3 AND pr_id <> 0"
+            " UNION ALL SELECT repo, pr_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Missing context data' FROM hosts WHERE pr_id % 7 = 3 OR pr_id = 0"),
+        "pr_risk_host_totals": (
+            f"{with_clause('pr_files')},\n{_HOSTS}, complete AS (SELECT * FROM pr_files WHERE pr_id % 7 <> 3 AND pr_id <> 0),\n{_issues('complete')},\n"
+            + _risk_cte("complete").replace("FROM totals t LEFT JOIN", "FROM (SELECT o.* REPLACE (h.host_files AS changed_files_count, h.host_additions AS total_additions,"
+                                            " h.host_deletions AS total_deletions) FROM totals o JOIN hosts h ON o.repo = h.repo AND o.pr_id = h.pr_id) t LEFT JOIN")
+            + " SELECT repo, pr_id, changed_files_count, total_additions, total_deletions, issue_count, score, level, array_to_string(reasons, '; ') AS reasons FROM risk"),
+        "rule_table_findings": (
+            f"{with_clause('pr_files')}, scanned AS (SELECT *, {_ADDED} AS added FROM pr_files), matched AS ("
+            + " UNION ALL ".join(
+                f"SELECT repo, pr_id, file_ord, file_path, {_str(cat)} AS category, CAST({pts} AS BIGINT) AS points, CAST("
+                + " + ".join(f"CAST(regexp_matches(added, {_str(p)}, 'i') AS INTEGER)" for p, _ in patterns) + " AS BIGINT) AS patterns FROM scanned"
+                for cat, pts, _, patterns in rules.rule_pack("extended"))
+            + ") SELECT * FROM matched WHERE patterns > 0"),
         "pr_totals": f"{_PR_RISK} SELECT repo, pr_id, total_additions, total_deletions, changed_files_count FROM totals",
         "test_impact": f"{_PR_RISK} SELECT repo, pr_id, tests_modified, missing_tests FROM totals",
         "added_lines": f"{with_clause('pr_files')} SELECT repo, pr_id, file_ord, {_ADDED} AS added_code FROM pr_files",
@@ -485,6 +541,16 @@ def statements() -> dict[str, str]:
             " (SELECT repo, pr_id, string_agg(substring(summary, 1, 200), chr(10) ORDER BY file_ord) AS heads FROM summaries WHERE file_ord < 3 GROUP BY ALL)"
             " LEFT JOIN (SELECT repo, pr_id, concat('Functions: ', string_agg(name, ', ' ORDER BY name)) AS fns FROM rn WHERE kind = 'function' AND r <= 5 GROUP BY ALL) USING (repo, pr_id)"
             " LEFT JOIN (SELECT repo, pr_id, concat('Classes: ', string_agg(name, ', ' ORDER BY name)) AS cls FROM rn WHERE kind = 'class' AND r <= 5 GROUP BY ALL) USING (repo, pr_id)"),
+        "context_from_text": (
+            f"{_CODE_SYMBOLS},\n{_PR_SYMBOLS},\n{_summaries_cte('code_prs', True)},\n{_QUERY_TEXTS},\n{_chunks_cte('wide', True)},\n"
+            f"vc AS (SELECT repo, file_path, seq, chunk_type, name, substring(content, 1, 500) AS content, {_digest_vector('content')} AS v FROM chunked),\n"
+            f"cu AS (SELECT *, concat(file_path, ':', ord) AS id FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY seq) - 1 AS ord, {_unit('v')} AS u FROM vc WHERE list_sum(v) > 0)),\n"
+            f"vq AS (SELECT repo, CAST(pr_id AS VARCHAR) AS id, {_digest_vector('query_text')} AS v FROM query_texts WHERE query_text <> ''),\n"
+            f"qu AS (SELECT *, {_unit('v')} AS u FROM vq WHERE list_sum(v) > 0),\n{_top5('cu', 'qu', 'ord, id')}\n"
+            "SELECT repo, CAST(query_id AS BIGINT) AS pr_id, row_number() OVER (PARTITION BY repo, query_id ORDER BY hit) AS rank, file, chunk_type, name, content_md5,"
+            " round(similarity, 6) AS relevance, round(1 - similarity, 6) AS distance FROM (SELECT h.repo, h.query_id, h.rank AS hit, h.similarity, c.file_path AS file, c.chunk_type, c.name, md5(c.content) AS content_md5"
+            " FROM hits h JOIN cu c ON c.repo = h.repo AND c.id = h.id"
+            " WHERE NOT EXISTS (SELECT 1 FROM code_prs p WHERE p.repo = h.repo AND CAST(p.pr_id AS VARCHAR) = h.query_id AND p.file_path = c.file_path)) QUALIFY rank <= 3"),
         "change_size_class": f"{with_clause('pr_files')}, {_summaries_cte('pr_files', False)} SELECT repo, pr_id, file_ord, size_class, truncated FROM summaries",
         "file_summaries": f"{_CODE_SYMBOLS},\n{_summaries_cte('code_prs', True)} SELECT repo, pr_id, file_ord, summary FROM summaries",
         "summary_requests": (

@@ -147,6 +147,32 @@ def index_load(t):
     return index_store.stats(t.spark, path)
 
 
+def _updated_index(t):
+    """Folder of an index of the earlier state, updated with all files on disk."""
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    index_store.save_index(path, _old_chunks(t), t.hash_ledger)
+    index_run.run_index(t.spark, path, t.repo_files.select(*FILE, "size_bytes", "content"), _given_vectors(t))
+    return path
+
+
+@_query
+def index_update(t):
+    """Chunks with text and vector after an update of the index on disk."""
+    chunks, _ = index_store.load_index(t.spark, _updated_index(t))
+    return chunks.select(
+        *FILE, "chunk_index", "chunk_type", "name", F.md5("content").alias("content_md5"), F.size("embedding").cast("bigint").alias("width"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x), 6).alias("vector_sum"))
+
+
+@_query
+def index_remove(t):
+    """Chunks and files left on disk after an update and the removal of files."""
+    path = _updated_index(t)
+    removed = t.pr_files.where(F.col("status") == "removed").select("file_path").join(t.repo_files.select(*FILE), "file_path")
+    index_store.remove_files(t.spark, path, removed)
+    return index_store.stats(t.spark, path)
+
+
 @_query
 def embed_chunks(t):
     chunks = indexing.chunk_files(t.code_files.select(*FILE, "content"))
@@ -230,6 +256,41 @@ def pr_files_scan(t):
         rejected.select(*PR, "error"), allowMissingColumns=True)
 
 
+def _documents(t):
+    """Change requests as hosts deliver them; the host's totals differ from the sums over the files."""
+    files = F.sort_array(F.collect_list(F.struct("file_ord", F.col("file_path").alias("filename"), "status", "patch", "additions", "deletions")))
+    return t.pr_files.groupBy(*PR).agg(
+        (F.count(F.lit(1)) + F.col("pr_id") % 3).alias("changed_files"), (F.sum("additions") * 2).alias("additions"),
+        (F.sum("deletions") + F.col("pr_id") % 5).alias("deletions"), files.alias("files")).select(
+        F.when(F.col("pr_id") % 7 != 3, F.col("pr_id")).alias("installation_id"), *PR, F.concat(F.lit("c"), F.col("pr_id").cast("string")).alias("head_sha"),
+        "changed_files", "additions", "deletions", F.transform("files", lambda f: f.dropFields("file_ord")).alias("files"))
+
+
+@_query
+def pr_documents_scan(t):
+    """Documents of several files, written as JSON lines and read back."""
+    folder = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}"
+    _documents(t).write.json(folder)
+    files, rejected = readers.read_pr_documents(t.spark, folder)
+    return files.select(
+        *PR, "file_path", "status", F.md5("patch").alias("patch_md5"), "additions", "deletions", "host_files", "host_additions", "host_deletions",
+        F.lit(None).cast("string").alias("error")).unionByName(rejected.select(*PR, "error"), allowMissingColumns=True)
+
+
+@_query
+def pr_risk_host_totals(t):
+    files, _ = readers.explode_pr_documents(_documents(t))
+    return risk.pr_risk(files).select(
+        *PR, "changed_files_count", "total_additions", "total_deletions", "issue_count", "score", "level", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query
+def rule_table_findings(t):
+    """Findings of a rule table, with the number of patterns that match."""
+    found = risk.rule_findings(t.pr_files, risk.rule_table(t.spark, "extended"))
+    return found.select(*PR, "file_ord", "file_path", "category", "points", F.size("positions").cast("bigint").alias("patterns"))
+
+
 @_query
 def pr_totals(t):
     return risk.pr_totals(t.pr_files)
@@ -382,7 +443,7 @@ def impact_analysis(t):
 @_query
 def context_retrieval(t):
     hits = retrieval.retrieve_context(t.code_chunks, t.code_queries, t.code_prs)
-    return hits.withColumns({"rank": F.col("rank").cast("bigint"), "relevance": F.round("relevance", 6)})
+    return hits.select(*PR, F.col("rank").cast("bigint").alias("rank"), "file", "content", F.round("relevance", 6).alias("relevance"))
 
 
 @_query
@@ -397,6 +458,19 @@ def retrieval_query_text(t):
     return review_plan.query_texts(t.code_prs, impact.pr_symbols(t.code_prs, wide), summaries)
 
 
+@_query
+def context_from_text(t):
+    """The whole chain: text of each change, its vector, search in an index by the same embedder, own files out, first three."""
+    embed = hooks.digest_embedder(64)
+    vectors = review_plan.embed_queries(retrieval_query_text(t), embed)
+    embedded = materialise(indexing.cut_texts(embed(indexing.chunk_files(t.code_files.select(*FILE, "content")))), "embedded")
+    chunks = materialise(indexing.to_index_rows(indexing.number_valid_chunks(embedded)), "chunks")
+    hits = retrieval.retrieve_context(chunks, materialise(vectors, "vectors"), t.code_prs)
+    return hits.select(
+        *PR, F.col("rank").cast("bigint").alias("rank"), "file", "chunk_type", "name", F.md5("content").alias("content_md5"), F.round("relevance", 6).alias("relevance"),
+        F.round("distance", 6).alias("distance"))
+
+
 # ---- review ----------------------------------------------------------------
 
 

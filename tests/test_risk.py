@@ -216,3 +216,50 @@ def test_path_lookups(spark, path, language, indexed, skipped):
     df = spark.createDataFrame([(path,)], "p string")
     p = F.col("p")
     assert tuple(df.select(paths.language(p), paths.is_indexed_type(p), paths.in_skipped_directory(p)).first()) == (language, indexed, skipped)
+
+
+def test_host_totals_count_before_sums(spark):
+    """A host may list more than it delivers; where it says nothing the files are added up."""
+    from codetide.sources import readers
+
+    documents = spark.createDataFrame(
+        [(1, "o/r", 1, "c1", 12, 400, 200, [("a.py", "modified", "+x", 1, 1), ("b.py", "added", None, 2, None)]),
+         (1, "o/r", 2, "c2", None, None, None, [("a.py", "modified", "+x", 3, 4)]), (None, "o/r", 3, "c3", 1, 1, 1, [])], schemas.PR_DOCUMENT)
+    files, rejected = readers.explode_pr_documents(documents)
+    got = {r.pr_id: r for r in risk.pr_risk(files).collect()}
+    assert (got[1].changed_files_count, got[1].total_additions, got[1].total_deletions) == (12, 400, 200)
+    assert got[1].reasons[:2] == ["Large PR (12 files)", "Many lines changed (600)"]
+    assert (got[2].changed_files_count, got[2].total_additions, got[2].total_deletions) == (1, 3, 4)
+    assert {r.pr_id: tuple(r)[2:] for r in risk.pr_totals(files).collect()} == {1: (400, 200, 12), 2: (3, 4, 1)}
+    assert [r.pr_id for r in rejected.collect()] == [3]
+
+
+def test_rule_table_of_any_size(spark):
+    """500 rules in 200 categories against Python's patterns: without, with and with too many fragments."""
+    import re
+
+    table = [(i, f"c{i % 200}", i // 200, i % 200, f"rule {i % 200}", rf"mark{i}\s*\(", f"mark{i}") for i in range(500)]
+    table += [(500, "free", 0, 5, "free", r"[0-9]{9}", None), (501, "fold", 0, 7, "fold", "kiss", "kiss")]
+    texts = [f"+mark{i} (x)\n+MARK{i + 3}(\n mark7(" for i in range(0, 520, 5)] + ["+123456789", "+Kiſs", "+nothing", "", None, "+mark9\x1c("]
+    files = spark.createDataFrame([("o/r", 1, i, f"f{i}", t, 0, 0) for i, t in enumerate(texts)], "repo string, pr_id long, file_ord long, file_path string, patch string, additions long, deletions long")
+    want = {}
+    for i, t in enumerate(texts):
+        added = "\n".join(line for line in (t or "").split("\n") if line.startswith("+"))
+        for _, category, at, points, label, pattern, _ in table:
+            if re.search(pattern.replace(r"\s", r"[\s\x1c-\x1f]"), added, re.I):
+                want.setdefault((i, category, points, label), []).append(at)
+    frame = spark.createDataFrame(table, risk.RULE_TABLE)
+    for fragments in (5000, 40, 1):
+        found = risk.rule_findings(files, frame, fragments)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.file_ord, r.category, r.points, r.label): r.positions for r in found.collect()} == want
+    assert risk.rule_findings(files, frame.where("false")).count() == 0
+
+
+def test_rule_table_agrees_with_the_packs(spark):
+    files = spark.createDataFrame(
+        [("o/r", 1, 0, "a.py", "+x = eval(a + b)\n+password = 'longenough1'"), ("o/r", 1, 1, "b.js", "+el.innerHTML = a + b\n-md5(x)"), ("o/r", 2, 0, "c.py", "+API_KEY = abcdefghijklmnopqrstuvwx")],
+        "repo string, pr_id long, file_ord long, file_path string, patch string").selectExpr("*", "0L AS additions", "0L AS deletions")
+    for pack in ("default", "extended"):
+        table = {(r.pr_id, r.file_ord, r.category, r.points) for r in risk.rule_findings(files, risk.rule_table(spark, pack)).collect()}
+        assert table == {(r.pr_id, r.file_ord, r.kind, r.points) for r in risk.pattern_findings(files, pack).collect()}

@@ -91,3 +91,31 @@ def test_context_excludes_changed_files_after_the_search(spark):
     assert [(r.pr_id, r["rank"], r.file, r.content) for r in rows] == [(1, 1, "f1.py", "text 1"), (1, 2, "f4.py", "text 4")]
     status = {r.pr_id: r.status for r in retrieval.retrieval_status(files, chunks, asked).collect()}
     assert status == {1: "searched", 2: "needs_indexing", 3: "no_vector"}
+
+
+def blocks(df):
+    return similarity._blocks(similarity._vectors(df, "id", "ord"), 1024).selectExpr("repo", "size(ids) AS n").collect()
+
+
+def test_blocks_follow_repositories(spark):
+    """Small repositories have one block each; a hot one has full ones, in several tasks."""
+    vectors_of = lambda n, repo: spark.range(0, n, 1, 16).selectExpr(f"{repo} AS repo", "cast(id AS string) AS id", "id AS ord", "array(double(id), 1D) AS embedding")
+    many = blocks(vectors_of(20_000, "concat('r', id % 2000)"))
+    assert sum(b.n for b in many) == 20_000 and len({b.repo for b in many}) == 2000 and len(many) <= 2000 + 16
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = similarity._blocks(similarity._vectors(vectors_of(30_000, "if(id % 3 = 0, concat('r', id % 40), 'hot')"), "id", "ord"), 1024)
+        found = hot.selectExpr("repo", "size(ids) AS n", "spark_partition_id() AS task").where("repo = 'hot'").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = {b.task for b in found}
+    assert sum(b.n for b in found) == 20_000 and len(tasks) > 3 and len(found) <= 20_000 / 1024 + 1 + len(tasks)
+
+
+def test_hits_have_their_fields(spark):
+    rows = [("r", f"f{i}.py", "full_file", f"n{i}", f"text {i}", f"f{i}.py:0", [1.0, float(i)]) for i in range(4)]
+    chunks = spark.createDataFrame(rows, "repo string, file_path string, chunk_type string, name string, content string, id string, embedding array<double>")
+    asked = spark.createDataFrame([("r", "q", [1.0, 0.0])], "repo string, query_id string, embedding array<double>")
+    hits = similarity.with_fields(similarity.top_k(chunks, asked, 2), chunks).orderBy("rank").collect()
+    assert [(h.file_path, h.chunk_type, h.name, h.content) for h in hits] == [(f"f{i}.py", "full_file", f"n{i}", f"text {i}") for i in range(2)]
+    assert hits[0].distance == pytest.approx(0.0, abs=1e-6) and hits[1].distance == pytest.approx(1 - 2 ** -0.5, abs=1e-6)
