@@ -35,8 +35,12 @@ def words(column):
     return F.filter(F.split(F.coalesce(ascii_lower(column), F.lit("")), SEPARATORS), lambda w: w != "")
 
 
+def fits(table: DataFrame, rows: int) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
 def bounded(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    return F.broadcast(table) if fits(table, rows) else table
 
 
 def hashes(w: str, n: int, step: int, with_words: bool = False):
@@ -61,12 +65,20 @@ def candidates(documents: DataFrame, benchmark: DataFrame, sizes: list[int], doc
     halves = sorted({(n + 1) // 2 for n in sizes})
     runs = benchmark.select(words(F.col(item_text)).alias("w")).select(marks("w", [(m, 1) for m in halves]).alias("m")) \
         .select("m.n", "m.h").distinct()
-    # A scanned position is a hash and the key of its document, a fixed width, wherever the join happens; texts are read again for the documents found.
     version = F.xxhash64(text)
-    source = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), version.alias("version"), words(F.col(text)).alias("w"))
-    scanned = source.select("doc", "version", marks("w", [(m, m) for m in halves]).alias("m")).select("doc", "version", "m.n", "m.h")
-    found = scanned.join(bounded(runs, broadcast_rows), ["h", "n"]).select(F.col("doc").alias("_doc"), F.col("version").alias("_version")).distinct()
-    return source.join(found, source["doc"].eqNullSafe(found["_doc"]) & (source["version"] == found["_version"]), "left_semi")
+    source = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), version.alias("version"), F.col(text).alias("whole"), words(F.col(text)).alias("w"))
+    positions = marks("w", [(m, m) for m in halves]).alias("m")
+    if fits(runs, broadcast_rows):
+        # One stage from scan to match: texts go along, and only those of documents found are shuffled.
+        found = source.select("doc", "whole", positions).select("doc", "whole", "m.n", "m.h").join(F.broadcast(runs), ["h", "n"]) \
+            .select("doc", F.xxhash64("whole").alias("version"), "whole").dropDuplicates(["doc", "version"])
+    else:
+        # Positions are shuffled as hash and key, a fixed width; texts are fetched once for the documents found.
+        keys = source.select("doc", "version", positions).select("doc", "version", "m.n", "m.h").join(runs, ["h", "n"]) \
+            .select(F.col("doc").alias("_doc"), F.col("version").alias("_version")).distinct()
+        slim = source.select("doc", "version", "whole")
+        found = slim.join(keys, slim["doc"].eqNullSafe(keys["_doc"]) & (slim["version"] == keys["_version"]), "left_semi")
+    return found.select("doc", "version", words(F.col("whole")).alias("w"))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
@@ -90,11 +102,13 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id", tex
     wanted = bounded(windows.select("h", "n", "window").distinct(), broadcast_rows)
     found = near.select("doc", "version", marks("w", [(n, 1) for n in sizes], with_words=True).alias("m")).select("doc", "version", "m.*") \
         .join(wanted, ["h", "n"]).where(F.col("words") == F.col("window")).select("doc", "version", "start", "h", "n", "window")
-    spans = found.groupBy("doc", "version").agg(F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"))
-    # Items come in after the match: a window that many items share is one row until then.
-    named = found.select("doc", "version", "h", "n", "window").distinct().join(windows, ["h", "n", "window"]) \
-        .groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    return spans.join(named, spans["doc"].eqNullSafe(named["_doc"]) & (spans["version"] == named["_version"])).select("doc", "version", "spans", "items")
+    hit = found.groupBy("doc", "version").agg(
+        F.collect_set(F.struct((F.col("start") - 1).alias("start"), "n")).alias("spans"), F.collect_set(F.struct("h", "n", "window")).alias("found"))
+    # Items come in after the match: a window that many items share is one entry until then. Spans go with the first entry.
+    each = hit.select("doc", "version", "spans", F.posexplode("found").alias("at", "f")) \
+        .select("doc", "version", F.when(F.col("at") == 0, F.col("spans")).alias("spans"), "f.h", "f.n", "f.window")
+    return each.join(bounded(windows, broadcast_rows), ["h", "n", "window"]).groupBy("doc", "version").agg(
+        F.first("spans", ignorenulls=True).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
 
 
 def hit_positions(spans):
