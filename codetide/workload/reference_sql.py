@@ -462,6 +462,9 @@ def statements() -> dict[str, str]:
         "latest_status": (
             f"{_HOOKS} SELECT repo, sha, arg_max(state, event_id) AS state, arg_max(concat(state, ' by ', event), event_id) AS description"
             " FROM (SELECT *, ['pending', 'success', 'failure'][event_id % 3 + 1] AS state FROM webhooks) GROUP BY repo, sha"),
+        "latest_status_stream": (
+            f"{_HOOKS} SELECT repo, sha, arg_max(state, event_id) AS state, arg_max(concat(state, ' by ', event), event_id) AS description"
+            " FROM (SELECT *, ['pending', 'success', 'failure'][event_id % 3 + 1] AS state FROM webhooks) GROUP BY repo, sha"),
         "pr_files_scan": (
             f"{with_clause('pr_files')} SELECT repo, pr_id, file_path, status, patch, additions, deletions, CAST(NULL AS VARCHAR) AS error FROM pr_files WHERE pr_id % 7 <> 3 AND pr_id <> 0"
             " UNION ALL SELECT repo, pr_id, NULL, NULL, NULL, NULL, NULL, 'Missing context data' FROM pr_files WHERE pr_id % 7 = 3 OR pr_id = 0"),
@@ -553,6 +556,11 @@ def statements() -> dict[str, str]:
             " WHERE NOT EXISTS (SELECT 1 FROM code_prs p WHERE p.repo = h.repo AND CAST(p.pr_id AS VARCHAR) = h.query_id AND p.file_path = c.file_path)) QUALIFY rank <= 3"),
         "change_size_class": f"{with_clause('pr_files')}, {_summaries_cte('pr_files', False)} SELECT repo, pr_id, file_ord, size_class, truncated FROM summaries",
         "file_summaries": f"{_CODE_SYMBOLS},\n{_summaries_cte('code_prs', True)} SELECT repo, pr_id, file_ord, summary FROM summaries",
+        "review_with_texts": (
+            f"{_CODE_SYMBOLS},\n{_summaries_cte('code_prs', True)} SELECT repo, pr_id, file_ord, CASE WHEN size_class <> 'large' THEN summary ELSE"
+            " concat('**', file_path, '** (+', additions, '/-', deletions, ')', chr(10), 'Answer ', md5(concat('File: ', file_path, ' (+', additions, '/-', deletions, ')',"
+            " CASE WHEN truncated THEN ' (truncated)' ELSE '' END, chr(10), chr(10), 'Code Structure:', chr(10), CASE WHEN structure <> '' THEN structure ELSE 'N/A' END,"
+            " chr(10), chr(10), 'Diff:', chr(10), '```', chr(10), patch, chr(10), '```'))) END AS summary FROM summaries"),
         "summary_requests": (
             f"{_CODE_SYMBOLS},\n{_summaries_cte('code_prs', True)} SELECT repo, pr_id, file_ord, concat('File: ', file_path, ' (+', additions, '/-', deletions, ')',"
             " CASE WHEN truncated THEN ' (truncated)' ELSE '' END, chr(10), chr(10), 'Code Structure:', chr(10), CASE WHEN structure <> '' THEN structure ELSE 'N/A' END,"

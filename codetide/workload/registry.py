@@ -1,5 +1,6 @@
 """Registered queries: each runs one operator or plan over whole tables."""
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -10,8 +11,8 @@ from codetide.functions import paths, signing, text
 from codetide.operators import events, impact, indexing, retrieval, review, risk, similarity
 from codetide.plans import index_run, pr_review as review_plan
 from codetide.session import materialise, shared_folder
-from codetide.sources import index_store, readers
-from codetide.streaming import events as event_streams
+from codetide.sources import answers, index_store, readers
+from codetide.streaming import events as event_streams, status as status_streams
 from codetide.workload import views
 from codetide.workload.views import Tables
 
@@ -242,6 +243,21 @@ def latest_status(t):
     return events.latest_status(statuses)
 
 
+@_query
+def latest_status_stream(t):
+    """The same by a stream that keeps one row of state per commit."""
+    folder = f"{shared_folder(t.spark)}/statuses-{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    event = F.create_map(*[F.lit(x) for x in (
+        "view", "pull_request", "click", "installation", "signup", "installation_repositories")])[F.col("event_type")]
+    state = F.element_at(F.array(*[F.lit(s) for s in ("pending", "success", "failure")]), (F.col("event_id") % 3 + 1).cast("int"))
+    statuses = stream.select(
+        F.concat(F.lit("org/r"), (F.col("user_id") % 20).cast("string")).alias("repo"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("sha"),
+        F.col("event_id").alias("seq"), state.alias("state"), F.concat(state, F.lit(" by "), F.coalesce(event, F.lit("push"))).alias("description"))
+    status_streams.start_statuses(statuses, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return status_streams.current(t.spark.read.schema(status_streams.LATEST).parquet(f"{folder}/out"))
+
+
 # ---- changes: scan, risk, gate ----------------------------------------------
 
 
@@ -493,6 +509,21 @@ def summary_requests(t):
     return review.summary_requests(t.code_prs, _structures(t)).select(*PR, "file_ord", "request")
 
 
+def _digest_answers(requests):
+    """Stands for a model: an answer that any engine can give."""
+    return ["Answer " + hashlib.md5(request.encode()).hexdigest() for request in requests]
+
+
+@_query
+def review_with_texts(t):
+    """Summaries with a model's texts for large changes, asked once and remembered."""
+    structures = materialise(_structures(t), "structures")
+    requests = review.summary_requests(t.code_prs, structures).select(*PR, "file_ord", "request")
+    memory = f"{shared_folder(t.spark)}/answers-{uuid.uuid4().hex}"
+    ask = answers.remembered(hooks.batch_writer(_digest_answers), memory, request_col="request", answer_col="text", keep_request=False)
+    return review.file_summaries(t.code_prs, structures, ask(requests)).select(*PR, "file_ord", "summary")
+
+
 @_query
 def fix_requests(t):
     scanned = materialise(risk.scan_files(t.pr_files), "scanned")

@@ -1,5 +1,6 @@
 """Event routing, signatures and streams."""
 
+import datetime
 import hashlib
 import hmac
 import json
@@ -129,3 +130,66 @@ def test_second_review_of_a_commit_opens_it_again(spark):
     rows = [(1, "s", 0, "pending", "a"), (1, "s", 1, "failure", "b"), (2, "s", 0, "pending", "c")]
     statuses = spark.createDataFrame(rows, "event_id bigint, sha string, seq bigint, state string, description string").selectExpr("'o/r' AS repo", "*")
     assert [(r.state, r.description) for r in events.latest_status(statuses).collect()] == [("pending", "c")]
+
+
+def test_status_stream_after_restart(spark, tmp_path):
+    """Shuffled, repeated and late events in several files, and a restart in between: the stream ends where the batch does."""
+    import random
+
+    from codetide.streaming import status
+
+    draw = random.Random(6)
+    schema = "repo string, sha string, received_at timestamp, event_id bigint, seq bigint, state string, description string"
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("o/r", f"s{i % 7}", start + datetime.timedelta(minutes=i // 3) if i % 11 else None, i if i % 5 else None, i % 2, draw.choice(["pending", "success", "failure", None]), f"d{i}")
+            for i in range(200)] + [(None, "s0", start, 1, 0, "pending", None)]
+    rows += draw.sample(rows, 60)
+    draw.shuffle(rows)
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    for part in (rows[:80], rows[80:200], rows[200:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        status.start_statuses(stream, out, checkpoint).awaitTermination(120)
+    want = {tuple(r) for r in events.latest_status(spark.createDataFrame(rows, schema)).collect()}
+    table = spark.read.schema(status.LATEST).parquet(out)
+    assert {tuple(r) for r in status.current(table).collect()} == want and len(want) == 8
+    assert table.count() < len(rows) / 2  # what is late or repeated leaves no row
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    """A run that fails goes on where it stopped; failed answers are asked again, known ones are not."""
+    from codetide.sources import answers
+
+    asked, memory = tmp_path / "asked", str(tmp_path / "memory")
+    asked.mkdir()
+
+    def model(texts):
+        import uuid
+        (asked / uuid.uuid4().hex).write_text("\n".join(texts))
+        return [None if t == "r13" else t.upper() for t in texts]
+
+    def all_asked():
+        return [line for p in asked.iterdir() for line in p.read_text().split("\n") if line]
+
+    calls = []
+
+    def dies_at_third(df):
+        calls.append(1)
+        if len(calls) == 4:  # the first call only asks for the type
+            raise RuntimeError("lost")
+        return hooks.batch_writer(model)(df)
+
+    requests = spark.createDataFrame([(i, f"r{i % 30}") for i in range(90)], "id long, request string")
+    options = dict(request_col="request", answer_col="text", keep_request=False, slice_rows=6)
+    with pytest.raises(RuntimeError):
+        answers.remembered(dies_at_third, memory, **options)(requests)
+    before = all_asked()
+    assert 0 < len(before) < 30
+    got = answers.remembered(hooks.batch_writer(model), memory, **options)(requests)
+    assert {(r.id, r.text) for r in got.collect()} == {(i, None if i % 30 == 13 else f"R{i % 30}") for i in range(90)}
+    assert len([t for t in all_asked() if t != "r13"]) == len({t for t in all_asked() if t != "r13"}) == 29
+    answers.remembered(hooks.batch_writer(model), memory, **options)(requests)
+    assert all_asked().count("r13") >= 2 and len(set(all_asked())) == 30 and len([t for t in all_asked() if t != "r13"]) == 29
+    vectors = answers.remembered(hooks.digest_embedder(8), str(tmp_path / "vectors"), request_col="content", answer_col="embedding")
+    texts = spark.createDataFrame([("a b a",), ("",), (None,)], "content string")
+    assert sorted((r.content or "", sum(r.embedding)) for r in vectors(texts).collect()) == [("", 0), ("", 0), ("a b a", 3.0)]
