@@ -448,6 +448,9 @@ def statements() -> dict[str, str]:
         "event_scan": (
             f"{_HOOKS} SELECT event_id, received_at, event, action, installation_id, repo,"
             " CASE WHEN event_id % 19 <> 5 THEN sha END AS sha FROM webhooks"),
+        "event_scan_files": (
+            f"{_HOOKS} SELECT event_id, received_at, event, action, installation_id, repo,"
+            " CASE WHEN event_id % 19 <> 5 THEN sha END AS sha FROM webhooks"),
         "route_events": routed,
         "route_events_stream": routed,
         "index_worklist": (

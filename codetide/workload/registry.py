@@ -193,6 +193,17 @@ def event_scan(t):
         F.col("payload.repository.full_name").alias("repo"), F.col("payload.pull_request.head.sha").alias("sha"))
 
 
+@_query
+def event_scan_files(t):
+    """The same over JSON lines on disk, written and read back."""
+    folder, stamps = f"{shared_folder(t.spark)}/events-{uuid.uuid4().hex}", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    t.webhooks.select("event_id", "received_at", "event", F.lit("sha256=00").alias("signature"), "body").write.options(timestampFormat=stamps, timestampNTZFormat=stamps).json(folder)
+    parsed = events.parse_payload(readers.read_events(t.spark, folder, timestampFormat=stamps))
+    return parsed.select(
+        "event_id", "received_at", "event", "action", F.col("payload.installation.id").alias("installation_id"),
+        F.col("payload.repository.full_name").alias("repo"), F.col("payload.pull_request.head.sha").alias("sha"))
+
+
 @_query
 def route_events(t):
     return events.route_events(t.webhooks).select("event_id", "event", "action", "status")
