@@ -4,7 +4,7 @@ Everything that concatenates files works on parts of FILES_PER_PART files, keyed
 (repo, pr_id, part); a change of ordinary size has the single part 0.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codetide.functions import rules
 from codetide.operators.risk import FILES_PER_PART, PR, part_of
@@ -252,3 +252,19 @@ def report(
         # A listing in place of a review text comes without the badge.
         F.concat(F.when(first & F.col("_written"), F.concat(header, F.lit("\n\n---\n\n"))).otherwise(""), body, suggestion).alias("body"),
     )
+
+
+def bodies(report: DataFrame, page_chars: int | None = None) -> DataFrame:
+    """The review body of every change as one text, from the parts of `report`: repo, pr_id, page, body.
+
+    With `page_chars` a new page begins with the part before which the text has passed a multiple of it, so a change of any
+    size has pages of that length and one part more at most; pages joined in order are the one text.
+    Pages are found from the lengths of parts alone.
+    """
+    before = F.sum(F.length("body")).over(Window.partitionBy(*PR).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    page = F.lit(0) if page_chars is None else F.floor(F.coalesce(before, F.lit(0)) / page_chars)
+    parts = F.sort_array(F.collect_list(F.struct("part", "body")))
+    return (
+        report.select(*PART, "body").withColumn("page", page.cast("bigint")).groupBy(*PR, "page")
+        .agg(F.array_join(F.transform(parts, lambda p: p["body"]), "").alias("body"))
+    )

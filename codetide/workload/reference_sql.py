@@ -570,6 +570,8 @@ def statements() -> dict[str, str]:
             " chr(10), chr(10), 'Diff:', chr(10), '```', chr(10), patch, chr(10), '```') AS request FROM summaries WHERE size_class = 'large'"),
         "pr_report": f"{_REVIEW}\n{_report('code_prs', True)}",
         "pr_report_patches": f"{_PR_RISK},\n{_summaries_cte('pr_files', False)}\n{_report('pr_files', False)}",
+        "pr_bodies": (
+            f"{_PR_RISK},\n{_summaries_cte('pr_files', False)}\nSELECT repo, pr_id, string_agg(body, '' ORDER BY part) AS body FROM ({_report('pr_files', False)}) GROUP BY repo, pr_id"),
         "pr_review": (
             f"{_REVIEW} SELECT g.repo, g.pr_id, changed_files_count, total_additions, total_deletions, tests_modified, missing_tests, impacted_files, issue_count,"
             " coalesce(c.n, 0) AS context_chunks, score, level, state, description FROM gated g"

@@ -555,6 +555,12 @@ def pr_report_patches(t):
     return review.report(risk.pr_risk(scanned), review.file_summaries(t.pr_files), risk.issue_lists(scanned))
 
 
+@_query
+def pr_bodies(t):
+    """One review body per change, whatever its size."""
+    return review.bodies(pr_report_patches(t)).select(*PR, "body")
+
+
 @_query
 def pr_review(t):
     tables = review_plan.assemble(t.code_prs, t.code_files, t.code_chunks, t.code_queries, keep=materialise)

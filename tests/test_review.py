@@ -1,6 +1,7 @@
 """Summaries, report sections, readers of change requests and model hooks."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -204,3 +205,16 @@ def test_review_sink(spark, tmp_path):
     sinks.write_reviews(reviews, str(tmp_path / "reviews"))
     sinks.write_reviews(reviews, str(tmp_path / "reviews"))
     assert spark.read.parquet(str(tmp_path / "reviews")).count() == 2
+
+
+def test_one_body_or_pages_of_a_large_change(spark):
+    """500 files with gaps in their positions: one ordered body, or pages that join to it."""
+    files = spark.range(500).selectExpr("'o/r' AS repo", "1L AS pr_id", "id * 3 AS file_ord", "concat('f', id, '.py') AS file_path", "'+x' AS patch", "id AS additions", "0L AS deletions")
+    files = files.union(spark.createDataFrame([("o/r", 2, 0, "only.py", "+y", 1, 1)], files.schema))
+    report = review.report(risk.pr_risk(files), review.file_summaries(files), risk.issue_lists(files)).cache()
+    whole = {r.pr_id: r.body for r in review.bodies(report).collect()}
+    listed = re.findall(r"- (f[0-9]+)\.py \(\+([0-9]+)/-0\)\n", whole[1])
+    assert listed == [(f"f{i}", str(i)) for i in range(500)] and whole[1].startswith("## PR Review") and whole[1].endswith("new code.")
+    pages = sorted((r.pr_id, r.page, r.body) for r in review.bodies(report, 3000).collect())
+    assert len(pages) > 3 and all("".join(b for i, _, b in pages if i == pr) == whole[pr] for pr in (1, 2))
+    assert all(len(b) <= 3000 + report.selectExpr("max(length(body))").first()[0] for _, _, b in pages)
