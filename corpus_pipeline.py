@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays."""
-    return simhash.deduplicated(docs, shingle=5, similarity=0.8)
+    """Of each group of near copies (three words, two bits, as operator 5) the document with the smallest id stays."""
+    return simhash.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
