@@ -12,14 +12,6 @@ with more than `bucket` fingerprints do not pair their members: these differ in
 each is entered under itself and its one-bit changes there, and members that meet are linked as a star.
 Two fingerprints at distance 2 or less share such a point, so no link is lost and rows grow linearly.
 
-With `similarity` set the rule is the Jaccard similarity of the distinct shingles instead of the distance of
-fingerprints. Of 64 bits no distance is wide enough for that and still selective (0.8 means ten bits on
-average), so further pairs to look at come from MinHash: 32 bands of five minima, of which two texts of
-similarity 0.8 share none with a chance of 3 in a million. Every pair found either way is checked by its exact
-similarity, and pairs that pass are linked. Texts of equal shingles are one class. A band with more than `crowd`
-classes compares its members to four leaders, the same classes in all bands as far as they are in them, so rows
-grow linearly; a pair there that neither shares a leader nor another band is linked through third texts only.
-
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Null
 ids are larger than all ids. Equal rows are copies of each other. Extra columns pass through
 `deduplicated`; `near_duplicates` returns its own.
@@ -42,7 +34,6 @@ from codetide.session import Stages
 
 DISTANCE, SHINGLE, SEED, BUCKET = 2, 3, 42, 256
 SEGMENT_BITS = (13, 13, 13, 13, 12)
-BANDS, ROWS, CROWD, LEADERS = 32, 5, 64, 4
 
 
 def masks() -> list[int]:
@@ -82,18 +73,6 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return majority(shingles(words, shingle))
 
 
-def minima(distinct: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each band's minima over distinct shingle hashes (at least one)."""
-    rng = np.random.default_rng(SEED)
-    times, plus = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) << np.uint64(1)
-    times |= np.uint64(1)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(distinct), 512):
-        np.minimum(low, (distinct[at:at + 512, None] * times + plus).min(axis=0), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), band) for band, r in enumerate(rows)), np.uint64, BANDS)
-
-
 def fingerprints(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (signed) per document, without a shuffle."""
     slim = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
@@ -141,110 +120,45 @@ def links(classes: DataFrame, keep, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars)
 
 
-def sketches(documents: DataFrame, *, doc: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, text_hash, fp, class (name of the set of shingles), n (its size), bands per document, without a shuffle."""
-    slim = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, classes, sizes, bands = [], [], [], []
-            for t in batch.column(2).cast(pa.binary()).to_pylist():
-                hashes = shingles(words_of(t, True), shingle)
-                distinct = np.unique(hashes)
-                fps.append(majority(hashes))
-                classes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
-                sizes.append(len(distinct))
-                bands.append(minima(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(classes, np.uint64).view(np.int64)),
-                 pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "class", "n", "bands"])
-
-    id_type = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long, class long, n int, bands array<long>")
-
-
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """class, shingles (distinct hashes) of a table (class, text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingles(words_of(t, True), shingle)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
-
-    return texts.select("class", F.col("text").cast("string").alias("text")).mapInArrow(run, "class long, shingles array<long>")
-
-
-def similar(documents: DataFrame, marked: DataFrame, classes: DataFrame, keep, *, text: str, shingle: int, similarity: float,
-            bucket: int, crowd: int) -> DataFrame:
-    """a, b: classes of `marked` (sketches) whose shingles have at least `similarity`, found by fingerprints or by bands."""
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
-    # By fingerprints: one class of each stands for it.
-    by_fp = keep(marked.groupBy("fp").agg(F.min("class").alias("lead")), "by-fp")
-    lead = by_fp.select(F.col("fp").alias("a"), F.col("lead").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
-    near = links(by_fp.select("fp"), keep, bucket).join(lead[0], "a").join(lead[1], "b").select("x", "y")
-    equal = marked.select("fp", "class").distinct().join(by_fp, "fp").select(F.col("class").alias("x"), F.col("lead").alias("y"))
-    # By bands: all pairs of a small band, members and leaders of a crowded one.
-    entered = classes.select("class", "n", F.explode("bands").alias("band"))
-    rank = lambda i: F.xxhash64(F.lit(i), "class")
-    leaders = F.array(*[F.min(F.struct(rank(i).alias("r"), F.col("class"), F.col("n"))) for i in range(LEADERS)])
-    shared = entered.groupBy("band").agg(F.count("*").alias("size"), leaders.alias("leaders")).where("size > 1")
-    members = keep(entered.join(shared, "band"), "band-members")
-    small = members.where(F.col("size") <= crowd).select("class", "n", "band")
-    other = small.select(F.col("class").alias("y"), F.col("n").alias("m"), "band")
-    within = small.join(other, "band").where(F.col("class") < F.col("y")).where(fits(F.col("n"), F.col("m"))).select(F.col("class").alias("x"), "y")
-    led = members.where(F.col("size") > crowd).select("class", "n", F.explode(F.array_distinct(F.transform("leaders", lambda s: F.struct(s["class"].alias("y"), s["n"].alias("m"))))).alias("l")) \
-        .where(fits(F.col("n"), F.col("l.m"))).select(F.col("class").alias("x"), F.col("l.y").alias("y"))
-    found = near.union(equal).union(within).union(led).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = keep(found, "candidates")
-    # Texts of the classes in pairs are read once more, one text of each class.
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = keep(wanted.join(classes, "class").select("class", F.col("sample").alias("__hash")), "wanted")
-    found_texts = documents.select(F.xxhash64(text).alias("__hash"), F.col(text).alias("text")).join(texts, "__hash").dropDuplicates(["class"])
-    sets = keep(shingle_sets(found_texts, shingle), "shingle-sets")
-    left, right = sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
-
-
-def similar_groups(documents: DataFrame, *, doc: str, text: str, shingle: int, similarity: float, bucket: int, crowd: int) -> DataFrame:
-    """As `near_duplicates`, with the exact check of shingles, and `root`, a name of the group."""
-    stages = Stages(documents.sparkSession)
-    marked = stages.keep(sketches(documents, doc=doc, text=text, shingle=shingle), "sketches")
-    classes = stages.keep(marked.groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_hash").alias("sample"),
-                                                      F.min("doc_id").alias("first")), "classes")
-    pairs = similar(documents, marked, classes, stages.keep, text=text, shingle=shingle, similarity=similarity, bucket=bucket, crowd=crowd)
-    roots = connected(pairs, stages.keep)
-    grouped = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+def groups(documents: DataFrame, keep, *, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, text_hash, fp, component_id (smallest id of the group), root (its smallest linked fingerprint, also where no id is known)."""
+    marked = keep(fingerprints(documents, doc=doc, text=text, shingle=shingle), "fingerprints")
+    classes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = connected(links(classes.select("fp"), keep, bucket), keep)
+    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = stages.keep(grouped.join(smallest, "root").select("class", "root", "component_id"), "labels")
-    return marked.join(labels, "class").select(
-        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    labels = keep(grouped.join(smallest, "root").select("fp", "root", "component_id"), "labels")
+    return marked.join(labels, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def near_duplicates(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    bucket: int = BUCKET, similarity: float | None = None, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, text_hash, fingerprint (16 hex digits), component_id (smallest id of its group).
 
-    With `similarity` groups are those of the exact Jaccard similarity of shingles, and `root` names them.
+    Options: `doc`, `text` (column names), `shingle` (words), `bucket` (most fingerprints of a key that are paired).
     """
-    if similarity is not None:
-        return similar_groups(documents, doc=doc, text=text, shingle=shingle, similarity=similarity, bucket=bucket, crowd=crowd)
-    stages = Stages(documents.sparkSession)
-    marked = stages.keep(fingerprints(documents, doc=doc, text=text, shingle=shingle), "fingerprints")
-    classes = stages.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected(links(classes.select("fp"), stages.keep, bucket), stages.keep)
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = stages.keep(grouped.join(smallest, "root").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select(
+    return groups(documents, Stages(documents.sparkSession).keep, **options).select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each group (of equal rows one), with all its columns."""
-    first = near_duplicates(documents, doc=doc, text=text, **options)
-    group = F.col("root") if "root" in first.columns else F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null:"), "fingerprint"))
-    chosen = first.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x")) \
-        .select(F.col("x.doc_id").alias("__doc"), F.col("x.text_hash").alias("__hash"))
-    same = documents[doc].eqNullSafe(chosen["__doc"]) & (F.xxhash64(documents[text]) == chosen["__hash"])
-    kept = documents.join(chosen, same, "left_semi")
-    return kept.dropDuplicates([doc, text])
+    """The document with the smallest id of each group, with all its columns; of several texts of that id one.
+
+    Rows equal in id and text are one row: the smallest by their other columns. Texts are moved once, by the
+    join with the chosen ids; a second time only those of rows that occur repeatedly, aggregated map-side.
+    """
+    keep = Stages(documents.sparkSession).keep
+    counted = groups(documents, keep, doc=doc, text=text, **options).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("x")
+    chosen = keep(counted.groupBy("root").agg(smallest).select(F.col("x.doc_id").alias("__doc"), F.col("x.text_hash").alias("__hash"), F.col("x.n").alias("__n")), "chosen")
+
+    def of(wanted: DataFrame) -> DataFrame:
+        same = documents[doc].eqNullSafe(wanted["__doc"]) & (F.xxhash64(documents[text]) == wanted["__hash"])
+        return documents.join(wanted, same, "left_semi")
+
+    repeated = chosen.where("__n > 1")
+    if repeated.isEmpty():
+        return of(chosen)
+    fields = [F.col(f"`{name}`") for name in documents.columns]
+    ordered = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    once = of(repeated).groupBy(F.col(f"`{doc}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("h")).agg(F.min_by(F.struct(*fields), F.struct(*ordered)).alias("row"))
+    return of(chosen.where("__n = 1")).unionByName(once.select("row.*"))

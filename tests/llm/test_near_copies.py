@@ -1,36 +1,12 @@
-"""The near-duplicate stage: word-edited near copies against brute force over exact similarities."""
+"""The near-duplicate stage of the pipeline: edited copies against all pairs of fingerprints."""
 
 import random
 
-import pytest
-
 import corpus_pipeline
-from codetide.llm import simhash
-
-SCHEMA = "doc_id long, text string"
-
-
-def shingle_set(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
 
-def plain_pairs(texts, similarity=0.8):
-    sets = [shingle_set(t) for t in texts]
-    out = []
-    for j, b in enumerate(sets):
-        for i, a in enumerate(sets[:j]):
-            if a == b or a and b and len(a & b) / len(a | b) >= similarity:
-                out.append((i, j))
-    return out
+from .test_simhash import plain_fingerprint, plain_groups
 
-
-def plain_groups(texts, pairs):
-    root = list(range(len(texts)))
-    for i, j in pairs:
-        low, high = sorted((root[i], root[j]))
-        root = [low if r == high else r for r in root]
-    return root
+SCHEMA = "doc_id long, text string, source string, tags map<string,int>"
 
 
 def edited(rng, text, times):
@@ -44,31 +20,32 @@ def near_copies():
     rng = random.Random(4)
     texts = ["", None, " ", "one", "One", "two words"]
     for _ in range(120):
-        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 220)))
-        texts += [base, edited(rng, base, 1), edited(rng, base, rng.randrange(1, 5)), base + " a few words more"]
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(100, 900)))
+        texts += [base, edited(rng, base, 1), edited(rng, base, rng.randrange(1, 5)), base.upper(), base + " a few words more"]
     return texts
 
 
-def test_stage_finds_edited_copies(shared):
+def test_stage_keeps_one_of_each_group(shared):
+    texts = near_copies()
+    groups = plain_groups(list(range(len(texts))), [plain_fingerprint(t) for t in texts])
+    assert len(set(groups)) < len(texts) - 240  # edited copies are linked, not only equal ones
+    docs = shared.createDataFrame([(i, t, "s", {"a": i}) for i, t in enumerate(texts)], SCHEMA)
+    kept = corpus_pipeline.simhash_near_dedup(shared, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["tags"]["a"]) for r in kept.collect()) == sorted((g, g) for g in set(groups))
+
+
+def test_linked_texts_without_ids_are_one_group(shared):
+    """Ids are null throughout: the group is known by its fingerprints."""
     texts = near_copies()
-    pairs = plain_pairs(texts)
-    close = [(i, j) for i, j in pairs if (simhash.fingerprint((texts[i] or "").encode().lower().split()) ^ simhash.fingerprint((texts[j] or "").encode().lower().split())).bit_count() <= 2]
-    assert len(close) < len(pairs) / 2  # what two bits would leave
-    docs = shared.createDataFrame(list(enumerate(texts)), SCHEMA)
-    kept = sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(shared, docs, "").collect())
-    assert kept == sorted(set(plain_groups(texts, pairs)))
+    groups = plain_groups(list(range(len(texts))), [plain_fingerprint(t) for t in texts])
+    docs = shared.createDataFrame([(None, t, "s", None) for t in texts], SCHEMA)
+    assert corpus_pipeline.simhash_near_dedup(shared, docs, "").count() == len(set(groups))
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
-def test_large_group_of_near_copies(shared, crowd):
-    """All near a common text, so that bands are crowded; groups of null ids are told apart."""
-    rng = random.Random(6)
-    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
-    texts = [edited(rng, base, rng.randrange(1, 3)) for _ in range(150)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(20)]
-    expected = plain_groups(texts, plain_pairs(texts))
-    docs = shared.createDataFrame(list(enumerate(texts)), SCHEMA)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8, crowd=crowd).collect()}
-    assert found == dict(enumerate(expected))
-    nameless = shared.createDataFrame([(None, t) for t in texts], SCHEMA)
-    assert simhash.deduplicated(nameless, shingle=5, similarity=0.8, crowd=crowd).count() == len(set(expected))
-    assert simhash.deduplicated(docs.where("false"), shingle=5, similarity=0.8).count() == 0
+def test_repeated_rows_become_the_smallest_of_them(shared):
+    rows = [(1, "a b c d", "z", {"k": 1}), (1, "a b c d", "m", {"k": 2}), (1, "a b c d", None, None), (2, "A b c d", "a", None),
+            (None, "x y z w", "q", None), (None, "x y z w", "p", None), (7, "quite other words", "o", None)]
+    got = corpus_pipeline.simhash_near_dedup(shared, shared.createDataFrame(rows, SCHEMA).repartition(4), "").collect()
+    assert sorted((r["doc_id"] or -1, r["text"], r["source"]) for r in got) == [
+        (-1, "x y z w", "p"), (1, "a b c d", None), (7, "quite other words", "o")]
