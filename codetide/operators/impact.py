@@ -101,7 +101,22 @@ def token_counts(text_col: str) -> Column:
     return F.transform(runs, entry)
 
 
+def token_postings(repo_files: DataFrame) -> DataFrame:
+    """repo, file_path, symbol, mentions: identifiers of each Python file, without a shuffle."""
+    return (
+        repo_files.where(paths.extension(F.col("file_path")) == "py")
+        .select(*FILE, F.explode_outer(token_counts("content")).alias("t"))
+        .where(F.col("t").isNotNull())
+        .select(*FILE, "t.symbol", "t.mentions")
+    )
+
+
 def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`most_mentions` of the tokens of all Python files."""
+    return most_mentions(token_postings(repo_files), wanted)
+
+
+def most_mentions(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per (repo, symbol), the Python files that mention it most, at most HITS_PER_SYMBOL.
 
     Independent of the asking changes, so each symbol is searched once. Tokens are counted inside
@@ -109,27 +124,23 @@ def mentioning_files(repo_files: DataFrame, wanted: DataFrame) -> DataFrame:
     per task and symbol however popular a symbol is. Tokens that no change asks for are dropped by a
     semi-join first; whether the names are broadcast for it is left to the run-time sizes.
     """
-    mentions = (
-        repo_files.where(paths.extension(F.col("file_path")) == "py")
-        .select(*FILE, F.explode_outer(token_counts("content")).alias("t"))
-        .select(*FILE, "t.symbol", "t.mentions")
-    )
     names = wanted.select("repo", F.col("name").alias("symbol")).distinct()
-    mentions = mentions.join(names, ["repo", "symbol"], "left_semi")
+    mentions = postings.join(names, ["repo", "symbol"], "left_semi")
     order = Window.partitionBy("repo", "symbol").orderBy(F.col("mentions").desc(), "file_path")
     return mentions.withColumn("hit_ord", F.row_number().over(order)).where(F.col("hit_ord") <= HITS_PER_SYMBOL)
 
 
 def impact_analysis(
-    pr_files: DataFrame, repo_files: DataFrame, symbols_per_pr: DataFrame, keep=lambda df, _: df,
+    pr_files: DataFrame, repo_files: DataFrame, symbols_per_pr: DataFrame, keep=lambda df, _: df, postings_of=None,
 ) -> DataFrame:
     """Files outside each change that mention its first symbols; one row per (change, file).
 
     `impact_ord` keeps the order of discovery: symbol by symbol, best hit first. `keep(df, name)`
-    may materialise the searched symbols, which are counted before they are used.
+    may materialise the searched symbols, which are counted before they are used. With
+    `postings_of(searched)` stored postings are read (`sources.postings`) in place of all sources.
     """
     searched = keep(first_symbols(symbols_per_pr, TOP_FUNCTIONS, TOP_CLASSES), "searched")
-    hits = mentioning_files(repo_files, searched)
+    hits = most_mentions(postings_of(searched), searched) if postings_of else mentioning_files(repo_files, searched)
     found = searched.withColumnRenamed("name", "symbol").join(hits, ["repo", "symbol"])
     outside = found.join(pr_files.select(*PR, "file_path"), [*PR, "file_path"], "left_anti")
     first = Window.partitionBy(*PR, "file_path").orderBy("symbol_ord", "hit_ord")

@@ -35,6 +35,8 @@ CHUNKS = _struct(
     content=STRING, embedding=T.ArrayType(DOUBLE),
 )
 
+POSTINGS = _struct(repo=STRING, file_path=STRING, symbol=STRING, mentions=LONG)
+
 FILE_HASHES = _struct(repo=STRING, file_path=STRING, content_hash=STRING)
 
 STATUSES = _struct(

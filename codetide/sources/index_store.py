@@ -15,6 +15,7 @@ and sorted, so row-group statistics find a repository.
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -29,6 +30,17 @@ FAN = 4
 FILES = T.StructType(schemas.FILE_HASHES.fields + [T.StructField("removed", T.BooleanType())])
 
 
+class Layout(NamedTuple):
+    """Table of a segment: its folder, columns, and the columns by whose ranges its rows are dealt and sorted."""
+
+    table: str
+    schema: T.StructType
+    order: list[str]
+
+
+CHUNKS = Layout("chunks", schemas.CHUNKS, FILE)
+
+
 class Conflict(Exception):
     """The index has a newer version than the one this change started from."""
 
@@ -67,19 +79,19 @@ def _named(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*names).fillna("", ["repo"])
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange(*FILE).sortWithinPartitions(*FILE)
+def _dealt(rows: DataFrame, order: list[str] = FILE) -> DataFrame:
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _write_segment(path: str, files: DataFrame, chunks: DataFrame | None) -> dict | None:
+def _write_segment(path: str, files: DataFrame, rows: DataFrame | None, layout: Layout = CHUNKS) -> dict | None:
     """A new segment, not yet in force; None if it would name no file."""
     spark, name = files.sparkSession, f"segments/{uuid.uuid4().hex}"
     _dealt(_named(files, FILES.fieldNames())).write.parquet(f"{path}/{name}/files")
     if spark.read.schema(FILES).parquet(f"{path}/{name}/files").isEmpty():
         Folder(spark, path).delete(name)
         return None
-    if chunks is not None:
-        _dealt(_named(chunks, schemas.CHUNKS.fieldNames())).write.parquet(f"{path}/{name}/chunks")
+    if rows is not None:
+        _dealt(_named(rows, layout.schema.fieldNames()), layout.order).write.parquet(f"{path}/{name}/{layout.table}")
     return {"name": name, "bytes": Folder(spark, path).size(name)}
 
 
@@ -100,38 +112,41 @@ def _in_force(rows: DataFrame, files: DataFrame, parts: list[dict]) -> DataFrame
     return rows.join(later, same_file(rows, later) & (later["_later"] > rows["segment"]), "left_anti")
 
 
-def _read(spark: SparkSession, path: str, parts: list[dict], skip_corrupt: bool = False, repos: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, files) in force, files with `removed`."""
+def read_log(
+    spark: SparkSession, path: str, parts: list[dict], skip_corrupt: bool = False, repos: list[str] | None = None, layout: Layout = CHUNKS,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) in force, files with `removed`."""
     wanted = F.col("file_path").isNotNull() & (F.lit(True) if repos is None else F.col("repo").isin(repos))
     files = _union(spark, path, parts, "files", FILES, skip_corrupt).where(wanted)
-    chunks = _union(spark, path, parts, "chunks", schemas.CHUNKS, skip_corrupt).where(wanted)
-    return _in_force(chunks, files, parts).drop("segment"), _in_force(files, files, parts).drop("segment")
+    rows = _union(spark, path, parts, layout.table, layout.schema, skip_corrupt).where(wanted)
+    return _in_force(rows, files, parts).drop("segment"), _in_force(files, files, parts).drop("segment")
 
 
 def load_index(
     spark: SparkSession, path: str, skip_corrupt: bool = False, repos: list[str] | None = None, version: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, ledger) of an index, of some repositories or of an older version; empty tables if there is none yet."""
-    chunks, files = _read(spark, path, segments(spark, path, version), skip_corrupt, repos)
+    chunks, files = read_log(spark, path, segments(spark, path, version), skip_corrupt, repos)
     return chunks, files.where(~F.coalesce("removed", F.lit(False))).drop("removed")
 
 
-def _append(spark: SparkSession, path: str, files: DataFrame, chunks: DataFrame | None) -> None:
+def append(spark: SparkSession, path: str, files: DataFrame, rows: DataFrame | None, layout: Layout = CHUNKS) -> None:
+    """One more segment: the rows of the files that it names; without rows these are marked as removed."""
     before = _version(spark, path)
-    part = _write_segment(path, files, chunks)
+    part = _write_segment(path, files, rows, layout)
     if part is not None:
         _commit(spark, path, before, [*(segments(spark, path, before) if before else []), part])
 
 
 def update_index(spark: SparkSession, path: str, new_chunks: DataFrame, new_hashes: DataFrame) -> None:
     """Store re-indexed files: chunks and hashes of the files in `new_hashes` are replaced."""
-    _append(spark, path, new_hashes.withColumn("removed", F.lit(False)), new_chunks)
+    append(spark, path, new_hashes.withColumn("removed", F.lit(False)), new_chunks)
 
 
 def remove_files(spark: SparkSession, path: str, removed: DataFrame) -> None:
     """Drop files from the index."""
     keys = removed.fillna("", ["repo"]).select(*FILE).distinct()
-    _append(spark, path, keys.select(*FILE, F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("removed")), None)
+    append(spark, path, keys.select(*FILE, F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("removed")), None)
 
 
 def save_index(path: str, chunks: DataFrame, ledger: DataFrame) -> None:
@@ -141,7 +156,7 @@ def save_index(path: str, chunks: DataFrame, ledger: DataFrame) -> None:
     _commit(spark, path, before, [part] if part else [])
 
 
-def compact(spark: SparkSession, path: str, fan: int = FAN) -> bool:
+def compact(spark: SparkSession, path: str, fan: int = FAN, layout: Layout = CHUNKS) -> bool:
     """Merge the last segments if at least `fan` of them are of similar size; True if so."""
     before = _version(spark, path)
     parts = segments(spark, path, before) if before else []
@@ -151,10 +166,10 @@ def compact(spark: SparkSession, path: str, fan: int = FAN) -> bool:
         total += parts[first]["bytes"]
     if len(parts) - first < max(fan, 2):
         return False
-    chunks, files = _read(spark, path, parts[first:])
+    rows, files = read_log(spark, path, parts[first:], layout=layout)
     if first == 0:  # nothing lies below that a mark of removal would have to hide
         files = files.where(~F.coalesce("removed", F.lit(False)))
-    part = _write_segment(path, files, chunks)
+    part = _write_segment(path, files, rows, layout)
     _commit(spark, path, before, [*parts[:first], *([part] if part else [])])
     return True
 

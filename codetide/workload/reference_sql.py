@@ -536,6 +536,7 @@ def statements() -> dict[str, str]:
         "structure_summary": f"{_CODE_SYMBOLS} SELECT repo, file_path, {_STRUCTURE} AS structure FROM wide WHERE language IS NOT NULL",
         "pr_symbols": f"{_CODE_SYMBOLS},\n{_PR_SYMBOLS} SELECT * FROM pr_names",
         "impact_analysis": f"{_CODE_SYMBOLS},\n{_PR_SYMBOLS},\n{_IMPACT} SELECT * FROM impact",
+        "impact_from_postings": f"{_CODE_SYMBOLS},\n{_PR_SYMBOLS},\n{_IMPACT} SELECT * FROM impact",
         "context_retrieval": f"{_CODE},\n{_CONTEXT} SELECT repo, pr_id, rank, file, content, round(relevance, 6) AS relevance FROM context",
         "retrieval_status": (
             f"{_CODE} SELECT DISTINCT repo, pr_id, CASE WHEN repo NOT IN (SELECT repo FROM code_chunks) THEN 'needs_indexing'"

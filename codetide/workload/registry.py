@@ -11,7 +11,7 @@ from codetide.functions import paths, signing, text
 from codetide.operators import events, impact, indexing, retrieval, review, risk, similarity
 from codetide.plans import index_run, pr_review as review_plan
 from codetide.session import materialise, shared_folder
-from codetide.sources import answers, index_store, readers
+from codetide.sources import answers, index_store, postings, readers
 from codetide.streaming import events as event_streams, status as status_streams
 from codetide.workload import views
 from codetide.workload.views import Tables
@@ -467,6 +467,22 @@ def impact_analysis(t):
     return found.withColumn("impact_ord", F.col("impact_ord").cast("bigint"))
 
 
+@_query
+def impact_from_postings(t):
+    """Impact from postings on disk: written for an earlier state of the files, then brought up to date."""
+    path, spark = f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}", t.spark
+    mark = F.crc32(F.col("file_path").cast("binary"))
+    files = t.code_files.select(*FILE, "content")
+    edited = files.withColumn("content", F.when(mark % 3 == 0, F.concat("content", F.lit("\n"), "content")).otherwise(F.col("content")))
+    gone = files.where(mark % 5 == 0).withColumn("file_path", F.concat(F.lit("old/"), "file_path"))
+    postings.update_postings(spark, path, edited.where(mark % 7 != 0).unionByName(gone))
+    postings.update_postings(spark, path, files)
+    postings.remove_postings(spark, path, gone)
+    found = impact.impact_analysis(
+        t.code_prs, None, impact.pr_symbols(t.code_prs, _changed_symbols(t)), materialise, lambda asked: postings.load_postings(spark, path, asked))
+    return found.withColumn("impact_ord", F.col("impact_ord").cast("bigint"))
+
+
 @_query
 def context_retrieval(t):
     hits = retrieval.retrieve_context(t.code_chunks, t.code_queries, t.code_prs)
