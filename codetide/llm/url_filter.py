@@ -5,8 +5,10 @@ rate has a beta prior around its parent's posterior mean; the prior's strength i
 the method of moments over its members. A host is blocked if the lower bound of its posterior, mean less
 `z` standard deviations, exceeds `limit`.
 
-Only counts per host are shuffled after map-side sums; pages meet their host's verdict in a join by host
-and one of `SALTS` numbers, so that the pages of a hot host are spread over as many tasks. Rules are joined to the suffixes of distinct hosts.
+Only counts per host are shuffled after map-side sums. Pages meet their host's verdict in a join by host and a
+salt: a host with more than one of `PARTS` equal parts of all pages has as many salts as it has such parts, all
+others have one. Hosts with several salts are fewer than `PARTS`, so their hashes are broadcast, and the copies of
+hosts are fewer than twice `PARTS`. Rules are joined to the suffixes of distinct hosts.
 
 Url without `://`, or null: host and path are empty, no rule fits, reputation is the overall rate.
 A rule `host/path` fits its host and all subdomains if the url's path starts with its path; the longest
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from codetide.llm.text import ascii_lower
 from codetide.session import Stages
 
-Z, LIMIT, MOST_STRENGTH, SALTS = 1.645, 0.5, 1000.0, 32
+Z, LIMIT, MOST_STRENGTH, PARTS = 1.645, 0.5, 1000.0, 4096
 # Public suffixes of two labels that the registered domain has to respect.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 
@@ -63,10 +65,10 @@ def shrunk(counts: DataFrame, key: str) -> DataFrame:
 
 
 def reputation(parts: DataFrame, outcomes: DataFrame, *, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """host, n, bad, mean, bound, verdict for every host of `parts` (page_id, host); outcomes: page_id, bad."""
+    """host, n, bad, pages, mean, bound, verdict for every host of `parts` (page_id, host); outcomes: page_id, bad."""
     outcome = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     judged = parts.select("page_id", "host").join(outcome, "page_id", "left")
-    hosts = Stages(parts.sparkSession).keep(levels(judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))), "hosts")
+    hosts = Stages(parts.sparkSession).keep(levels(judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("pages"))), "hosts")
     total = lambda key, *more: hosts.groupBy(key, *more).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()  # one row
     overall = ((all_["bad"] or 0) + 1.0) / ((all_["n"] or 0) + 2.0)
@@ -76,14 +78,21 @@ def reputation(parts: DataFrame, outcomes: DataFrame, *, z: float = Z, limit: fl
     by_host = shrunk(hosts.join(prior(by_domain, "domain"), "domain"), "host")
     mean, mass = F.col("mean"), F.col("strength") + F.col("n")
     bound = mean - z * F.sqrt(mean * (1 - mean) / (mass + 1))
-    return by_host.select("host", "n", "bad", "mean", bound.alias("bound")) \
+    return by_host.join(hosts.select("host", "pages"), "host").select("host", "n", "bad", "pages", "mean", bound.alias("bound")) \
         .withColumn("verdict", F.when(F.col("bound") > limit, "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, page: str = "page_id", url: str = "url", **options) -> DataFrame:
+def salts(known: DataFrame, parts: int = PARTS) -> DataFrame:
+    """name (hash of the host), salts: how many, of the hosts that need several; fewer than `parts` rows. known: host, pages."""
+    total = known.agg(F.sum("pages")).first()[0] or 0  # one row
+    named = known.groupBy(F.xxhash64("host").alias("name")).agg(F.sum("pages").alias("pages"))
+    return named.where(F.col("pages") * parts > total).select("name", F.ceil(F.col("pages") * parts / F.lit(max(total, 1))).cast("int").alias("salts"))
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, page: str = "page_id", url: str = "url", hot_parts: int = PARTS, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate of every page. rules: host, path, action; outcomes: page_id, bad."""
     parts = url_parts(pages, page, url)
-    known = reputation(parts, outcomes, **options)
+    known = Stages(pages.sparkSession).keep(reputation(parts, outcomes, **options), "known")
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     r = rules.select(F.col("host").alias("end"), F.col("path").alias("start"), "action").distinct()
@@ -95,8 +104,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, *, page: str
     best = F.array_sort(fits, lambda a, b: F.when(F.length(a["rule"]) > F.length(b["rule"]), -1)
                         .when(F.length(a["rule"]) < F.length(b["rule"]), 1).when(a["rule"] < b["rule"], -1)
                         .when(a["rule"] > b["rule"], 1).when(a["action"] < b["action"], -1).when(a["action"] > b["action"], 1).otherwise(0))
-    spread = per_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    hot = F.broadcast(salts(known, hot_parts))
+    count = F.coalesce("salts", F.lit(1))
+    dealt = lambda rows: rows.withColumn("name", F.xxhash64("host")).join(hot, "name", "left").drop("name")
+    spread = dealt(per_host).withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("salts")
+    salted = dealt(parts).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), count).cast("int")).drop("salts")
     return salted.join(spread, ["host", "salt"]).withColumn("best", F.get(best, F.lit(0))).select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", "reputed").alias("verdict"),
         F.round("bad_rate", 6).alias("bad_rate"))

@@ -109,6 +109,20 @@ def test_url_rules_and_reputation(shared):
     assert {r["verdict"] for r in nothing} == {"allow"} and {r["rule"] for r in nothing} == {None}
 
 
+def test_hot_hosts_are_salted(shared):
+    """A host with a third of all pages is split; the result does not depend on how far."""
+    urls = ["http://hot.test/a"] * 100 + [f"http://hot.test/{i}" for i in range(200)] + [f"http://h{i % 150}.test/{i}" for i in range(600)] + [None]
+    pages = shared.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = shared.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 900, 2)], "page_id long, bad int")
+    rules = shared.createDataFrame(list(queries.URL_RULES), "host string, path string, action string")
+    known = url_filter.reputation(url_filter.url_parts(pages), outcomes)
+    assert {r["host"]: r["pages"] for r in known.where("pages > 4").collect()} == {"hot.test": 300}
+    assert [r["salts"] for r in url_filter.salts(known, 100).collect()] == [34]
+    assert url_filter.salts(known.where("false")).count() == 0
+    results = [sorted(url_filter.judge(pages, outcomes, rules, hot_parts=n).collect()) for n in (1, 100, 4096)]
+    assert len(results[0]) == 901 and results[0] == results[1] == results[2]
+
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
