@@ -4,8 +4,10 @@ Components become floor(256 x) as integers. The vectors are dealt over shards by
 ball tree. A node with centre c and radius r has no vector with a larger product with q than q.c + |q| r,
 so a search visits nodes in the order of this bound and ends when the bound is below the k-th score.
 
-The k-th score is shared between shards: a first pass searches one shard for each query, and the score it
-finds, which can only be too low, is where the search of all other shards starts. Queries travel in packed
+The k-th score is shared between shards: a first pass searches one shard for each query, then waves of ever
+more shards (`wave` times as many as all before) follow. Each wave starts from the k-th score that all earlier
+ones have found together, which can only be too low, so later shards prune more; the number of waves is the
+logarithm of the number of shards. Queries travel in packed
 rows, `query_block` to a row, one row per shard; shards are bounded by `shard_rows`, so a task holds one
 shard and one block of queries. What shards return is at most k rows per query and shard, cut to k by a
 window that is limited per task before the shuffle. Products are exact: they are computed in doubles where
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codetide.session import Stages
 
-SCALE, K, SHARD_ROWS, QUERY_BLOCK, LEAF = 256, 5, 8192, 512, 64
+SCALE, K, SHARD_ROWS, QUERY_BLOCK, LEAF, WAVE = 256, 5, 8192, 512, 64, 8
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -107,7 +109,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, vec: str = "vec_id", embedding: str = "embedding", k: int = K,
-            shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+            shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, wave: int = WAVE) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query. `is_query`: expression over vec_id."""
     stages = Stages(vectors.sparkSession)
     rows = stages.keep(scaled(vectors, vec, embedding), "scaled")
@@ -145,12 +147,16 @@ def nearest(vectors: DataFrame, is_query: Column, *, vec: str = "vec_id", embedd
         return dealt.groupBy("dim", "shard").cogroup(blocks.groupBy("q_dim", "q_shard")).applyInArrow(search, "query_id long, vec_id long, score long")
 
     first = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards"))).withColumn("bound", F.lit(None).cast("double"))
-    home = stages.keep(searched(first), "home")
-    bounds = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    known = first.drop("bound").join(bounds, first["vec_id"] == bounds["query_id"], "left") \
-        .withColumn("bound", F.when(F.col("n") >= k, F.col("least").cast("double")))
-    rest = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("shards") - 1).cast("bigint")))) \
-        .where(F.col("other") != F.col("shard")).select("dim", F.col("other").alias("shard"), "part", "vec_id", "x", "bound")
-    every = home.unionByName(searched(rest))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found, done, most = stages.keep(searched(first), "home"), 1, max(shards.values(), default=1)
+    while done < most:  # distances from the home shard, on a ring
+        until = min(done * wave, most)
+        bounds = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        known = first.drop("bound").join(bounds, first["vec_id"] == bounds["query_id"], "left") \
+            .withColumn("bound", F.when(F.col("n") >= k, F.col("least").cast("double")))
+        asking = known.withColumn("away", F.explode(F.sequence(F.lit(done), F.lit(until - 1)))).where(F.col("away") < F.col("shards")) \
+            .withColumn("shard", F.pmod(F.col("shard") + F.col("away"), F.col("shards"))).select("dim", "shard", "part", "vec_id", "x", "bound")
+        found = stages.keep(ranked(found.unionByName(searched(asking))).drop("rank"), f"wave-{done}")
+        done = until
+    return ranked(found).select("query_id", "rank", "vec_id", "score")

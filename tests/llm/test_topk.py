@@ -37,6 +37,16 @@ def test_nearest(shared, shard_rows, query_block):
     assert sorted(map(tuple, got.collect())) == plain(rows)
 
 
+@pytest.mark.parametrize("wave", [2, 8])
+def test_waves_of_shards(shared, wave):
+    """Some 30 shards in several waves, with ties across shards and fewer than five other rows in one length."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 3).tolist()) for i in range(300)] + [(1000 + 50 * i, [1.0 * i, 2.0]) for i in range(4)]
+    docs = shared.createDataFrame([(i, [float(v) for v in x], "clash", "clash") for i, x in rows], SCHEMA)
+    got = topk.nearest(docs, F.col("vec_id") % 50 == 0, shard_rows=10, query_block=2, wave=wave)
+    assert sorted(map(tuple, got.collect())) == plain(rows)
+
+
 def test_large_components_and_empty(shared):
     rows = [(0, [1e6, 3e7]), (1, [2e6, -1e7]), (2, [1e7, 1e7]), (50, [-3e7, 2e6])]
     docs = shared.createDataFrame([(i, x, None, None) for i, x in rows], SCHEMA)
