@@ -107,6 +107,17 @@ PATTERNS = {
     "callee_split": rf"^(?:({ID})[*&>\]]*{WS}+[*&]*)?((?:\??\.|::|->)?{ID}(?:(?:\??\.|::|->){ID})*+){WS}*\($",
 }
 
+# The call patterns for a backtracking matcher, with the same matches. No match starts right after a letter, as it would have
+# started one character earlier; and no shorter name, run or gap is tried, as what must follow cannot stand inside a longer one.
+_WHOLE_ID = r"(?:[\p{L}_$][\p{L}\p{M}\p{N}_$]*+)"
+_CALLEE = (
+    rf"(?<![\p{{L}}_$])(?:{_WHOLE_ID}[*&>\]]*+{WS}++[*&]*+)?(?:\??\.|::|->)?{_WHOLE_ID}(?:(?:\??\.|::|->){_WHOLE_ID})*+{WS}*+\("
+)
+CALL_SCANS = {
+    "call": rf"(?m)(?:\bfunc{WS}*+\([^()\n]*+\){WS}*+(?:{_WHOLE_ID}{WS}*+)?\(|{_CALLEE})",
+    "braced_call": rf"(?m)(?:{_METHOD.replace(f'({ID})', ID).replace(PARENS, FLAT_PARENS)}|{_CALLEE})",
+}
+
 
 def strip_patterns(family: str) -> str:
     """One alternation: group 1 is a string literal, otherwise the match is a comment."""
@@ -114,6 +125,11 @@ def strip_patterns(family: str) -> str:
     return f"({strings})|{comments}"
 
 
+def _scan_pattern(family: str) -> str:
+    """`strip_patterns` that looks at the next character first: every literal and comment starts with one of five."""
+    return f"(?=[\"'`#/])(?:{strip_patterns(family)})"
+
+
 def _by_family(lang: Column, make) -> Column:
     out = None
     for family in LEXICAL:
@@ -189,7 +205,7 @@ def _calls(code: Column, family: str) -> Column:
     java = family == "java"
     split = "(?d)" + PATTERNS["callee_split"]
     pairs = F.transform(
-        _all(code, key, 0),
+        F.regexp_extract_all(code, F.lit("(?d)" + CALL_SCANS[key]), F.lit(0)),
         lambda m: F.struct(F.regexp_extract(m, split, 1).alias("word"), F.regexp_extract(m, split, 2).alias("callee")),
     )
     kept = F.filter(
@@ -219,12 +235,12 @@ def with_symbols(files: DataFrame, path: str = "file_path", content: str = "cont
     text = F.coalesce(F.col(content), F.lit(""))
     lexed = (
         files.withColumn("language", paths.language(F.col(path)))
-        .withColumn("_code", _by_family(lang, lambda fam: F.regexp_replace(text, strip_patterns(fam), " ")))
+        .withColumn("_code", _by_family(lang, lambda fam: F.regexp_replace(text, _scan_pattern(fam), " ")))
         # Comments removed but strings kept: only import targets written as strings need it.
         .withColumn(
             "_quoted",
             F.when(lang.isin("javascript", "typescript", "c", "cpp", "go"),
-                   _by_family(lang, lambda fam: F.regexp_replace(text, strip_patterns(fam), "$1"))),
+                   _by_family(lang, lambda fam: F.regexp_replace(text, _scan_pattern(fam), "$1"))),
         )
     )
     code, quoted = F.col("_code"), F.col("_quoted")
@@ -269,7 +285,7 @@ def with_symbols(files: DataFrame, path: str = "file_path", content: str = "cont
         )
         .withColumn(
             "calls",
-            F.coalesce(_by_family(lang, lambda fam: _calls(code, fam)), none),
+            F.coalesce(F.when(F.contains(code, F.lit("(")), _by_family(lang, lambda fam: _calls(code, fam))), none),
         )
         .drop("_code", "_quoted")
     )

@@ -1,7 +1,12 @@
 """Symbol extraction on one sample per language."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from codetide.functions import symbols
 from codetide.functions.symbols import structure_summary, with_symbols
 
 PYTHON = '''
@@ -247,3 +252,26 @@ def test_long_literals_do_not_overflow(spark):
     df = spark.createDataFrame([("big.py", long_string), ("big.js", long_string)], "file_path string, content string")
     rows = {r.file_path: r.functions for r in with_symbols(df).select("file_path", "functions").collect()}
     assert rows["big.py"] == ["tail"]
+
+
+def test_call_scans_find_what_the_patterns_find(spark):
+    """The patterns for a backtracking matcher against those that any engine runs, on random text."""
+    rng = random.Random(5)
+    parts = ["a", "Z", "_", "$", "1", "\u0301", "é", "\U0001d49c", " ", "\t", "\n", "(", ")", "*", "&", ">", "]", ".", "?.", "::", "->", "{", "=", ";",
+             "func", "func ", "async ", "return ", "x y(", "f(a) {"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 40))),) for _ in range(5000)]
+    texts = spark.createDataFrame(rows, "t string")
+    for key, scan in symbols.CALL_SCANS.items():
+        found = lambda pattern: F.regexp_extract_all("t", F.lit("(?d)" + pattern), F.lit(0))
+        assert texts.where(found(scan) != found(symbols.PATTERNS[key])).collect() == []
+    for family in symbols.LEXICAL:
+        blank = lambda pattern: F.regexp_replace(F.translate("t", "Z1*&", "\"'/#"), pattern, "<$1>")
+        assert texts.where(blank(symbols._scan_pattern(family)) != blank(symbols.strip_patterns(family))).collect() == []
+
+
+def test_calls_beside_a_long_name(spark):
+    """A name of any length is read a bounded number of times, not once per letter."""
+    source = spark.createDataFrame([("r", "a.py", "a" * 150_000 + "\nfoo(1)\n")], "repo string, file_path string, content string")
+    start = time.perf_counter()
+    assert symbols.with_symbols(source).first().calls == ["foo"]
+    assert time.perf_counter() - start < 15
