@@ -4,10 +4,13 @@ A hook is a function from DataFrame to DataFrame. The defaults need no model; ba
 of any model plug in through Arrow batches.
 """
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -33,16 +36,26 @@ def hashing_embedder(dimensions: int = DIMENSIONS, text_col: str = "content") ->
 
 
 def digest_embedder(dimensions: int = 64, text_col: str = "content") -> Callable[[DataFrame], DataFrame]:
-    """Bag-of-words vectors whose places come from a token's MD5, which any SQL engine can follow; empty texts get an empty vector."""
+    """Bag-of-words vectors whose places come from a token's MD5, which any SQL engine can follow; empty texts get an empty vector.
+
+    Tokens are counted in Arrow batches, in time linear in their number; a digest is taken once per distinct token of a batch.
+    """
+
+    def counted(tokens: pa.Array) -> pa.Array:
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded, held = tokens.flatten().dictionary_encode(), sizes > 0
+        places = np.array([int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions for token in coded.dictionary.to_pylist()], np.int64)
+        at = np.repeat(np.cumsum(held) - 1, sizes) * dimensions + places[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.bincount(at, minlength=int(held.sum()) * dimensions).astype(np.float64)
+        ends = np.concatenate([[0], np.cumsum(held * dimensions)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts))
+
+    # Marked as not deterministic, so that a filter on the vector is not moved below it, where it would count twice.
+    vector = F.arrow_udf(counted, T.ArrayType(T.DoubleType())).asNondeterministic()
 
     def embed(df: DataFrame) -> DataFrame:
         lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        tokens = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        places = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dimensions)
-        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(at, lambda p: p == d)).cast("double"))
-        # The places are found once: a one-element array binds them.
-        vector = F.transform(F.array(places), lambda at: F.when(F.size(at) > 0, counts(at)).otherwise(F.array().cast("array<double>")))[0]
-        return df.withColumn("embedding", vector)
+        return df.withColumn("embedding", vector(F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
 
     return embed
 
