@@ -1,5 +1,6 @@
 """Vector expressions and the block kernel of the similarity search."""
 
+import hashlib
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EPSILON = 1e-8
 # Scores are compared at this many decimals, so their order does not depend on summation order.
 SCORE_DECIMALS = 12
+# Values in a matrix: 4 MB.
+BLOCK_VALUES = 1 << 19
+# Rows of a matrix that are scored in one product, and candidates per query above which a product is scored in doubles as a whole.
+TILE_ROWS, DENSE_CANDIDATES = 1024, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,15 +48,18 @@ PAIR_FIELDS = "repo string, query_id string, id string, ord bigint, similarity d
 
 
 def pack_blocks(rows_per_block: int):
-    """mapInArrow function: vectors (repo, dim, id, ord, embedding), sorted by repo and dim, to matrices of bounded height.
+    """mapInArrow function: vectors (repo, dim, id, ord, embedding), sorted by repo and dim, to matrices of bounded height and size.
 
-    A block goes on over the borders of Arrow batches and ends with its key, its height or the task.
+    A block goes on over the borders of Arrow batches and ends with its key, its height, its size or the task. Its rows stand in
+    the order in which ties are broken: by ord, then id.
     """
 
     def block(key: tuple, parts: list[pa.Table]) -> dict:
         table = pa.concat_tables(parts).combine_chunks()
-        matrix = unit_rows(table.column("embedding").combine_chunks())
-        return {"repo": key[0], "dim": key[1], "ids": table.column("id").to_pylist(), "ords": table.column("ord").to_pylist(), "matrix": matrix.tobytes()}
+        ids, ords = table.column("id").to_pylist(), table.column("ord").to_pylist()
+        rows = sorted(range(len(ids)), key=lambda r: (ords[r] is not None, ords[r] or 0, ids[r] is not None, ids[r] or ""))
+        matrix = unit_rows(table.column("embedding").combine_chunks())[rows]
+        return {"repo": key[0], "dim": key[1], "ids": [ids[r] for r in rows], "ords": [ords[r] for r in rows], "matrix": matrix.tobytes()}
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("repo", pa.string()), ("dim", pa.int32()), ("ids", pa.list_(pa.string())), ("ords", pa.list_(pa.int64())), ("matrix", pa.binary())])
@@ -68,12 +76,12 @@ def pack_blocks(rows_per_block: int):
                 if own != key and parts:
                     out.append(block(key, parts))
                     parts, height = [], 0
-                key = own
+                key, most = own, max(1, min(rows_per_block, BLOCK_VALUES // own[1]))
                 while first < end:
-                    take = min(end - first, rows_per_block - height)
+                    take = min(end - first, most - height)
                     parts.append(table.slice(first, take))
                     first, height = first + take, height + take
-                    if height == rows_per_block:
+                    if height == most:
                         out.append(block(key, parts))
                         parts, height = [], 0
             if out:
@@ -84,8 +92,8 @@ def pack_blocks(rows_per_block: int):
     return pack
 
 
-def top_k_of_block_pair(ids, ords, chunks: np.ndarray, queries: np.ndarray, k: int):
-    """(query row, chunk row, score) of each query's k best chunks in one block; ties by (ord, id)."""
+def top_k_of_block_pair(chunks: np.ndarray, queries: np.ndarray, k: int):
+    """(query row, chunk row, score) of each query's k best chunks in one block; ties by chunk row."""
     scores = np.round(chunks @ queries.T, SCORE_DECIMALS)
     n = scores.shape[0]
     if n <= k:
@@ -93,17 +101,67 @@ def top_k_of_block_pair(ids, ords, chunks: np.ndarray, queries: np.ndarray, k: i
         return query_rows, chunk_rows, scores[chunk_rows, query_rows]
     bound = np.partition(scores, n - k, axis=0)[n - k]
     query_rows, chunk_rows = np.nonzero((scores >= bound).T)
-    counts = np.bincount(query_rows, minlength=scores.shape[1])
-    if (counts > k).any():
-        kept, start = [], 0
-        for q, count in enumerate(counts):
-            rows = chunk_rows[start:start + count]
-            if count > k:
-                rows = sorted(rows, key=lambda r, q=q: (-scores[r, q], ords[r], ids[r]))[:k]
-            kept.extend((q, r) for r in rows)
-            start += count
-        query_rows, chunk_rows = np.array(kept).T
-    return query_rows, chunk_rows, scores[chunk_rows, query_rows]
+    return _best_of_each(query_rows, chunk_rows, scores[chunk_rows, query_rows], k)
+
+
+def _best_of_each(query_rows, chunk_rows, scores, k: int):
+    """Of (query row, chunk row, score) rows each query's k best, ties by chunk row; ordered by query row, best first."""
+    order = np.lexsort((chunk_rows, -scores, query_rows))
+    query_rows, chunk_rows, scores = query_rows[order], chunk_rows[order], scores[order]
+    place = np.arange(len(order)) - np.searchsorted(query_rows, query_rows)
+    kept = place < k
+    return query_rows[kept], chunk_rows[kept], scores[kept]
+
+
+def raise_best(best: np.ndarray, query_rows, scores) -> None:
+    """Put scores, ordered by query row and at most k each, into `best`: per query its k best scores so far, ascending."""
+    touched, first, counts = np.unique(query_rows, return_index=True, return_counts=True)
+    new = np.full((len(touched), best.shape[1]), -np.inf)
+    new[np.repeat(np.arange(len(touched)), counts), np.arange(len(scores)) - np.repeat(first, counts)] = scores
+    best[touched] = np.sort(np.concatenate([best[touched], new], axis=1), axis=1)[:, best.shape[1]:]
+
+
+def _near_in_doubles(tile: np.ndarray, queries: np.ndarray, bound: np.ndarray | None, k: int):
+    """(query row, chunk row) of a tile's chunks that reach the bound, or of each query's k best where these are too many."""
+    found = []
+    for first in range(0, len(queries), TILE_ROWS):
+        part = queries[first:first + TILE_ROWS]
+        near = None if bound is None else np.flatnonzero(part @ tile.T >= bound[first:first + TILE_ROWS] - 10.0 ** (1 - SCORE_DECIMALS))
+        if near is None or len(near) > DENSE_CANDIDATES * len(part):
+            query_rows, chunk_rows, _ = top_k_of_block_pair(tile, part, k)
+        else:
+            query_rows, chunk_rows = np.divmod(near, len(tile))
+        found.append((query_rows + first, chunk_rows))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def hits_of_block_pair(chunks: np.ndarray, queries: np.ndarray, best: np.ndarray):
+    """(query row, chunk row, score) of chunks that may be among each query's k best, with every one that is; at most k per query.
+
+    `best` holds each query's k best scores so far, ascending, and is brought up to date. Products are taken in single
+    precision. Their error is below `slack` for unit rows, so whoever is not within it of the k-th best score cannot enter;
+    the few others are scored again in doubles.
+    """
+    k, narrow, found = best.shape[1], queries.astype(np.float32), []
+    slack = (queries.shape[1] + 8) * 2.0 ** -23
+    for start in range(0, len(chunks), TILE_ROWS):
+        tile = chunks[start:start + TILE_ROWS]
+        bound = best[:, :1]
+        known = np.isfinite(bound).all()
+        near = np.flatnonzero(narrow @ tile.astype(np.float32).T >= (bound - slack).astype(np.float32)) if known else None
+        if near is None or len(near) > DENSE_CANDIDATES * len(queries):
+            query_rows, chunk_rows = _near_in_doubles(tile, queries, bound if known else None, k)
+        else:
+            query_rows, chunk_rows = np.divmod(near, len(tile))
+        # Summed pair by pair, equal vectors have equal scores.
+        scores = np.round(np.einsum("ij,ij->i", queries[query_rows], tile[chunk_rows]), SCORE_DECIMALS)
+        entering = scores >= best[query_rows, 0]
+        query_rows, chunk_rows, scores = _best_of_each(query_rows[entering], chunk_rows[entering], scores[entering], k)
+        raise_best(best, query_rows, scores)
+        found.append((query_rows, chunk_rows + start, scores))
+    query_rows, chunk_rows, scores = (np.concatenate(column) for column in zip(*found))
+    kept = scores >= best[query_rows, 0]
+    return _best_of_each(query_rows[kept], chunk_rows[kept], scores[kept], k)
 
 
 def score_against(vector: list[float], k: int):
@@ -129,12 +187,17 @@ def score_against(vector: list[float], k: int):
 
 
 def score_block_pairs(k: int, rows_per_batch: int = 8192):
-    """mapInArrow function: (chunk block, query block) rows to local top-k rows."""
+    """mapInArrow function: (chunk block, query block) rows to rows that may be in the top k, and all that are.
+
+    While a task meets pairs of one repository and width it remembers the k best scores of each query, 8 k bytes a query, so that
+    later blocks return only what beats them.
+    """
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("repo", "query_id", "id", "ord", "similarity")
         types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
         out, rows = {name: [] for name in names}, 0
+        own, so_far = None, {}
 
         def drained() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in zip(names, types)], names=list(names))
@@ -143,15 +206,22 @@ def score_block_pairs(k: int, rows_per_batch: int = 8192):
             columns = {name: batch.column(name) for name in batch.schema.names}
             for i in range(batch.num_rows):
                 dim, repo = columns["dim"][i].as_py(), columns["repo"][i].as_py()
-                ids, ords = columns["ids"][i].as_py(), columns["ords"][i].as_py()
-                query_ids = columns["query_ids"][i].as_py()
+                ids, ords, query_ids = columns["ids"][i], columns["ords"][i], columns["query_ids"][i].as_py()
                 chunks = np.frombuffer(columns["matrix"][i].as_buffer(), np.float64).reshape(-1, dim)
                 queries = np.frombuffer(columns["query_matrix"][i].as_buffer(), np.float64).reshape(-1, dim)
-                query_rows, chunk_rows, scores = top_k_of_block_pair(ids, ords, chunks, queries, k)
+                if own != (repo, dim):
+                    own, so_far = (repo, dim), {}
+                if np.isfinite(chunks).all() and np.isfinite(queries).all():
+                    # Equal vectors have equal best scores, so a digest of the matrix is key enough.
+                    best = so_far.setdefault(hashlib.blake2b(queries, digest_size=16).digest(), np.full((len(queries), k), -np.inf))
+                    query_rows, chunk_rows, scores = hits_of_block_pair(chunks, queries, best)
+                else:
+                    query_rows, chunk_rows, scores = top_k_of_block_pair(chunks, queries, k)
+                taken = pa.array(chunk_rows)
                 out["repo"] += [repo] * len(scores)
                 out["query_id"] += [query_ids[q] for q in query_rows]
-                out["id"] += [ids[c] for c in chunk_rows]
-                out["ord"] += [ords[c] for c in chunk_rows]
+                out["id"] += ids.values.take(taken).to_pylist()
+                out["ord"] += ords.values.take(taken).to_pylist()
                 out["similarity"] += scores.tolist()
                 rows += len(scores)
                 if rows >= rows_per_batch:

@@ -4,15 +4,15 @@ Vectors are dealt by ranges of repository, width and a hash of their id, so that
 lie together and a hot repository spreads over as many tasks as it fills, and are packed into
 matrices of bounded height. Matrices of the same repository meet in an ordinary join, which Spark
 broadcasts when the query side turns out small and sorts, shuffles and de-skews otherwise. Each pair of
-matrices is one matrix product that emits only its local top-k, so row pairs are never produced.
+matrices is scored in products that emit only what may still enter the top k, so row pairs are never produced.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from codetide.functions import vectors
 
-CHUNK_BLOCK_ROWS = 1024
-QUERY_BLOCK_ROWS = 256
+CHUNK_BLOCK_ROWS = 8192
+QUERY_BLOCK_ROWS = 2048
 
 
 def _vectors(df: DataFrame, id_col: str, ord_col: str | None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact top-k against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,21 @@ def test_hits_have_their_fields(spark):
     hits = similarity.with_fields(similarity.top_k(chunks, asked, 2), chunks).orderBy("rank").collect()
     assert [(h.file_path, h.chunk_type, h.name, h.content) for h in hits] == [(f"f{i}.py", "full_file", f"n{i}", f"text {i}") for i in range(2)]
     assert hits[0].distance == pytest.approx(0.0, abs=1e-6) and hits[1].distance == pytest.approx(1 - 2 ** -0.5, abs=1e-6)
+
+
+def test_later_blocks_return_only_what_may_enter():
+    """Block pairs of one repository as a task meets them: exact with many ties, one product narrow, and few rows leave it."""
+    rng = np.random.default_rng(3)
+    chunks = unit(np.concatenate([rng.normal(size=(5000, 16)), np.tile(rng.normal(size=(2, 16)), (500, 1))]))
+    queries = unit(np.concatenate([rng.normal(size=(48, 16)), chunks[5000:5002]]))
+    schema = pa.schema([("repo", pa.string()), ("dim", pa.int32()), ("ids", pa.list_(pa.string())), ("ords", pa.list_(pa.int64())), ("matrix", pa.binary()),
+                        ("query_ids", pa.list_(pa.string())), ("query_matrix", pa.binary())])
+    pairs = [{
+        "repo": "r", "dim": 16, "ids": [str(i) for i in range(s, s + 250)], "ords": list(range(s, s + 250)), "matrix": chunks[s:s + 250].tobytes(),
+        "query_ids": [str(q) for q in range(50)], "query_matrix": queries.tobytes()} for s in range(0, 6000, 250)]
+    hits = pa.Table.from_batches(vectors.score_block_pairs(5)([pa.RecordBatch.from_pylist(pairs, schema)])).to_pylist()
+    assert len(hits) < 50 * 5 * len(pairs) / 3
+    for q in range(50):
+        got = sorted((-h["similarity"], h["ord"]) for h in hits if h["query_id"] == str(q))[:5]
+        want = np.lexsort((np.arange(6000), -np.round(np.einsum("j,ij->i", queries[q], chunks), 12)))[:5]
+        assert [o for _, o in got] == want.tolist()
